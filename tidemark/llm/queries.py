@@ -7,6 +7,7 @@ import public_tokenizers
 from tidemark.llm import quality_rules as rules
 from tidemark.llm.common import table
 from tidemark.llm.fingerprints import fingerprints
+from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_output import token_output
 
@@ -19,6 +20,10 @@ def op2_quality_rules(spark, sf_dir):
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -27,5 +32,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op5_fingerprints, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_jaccard_join, op5_fingerprints, op10_token_counts)}
 ORACLE_SQL = {"op2_quality_rules": rules.oracle_sql()}

@@ -10,6 +10,7 @@ from tidemark.llm.fingerprints import fingerprints
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_output import token_output
+from tidemark.llm.toxicity import toxicity
 
 
 def op1_token_output(spark, sf_dir):
@@ -28,9 +29,13 @@ def op5_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_jaccard_join, op5_fingerprints, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_jaccard_join, op5_fingerprints, op9_toxicity, op10_token_counts)}
 ORACLE_SQL = {"op2_quality_rules": rules.oracle_sql()}

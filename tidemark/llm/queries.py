@@ -8,6 +8,9 @@ from tidemark.llm import quality_rules as rules
 from tidemark.llm.common import table
 from tidemark.llm.fingerprints import fingerprints
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.licenses import licence_scan
+from tidemark.llm.ordinal import ordinal_quality
+from tidemark.llm.packing import packed
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_output import token_output
 from tidemark.llm.toxicity import toxicity
@@ -25,10 +28,22 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def op5_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return ordinal_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_license_scans(spark, sf_dir):
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +52,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_jaccard_join, op5_fingerprints, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_jaccard_join, op4_best_fit_packing, op5_fingerprints, op6_quality_classifier, op8_license_scans, op9_toxicity, op10_token_counts)}
 ORACLE_SQL = {"op2_quality_rules": rules.oracle_sql()}

@@ -9,6 +9,7 @@ from tidemark.llm.common import table
 from tidemark.llm.fingerprints import fingerprints
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.licenses import licence_scan
+from tidemark.llm.mixing import mixing_rates
 from tidemark.llm.ordinal import ordinal_quality
 from tidemark.llm.packing import packed
 from tidemark.llm.token_counts import token_counts
@@ -40,6 +41,10 @@ def op6_quality_classifier(spark, sf_dir):
     return ordinal_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_source_mixing(spark, sf_dir):
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_license_scans(spark, sf_dir):
     return licence_scan(table(spark, sf_dir, "documents"))
 
@@ -52,5 +57,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_jaccard_join, op4_best_fit_packing, op5_fingerprints, op6_quality_classifier, op8_license_scans, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_jaccard_join, op4_best_fit_packing, op5_fingerprints, op6_quality_classifier, op7_source_mixing, op8_license_scans, op9_toxicity, op10_token_counts)}
 ORACLE_SQL = {"op2_quality_rules": rules.oracle_sql()}

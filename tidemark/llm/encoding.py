@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -81,3 +82,9 @@ class SegmentEncoder:
         out = [" " + x for x in parts]
         out[0] = parts[0]
         return [x for x in out if x] if not parts[0] else out
+
+
+@lru_cache(maxsize=1)
+def encoder_for(path: str, end_id: int) -> SegmentEncoder:
+    """One encoder a Python worker: its memo serves all tasks that the worker runs."""
+    return SegmentEncoder(path, end_id)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.encoding import SegmentEncoder
+from tidemark.llm.encoding import encoder_for
 from tidemark.llm.token_output import text_batches
 
 GROUPS = 64
@@ -205,7 +205,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     """doc_id, piece, start, length, ids_crc32 of every piece, with its task and its rank there among its length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, ranks = SegmentEncoder(tokenizer_path, end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, task, ranks = encoder_for(tokenizer_path, end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []

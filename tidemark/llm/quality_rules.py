@@ -127,18 +127,22 @@ def thresholds(measures: DataFrame, labels: DataFrame, total_risk: float = TOTAL
     return judged.groupBy("stratum").agg(*(F.min(F.when((F.col("rule") == r) & (F.col("holds") == 1), F.col("cutoff"))).alias(f"cutoff_{r}") for r in RULES))
 
 
-def verdict() -> Column:
-    """True if no certified cutoff is passed (null cutoffs reject nothing)."""
-    passes = F.lit(True)
+def rules_broken() -> Column:
+    """Number of certified cutoffs that are passed (null cutoffs reject nothing)."""
+    broken = F.lit(0)
     for rule in RULES:
-        passes = passes & ~F.coalesce(score(rule) > F.col(f"cutoff_{rule}"), F.lit(False))
-    return passes
+        broken = broken + F.coalesce((score(rule) > F.col(f"cutoff_{rule}")).cast("int"), F.lit(0))
+    return broken
 
 
 def judged(measures: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``measures`` with base_failed and kept. ``cutoffs`` has at most one row per stratum, so it is broadcast."""
+    """``measures`` with base_failed and kept. ``cutoffs`` has at most one row per stratum, so it is broadcast.
+
+    kept is one sum, not a conjunction: a filter on it cannot be split and pushed below the
+    counts, where it would evaluate them again.
+    """
     d = measures.join(F.broadcast(cutoffs), "stratum", "left")
-    return d.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict()})
+    return d.withColumns({"base_failed": base_failed(), "kept": base_failed().cast("int") + rules_broken() == 0})
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

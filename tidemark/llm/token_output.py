@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_folder, open_fs, spread
-from tidemark.llm.encoding import SegmentEncoder
+from tidemark.llm.encoding import encoder_for
 
 NULL_ID = np.iinfo(np.int64).min
 BATCH_CHARS = 4_000_000
@@ -59,7 +59,7 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_i
         for batch in batches:
             for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if out is None:
-                    encoder = SegmentEncoder(tokenizer_path, end_id)
+                    encoder = encoder_for(tokenizer_path, end_id)
                     fs, folder = open_fs(out_dir)
                     fs.create_dir(folder, recursive=True)
                     at = f"{folder}/shard-{shard:05d}"

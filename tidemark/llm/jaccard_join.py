@@ -9,6 +9,8 @@
    alike share l shingles of such prefixes; with different l, the smaller l. l is chosen for each
    class by estimated cost: a longer prefix meets more postings, but fewer candidates have as
    many shared shingles.
+   The rarest shingles that a class shares with none bound its overlap with any other; pairs that
+   this bound excludes are never formed.
 4. Each class is compared with the most central class of each of its prefix shingles; these
    links give first components. Shingles whose classes lie in one component need no further
    comparison: a large group of near copies is settled by comparisons in proportion to its size.
@@ -20,6 +22,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +73,12 @@ class ShingleHasher:
         return np.unique(s)
 
 
+@lru_cache(maxsize=4)
+def hasher_for(words: int) -> ShingleHasher:
+    """One hasher a Python worker: its memo serves all tasks that the worker runs."""
+    return ShingleHasher(words)
+
+
 def set_id(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
@@ -89,7 +98,7 @@ def inventory(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Two staged tables of one pass: (doc_id, n, cid) per document, and partial sketches (chunk, counts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = ShingleHasher(words), set()
+        hasher, seen = hasher_for(words), set()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
@@ -149,7 +158,7 @@ def matches_for(counts: np.ndarray, n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """Rows (token, cid, n, matches, central) of the prefix shingles of each class.
+    """Rows (token, cid, n, matches, central, place) of the prefix shingles of each class.
 
     A task emits a class once; other tasks may emit it again, which changes nothing below.
     """
@@ -159,7 +168,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> D
     shared = spark.sparkContext.broadcast((level, excess))  # 5 * 2^SKETCH_BITS bytes, whatever the input
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, (level, excess) = ShingleHasher(words), set(), shared.value
+        hasher, seen, (level, excess) = hasher_for(words), set(), shared.value
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             for _, texts in text_batches([None] * batch.num_rows, batch.column(0).to_pylist()):
@@ -184,64 +193,50 @@ def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> D
                     meta.append((cid, n, m, int(q.sum()) * 16 // n, len(own)))
                 if tokens:
                     cid, n, m, central, size = (np.array(x, np.int64) for x in zip(*meta))
-                    yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).astype(np.int64), "cid": np.repeat(cid, size), "n": np.repeat(n, size).astype(np.int32), "matches": np.repeat(m, size).astype(np.int16), "central": np.repeat(central, size).astype(np.int16)})
+                    yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).astype(np.int64), "cid": np.repeat(cid, size), "n": np.repeat(n, size).astype(np.int32), "matches": np.repeat(m, size).astype(np.int16), "central": np.repeat(central, size).astype(np.int16), "place": np.concatenate([np.arange(k) for k in size]).astype(np.int32)})
 
-    return docs.select("text").mapInArrow(work, "token long, cid long, n int, matches short, central short")
+    return docs.select("text").mapInArrow(work, "token long, cid long, n int, matches short, central short, place int")
 
 
-def could_match(n: str, m: str, percent: int):
-    """The smaller set has at least ``percent`` of the larger one's size."""
-    return (100 * F.least(n, m)).cast("long") >= percent * F.greatest(n, m).cast("long")
+def could_match(x: tuple[str, str], y: tuple[str, str], percent: int):
+    """Whether two classes, each given as (size, shingles that may be shared), can be alike enough."""
+    sizes = F.col(x[0]).cast("long") + F.col(y[0])
+    return (100 + percent) * F.least(x[1], y[1]).cast("long") >= percent * sizes
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are alike enough.
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are alike enough; ``classes``: (cid, rep), a document of each.
 
-    The sets of the classes that stand in pairs are shuffled to them. A bitmap of fixed size
-    keeps most other documents out of that shuffle; where it is full it only saves less.
+    The sets of the classes that stand in pairs are made from their representatives and shuffled
+    to the pairs. A bitmap of fixed size tells most other documents apart by their ids; where it
+    is full it only saves less.
     """
     spark = docs.sparkSession
-    position = F.pmod(F.xxhash64("cid"), F.lit(MEMBER_BITS))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select((position + 1).alias("bit"))
+    position = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select((position("rep") + 1).alias("bit"))
     rows = nodes.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()  # at most MEMBER_BITS bits
-    if not rows:
-        return pairs
     member = np.zeros(MEMBER_BITS // 8, np.uint8)
     for r in rows:
         member[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(member)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = ShingleHasher(words), set()
+        hasher, bits = hasher_for(words), shared.value
         for batch in batches:
-            for _, texts in text_batches([None] * batch.num_rows, batch.column(0).to_pylist()):
-                found = []
-                for t in texts:
-                    s = hasher.of(t)
-                    cid = set_id(s)
-                    if len(s) and cid not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen.add(cid)
-                        found.append((cid, s.tobytes()))
+            at = batch.column(0).to_numpy()
+            hit = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+            texts = batch.column(1).filter(pa.array(hit)).to_pylist()
+            for _, own in text_batches([None] * len(texts), texts):
+                found = [s for s in map(hasher.of, own) if len(s)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["cid", "hashes"])
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = bits[at >> 3] >> (at & 7) & 1
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["cid", "hashes"]).filter(pa.array(hit.astype(bool)))
+                    yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "hashes"])
 
-    own = docs.select("text").mapInArrow(sets, "cid long, hashes binary").withColumn("bit", position).mapInArrow(wanted, "cid long, hashes binary")
-    own = own.dropDuplicates(["cid"])
+    own = docs.select(position(F.col("doc_id").cast("long")).alias("bit"), "text").mapInArrow(sets, "cid long, hashes binary").dropDuplicates(["cid"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)]
+            x, y = batch.column(2), batch.column(3)
+            good = [alike(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
             if any(good):
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
@@ -267,6 +262,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def matchable(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows whose class could be alike enough to the smallest class of the same shingle."""
+    least = F.min("n").over(Window.partitionBy("token"))
+    return rows.withColumn("least_n", least).filter((100 + percent) * F.col("most").cast("long") >= percent * (F.col("n").cast("long") + F.col("least_n"))).drop("least_n")
+
+
 def ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -281,26 +282,31 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     """
     documents, parts = inventory(docs, words)
     sketch = summed_sketch(parts)
+    classes = staged(documents.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
     by_token = Window.partitionBy("token")
-    central = F.struct("central", "cid", "n")
-    lined = prefixes(docs, words, percent, sketch).withColumns({"lo": F.min("cid").over(by_token), "hi": F.max("cid").over(by_token), "lead": F.max(central).over(by_token)})
-    shared = staged(lined.filter(F.col("lo") != F.col("hi")).select("token", "cid", "n", "matches", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n")), "shared-prefixes")
-
-    first = shared.filter((F.col("cid") != F.col("lead")) & could_match("n", "lead_n", percent)).select(*ordered("cid", "lead"))
+    lined = prefixes(docs, words, percent, sketch).withColumns({"lo": F.min("cid").over(by_token), "hi": F.max("cid").over(by_token)}).filter(F.col("lo") != F.col("hi"))
+    # of its prefix, a class shares nothing before its first shared shingle
+    may_share = F.col("n") - F.min("place").over(Window.partitionBy("cid"))
+    shared = staged(lined.withColumn("most", may_share).select("token", "cid", "n", "matches", "central", "most"), "shared-prefixes")
+
+    lead = F.max(F.struct("central", "most", "cid", "n")).over(by_token)
+    first = matchable(shared, percent).withColumn("lead", lead).select("cid", "n", "most", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.most").alias("lead_most"))
+    first = first.filter((F.col("cid") != F.col("lead")) & could_match(("n", "most"), ("lead_n", "lead_most"), percent)).select(*ordered("cid", "lead"))
     first = staged(first.distinct(), "central-pairs")
-    links = staged(verified(first, docs, words, percent), "central-links")
+    links = staged(verified(first, docs, classes, words, percent), "central-links")
     known = components(links)
 
-    placed = shared.select("token", "cid", "n", "matches").distinct().join(known, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "matches", F.coalesce("label", "cid").alias("label"))
-    placed = placed.withColumns({"lo": F.min("label").over(by_token), "hi": F.max("label").over(by_token)}).filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
+    placed = shared.drop("central").distinct().join(known, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "matches", "most", F.coalesce("label", "cid").alias("label"))
+    placed = matchable(placed, percent).withColumns({"lo": F.min("label").over(by_token), "hi": F.max("label").over(by_token)}).filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
     placed = staged(placed, "open-prefixes")
-    x, y = placed.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cid", "n", "matches", "label"))), placed.select("token", *(F.col(c).alias(f"y_{c}") for c in ("cid", "n", "matches", "label")))
-    met = x.join(y, (x.token == y.token) & (F.col("x_label") < F.col("y_label")) & could_match("x_n", "y_n", percent))
+    side = lambda s: placed.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "matches", "most", "label")))
+    met = side("x").join(side("y"), "token").filter((F.col("x_label") < F.col("y_label")) & could_match(("x_n", "x_most"), ("y_n", "y_most"), percent))
     rest = met.groupBy(*ordered("x_cid", "y_cid")).agg(F.count("*").alias("shared"), F.min(F.least("x_matches", "y_matches")).alias("needed")).filter("shared >= needed").select("a", "b")
     rest = staged(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
-    more = staged(verified(rest, docs, words, percent), "other-links")
-    if not more.isEmpty():
-        known = components(links.unionByName(more))
+    if not rest.isEmpty():
+        more = staged(verified(rest, docs, classes, words, percent), "other-links")
+        if not more.isEmpty():
+            known = components(links.unionByName(more))
 
     grouped = documents.join(known, documents.cid == known.node, "left").select("doc_id", "n", F.coalesce("label", "cid").alias("label"))
     heads = grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("head"))

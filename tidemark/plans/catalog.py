@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import feature_queries, market_queries
+from tidemark.plans import feature_queries, market_queries, study_queries
 
-_MODULES = (market_queries, feature_queries)
+_MODULES = (market_queries, feature_queries, study_queries)
 
 
 def queries() -> dict:

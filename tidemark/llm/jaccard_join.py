@@ -9,8 +9,8 @@
    alike share l shingles of such prefixes; with different l, the smaller l. l is chosen for each
    class by estimated cost: a longer prefix meets more postings, but fewer candidates have as
    many shared shingles.
-   The rarest shingles that a class shares with none bound its overlap with any other; pairs that
-   this bound excludes are never formed.
+   The place of a shared shingle in either prefix bounds the overlap: what stands before a pair's
+   first shared shingle is not shared. Rows and pairs that this bound excludes are never formed.
 4. Each class is compared with the most central class of each of its prefix shingles; these
    links give first components. Shingles whose classes lie in one component need no further
    comparison: a large group of near copies is settled by comparisons in proportion to its size.
@@ -36,7 +36,7 @@ from tidemark.llm.token_output import text_batches
 SKETCH_BITS = 20
 CHUNK = 1 << 14
 MEMBER_BITS = 1 << 26
-MATCHES = (1, 2, 3, 4, 6, 8)
+MATCHES = (1, 2, 3, 4)
 VERIFY_COST = 30
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -198,10 +198,13 @@ def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> D
     return docs.select("text").mapInArrow(work, "token long, cid long, n int, matches short, central short, place int")
 
 
-def could_match(x: tuple[str, str], y: tuple[str, str], percent: int):
-    """Whether two classes, each given as (size, shingles that may be shared), can be alike enough."""
-    sizes = F.col(x[0]).cast("long") + F.col(y[0])
-    return (100 + percent) * F.least(x[1], y[1]).cast("long") >= percent * sizes
+def bounded(room, matches, sizes, percent: int):
+    """Whether classes of ``sizes`` together can be alike enough where ``room`` shingles of the smaller side follow a match.
+
+    Of a pair alike enough, each of the first ``matches`` shared shingles has at most
+    ``matches - 1`` shared ones before it, so it passes.
+    """
+    return (100 + percent) * (room.cast("long") + matches - 1) >= percent * sizes.cast("long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -263,9 +266,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def matchable(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows whose class could be alike enough to the smallest class of the same shingle."""
+    """Rows that can be among the first matches with the smallest class of the same shingle."""
     least = F.min("n").over(Window.partitionBy("token"))
-    return rows.withColumn("least_n", least).filter((100 + percent) * F.col("most").cast("long") >= percent * (F.col("n").cast("long") + F.col("least_n"))).drop("least_n")
+    return rows.withColumn("least_n", least).filter(bounded(F.col("n") - F.col("place"), F.col("matches"), F.col("n") + F.col("least_n"), percent)).drop("least_n")
 
 
 def ordered(x: str, y: str) -> list:
@@ -284,24 +287,24 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     sketch = summed_sketch(parts)
     classes = staged(documents.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
     by_token = Window.partitionBy("token")
-    lined = prefixes(docs, words, percent, sketch).withColumns({"lo": F.min("cid").over(by_token), "hi": F.max("cid").over(by_token)}).filter(F.col("lo") != F.col("hi"))
-    # of its prefix, a class shares nothing before its first shared shingle
-    may_share = F.col("n") - F.min("place").over(Window.partitionBy("cid"))
-    shared = staged(lined.withColumn("most", may_share).select("token", "cid", "n", "matches", "central", "most"), "shared-prefixes")
-
-    lead = F.max(F.struct("central", "most", "cid", "n")).over(by_token)
-    first = matchable(shared, percent).withColumn("lead", lead).select("cid", "n", "most", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.most").alias("lead_most"))
-    first = first.filter((F.col("cid") != F.col("lead")) & could_match(("n", "most"), ("lead_n", "lead_most"), percent)).select(*ordered("cid", "lead"))
+    several = lambda rows, node: rows.withColumns({"lo": F.min(node).over(by_token), "hi": F.max(node).over(by_token)}).filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
+    shared = staged(several(matchable(several(prefixes(docs, words, percent, sketch), "cid"), percent), "cid"), "shared-prefixes")
+
+    room = lambda s: F.col(f"{s}n") - F.col(f"{s}place")
+    lead = F.max(F.struct("central", "cid", "n", "place", "matches")).over(by_token)
+    first = shared.withColumn("lead", lead).select("cid", "n", "place", "matches", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("cid", "n", "place", "matches")))
+    first = first.filter((F.col("cid") != F.col("lead_cid")) & bounded(F.least(room(""), room("lead_")), F.least("matches", "lead_matches"), F.col("n") + F.col("lead_n"), percent)).select(*ordered("cid", "lead_cid"))
     first = staged(first.distinct(), "central-pairs")
     links = staged(verified(first, docs, classes, words, percent), "central-links")
     known = components(links)
 
-    placed = shared.drop("central").distinct().join(known, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "matches", "most", F.coalesce("label", "cid").alias("label"))
-    placed = matchable(placed, percent).withColumns({"lo": F.min("label").over(by_token), "hi": F.max("label").over(by_token)}).filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
-    placed = staged(placed, "open-prefixes")
-    side = lambda s: placed.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "matches", "most", "label")))
-    met = side("x").join(side("y"), "token").filter((F.col("x_label") < F.col("y_label")) & could_match(("x_n", "x_most"), ("y_n", "y_most"), percent))
-    rest = met.groupBy(*ordered("x_cid", "y_cid")).agg(F.count("*").alias("shared"), F.min(F.least("x_matches", "y_matches")).alias("needed")).filter("shared >= needed").select("a", "b")
+    placed = shared.drop("central").distinct().join(known, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "matches", "place", F.coalesce("label", "cid").alias("label"))
+    placed = staged(several(matchable(several(placed, "label"), percent), "label"), "open-prefixes")
+    side = lambda s: placed.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "matches", "place", "label")))
+    sizes, needed = F.col("x_n") + F.col("y_n"), F.least("x_matches", "y_matches")
+    met = side("x").join(side("y"), "token").filter((F.col("x_label") < F.col("y_label")) & bounded(F.least(room("x_"), room("y_")), needed, sizes, percent))
+    pairs = met.groupBy("x_cid", "y_cid").agg(F.count("*").alias("shared"), F.min(needed).alias("needed"), F.min(sizes).alias("sizes"), F.least(F.max(room("x_")), F.max(room("y_"))).alias("room"))
+    rest = pairs.filter((F.col("shared") >= F.col("needed")) & bounded(F.col("room"), F.lit(1), F.col("sizes"), percent)).select(*ordered("x_cid", "y_cid"))
     rest = staged(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
     if not rest.isEmpty():
         more = staged(verified(rest, docs, classes, words, percent), "other-links")

@@ -92,7 +92,7 @@ def base_failed() -> Column:
 
 
 def _ln_gamma(x: Column) -> Column:
-    """ln Gamma for x >= 1 by Stirling's series after a shift by 8 (error under 1e-13)."""
+    """ln Gamma for x >= 1 by Stirling's series after a shift by 8 (relative error about 1e-12)."""
     z = x + 8
     shift = sum((F.ln(x + k) for k in range(8)), F.lit(0.0))
     series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
@@ -111,7 +111,7 @@ def thresholds(measures: DataFrame, labels: DataFrame, total_risk: float = TOTAL
     counts = [F.count("*").alias("n")]
     for rule, cuts in CUTOFFS.items():
         counts.append(F.array(*(F.count_if(score(rule) > c) for c in cuts)).alias(rule))
-    rows = holdout.groupBy("stratum").agg(*counts)
+    rows = staged(holdout.groupBy("stratum").agg(*counts), "quality-holdout")  # a row a stratum: the measures are taken once
     tried = None
     for rule, cuts in CUTOFFS.items():
         own = rows.select("stratum", "n", F.lit(rule).alias("rule"), F.posexplode(F.arrays_zip(F.lit(list(cuts)).alias("cutoff"), F.col(rule).alias("rejected"))).alias("rank", "pair"))

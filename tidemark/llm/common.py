@@ -49,6 +49,18 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+_memo: tuple = (None, None)
+
+
+def worker_memo(key: tuple, make):
+    """What ``make`` returns, kept in the Python worker for its next tasks; a worker keeps one such thing at a time."""
+    global _memo
+    if _memo[0] != key:
+        _memo = (None, None)
+        _memo = (key, make())
+    return _memo[1]
+
+
 def spread(spark: SparkSession, least: int = 8) -> int:
     """Number of partitions for an explicit repartition: the session's shuffle width."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,21 +2,24 @@
 
 A byte-level pre-tokenizer cuts before every single space that stands between two
 non-space characters, whatever stands around it, so the ids of a text are the ids of its
-space-separated segments (each with the space before it) in a row. Segments repeat far more
-than texts do: each is encoded once by the tokenizers library and its ids are kept.
+space-separated segments (each with the space before it) in a row. The same holds for a line
+end between two such characters. Segments repeat far more than texts do: each is encoded once
+by the tokenizers library and its ids are kept.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from tidemark.llm.common import worker_memo
+
 _ADJACENT_SPACE = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = ",.;:!?"
 
 
 class SegmentEncoder:
@@ -36,34 +39,49 @@ class SegmentEncoder:
         for token, i in vocabulary.items():
             self.width[i] = len(token.encode() if i in added else token)
         self.end = np.array([end_id], self.dtype).tobytes()
+        self.marks = {m: self._alone(m) for m in _MARKS}
         self.max_entries = max_entries
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, segments: set[str]) -> None:
-        """Encode new segments: those that may stand side by side as one text, the others alone.
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of new segments (written without the space before them, but with a line end).
 
-        The ids of the one text are dealt out by the bytes that each id stands for.
+        A word with one mark after it is cut before the mark by the pre-tokenizer, so it is put
+        together from both. All other segments but those with spaces at an end stand side by side
+        as one text; its ids are dealt out by the bytes that each id stands for.
         """
-        alone = [s for s in segments if s[:1] != " " or s[-1].isspace()]
+        known, older = self.known, self.older
+        marked = [s for s in missing if s[-1:] in _MARKS and s[:-1].isalpha()]
+        stems = {s[:-1] for s in marked}.difference(known)
+        for s in stems.intersection(older):
+            known[s] = older[s]
+        plain = missing.difference(marked) | stems.difference(known)
+        before = lambda s: "" if s[:1] == "\n" else " "
+        alone = [s for s in plain if s[-1:].isspace() or not s]
         for s in alone:
-            self.known[s] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, self.dtype).tobytes()
-        together = list(segments.difference(alone))
-        if not together:
-            return
+            known[s] = self._alone(before(s) + s)
+        together = list(plain.difference(alone))
         for k in range(0, len(together), 8192):
             own = together[k : k + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.cumsum(np.fromiter((len(s.encode()) for s in own), np.int64, len(own)))
+            texts = [before(s) + s for s in own]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.cumsum(np.fromiter((len(s.encode()) for s in texts), np.int64, len(own)))
             cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.dtype.itemsize
             data, at = ids.tobytes(), 0
             for s, end in zip(own, cuts.tolist()):
-                self.known[s] = data[at:end]
+                known[s] = data[at:end]
                 at = end
+        for s in marked:
+            known[s] = known[s[:-1]] + self.marks[s[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text with the end id; a null text is empty."""
-        cut = [self._cut(t) if t else () for t in texts]
+        cut = [self._cut(t) if t else [""] for t in texts]
+        heads = [x.pop(0) for x in cut]  # what no space stands before
         wanted = set().union(*cut)
         missing = wanted.difference(self.known)
         if len(self.known) + len(missing) > self.max_entries:
@@ -72,19 +90,13 @@ class SegmentEncoder:
         self.known.update(zip(again, map(self.older.__getitem__, again)))
         self._learn(missing.difference(again))
         get, end = self.known.__getitem__, self.end
-        return [b"".join(map(get, x)) + end for x in cut]
+        return [(self._alone(h) if h else b"") + b"".join(map(get, x)) + end for h, x in zip(heads, cut)]
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        parts = _SAFE_CUT.split(text) if _ADJACENT_SPACE.search(text) else text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out = [" " + x for x in parts]
-        out[0] = parts[0]
-        return [x for x in out if x] if not parts[0] else out
+        return _SAFE_CUT.split(text) if _ADJACENT_SPACE.search(text) else text.replace("\n", " \n").split(" ")
 
 
-@lru_cache(maxsize=1)
 def encoder_for(path: str, end_id: int) -> SegmentEncoder:
     """One encoder a Python worker: its memo serves all tasks that the worker runs."""
-    return SegmentEncoder(path, end_id)
+    return worker_memo(("encoder", path, end_id), lambda: SegmentEncoder(path, end_id))

@@ -22,7 +22,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread, staged
+from tidemark.llm.common import spread, staged, worker_memo
 from tidemark.llm.token_output import text_batches
 
 SKETCH_BITS = 20
@@ -73,10 +72,9 @@ class ShingleHasher:
         return np.unique(s)
 
 
-@lru_cache(maxsize=4)
 def hasher_for(words: int) -> ShingleHasher:
     """One hasher a Python worker: its memo serves all tasks that the worker runs."""
-    return ShingleHasher(words)
+    return worker_memo(("shingles", words), lambda: ShingleHasher(words))
 
 
 def set_id(s: np.ndarray) -> int:

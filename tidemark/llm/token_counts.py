@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import worker_memo
 from tidemark.llm.token_output import text_batches
 
 _CUT = re.compile(r"[ \n]+")
@@ -127,6 +128,11 @@ class MergeCounter:
         return total
 
 
+def counter_for(path: str) -> MergeCounter:
+    """One counter a Python worker: its memo serves all tasks that the worker runs."""
+    return worker_memo(("counter", path), lambda: MergeCounter(path))
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document; null text: 0 bytes, 0 tokens.
 
@@ -134,7 +140,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = MergeCounter(tokenizer_path)
+        counter = counter_for(tokenizer_path)
         for batch in batches:
             for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = np.fromiter(map(counter.count, texts), np.int64, len(texts))

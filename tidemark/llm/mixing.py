@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.ordinal import BITS, HashedText, grade
+from tidemark.llm.ordinal import BITS, HashedText, grade, hashed_text
 from tidemark.llm.token_output import text_batches
 
 DOMAINS = ("toxic", "poor", "good")
@@ -71,14 +71,14 @@ def train(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> t
         chosen = own if chosen is None else chosen.unionByName(own)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedText()
+        hashed = hashed_text()
         for batch in batches:
             found = [np.sort(hashed.of(t)).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "grade", "features"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
-    found = joined.mapInArrow(features, "doc_id long, grade int, features binary").orderBy("doc_id", "features").collect()
-    unique = {r["doc_id"]: (r["grade"], np.frombuffer(r["features"], "<i4").astype(np.int64)) for r in found}
+    found = joined.mapInArrow(features, "doc_id long, grade int, features binary").collect()
+    unique = {r["doc_id"]: (r["grade"], np.frombuffer(r["features"], "<i4").astype(np.int64)) for r in sorted(found, key=lambda r: (r["doc_id"], r["features"]))}
     number = Counter(g for g, _ in unique.values())
     return fit_softmax(list(unique.values()), {g: size.get(g, 0) / max(1, number[g]) for g in range(len(DOMAINS))})
 
@@ -86,8 +86,9 @@ def train(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> t
 def memberships(texts: list[str | None], hashed: HashedText, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and posteriors of each text."""
     weights, bias = model
-    tokens = np.array([len(t.split()) if t else 0 for t in texts], np.int64)
-    return tokens, softmax(np.array([weights[hashed.of(t)].sum(axis=0) for t in texts]).reshape(-1, len(bias)) + bias)
+    words = [t.split() if t else [] for t in texts]
+    tokens = np.array([len(w) for w in words], np.int64)
+    return tokens, softmax(np.array([weights[hashed.of(t, w)].sum(axis=0) for t, w in zip(texts, words)]).reshape(-1, len(bias)) + bias)
 
 
 def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -95,7 +96,7 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedText()
+        hashed = hashed_text()
         for batch in batches:
             for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens, p = memberships(texts, hashed, shared.value)
@@ -174,7 +175,7 @@ def mixed_stage(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedText()
+        hashed = hashed_text()
         for batch in batches:
             _, p = memberships(batch.column(text).to_pylist(), hashed, shared.value)
             chance = np.array([xxhash.xxh3_64_intdigest(str(i)) / 2.0**64 for i in batch.column(doc_id).to_pylist()])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import worker_memo
 from tidemark.llm.token_output import text_batches
 
 BITS = 18
@@ -55,20 +57,19 @@ class HashedText:
             out.append(self._hash("capitals"))
         return tuple(out)
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
+    def of(self, text: str | None, words: list[str] | None = None) -> np.ndarray:
+        """Distinct features of a text; ``words``: its words, where they are at hand."""
+        text = text or ""
+        words = text.split() if words is None else words
         if not words:
             return np.array([self._hash("empty")], np.int64)
         known = self.known
         if len(known) > self.max_entries:
             known.clear()
         counts = Counter(words)
-        found: set[int] = set()
-        for w in counts:
-            own = known.get(w)
-            if own is None:
-                own = known[w] = self._word(w)
-            found.update(own)
+        for w in counts.keys() - known.keys():
+            known[w] = self._word(w)
+        found = set(chain.from_iterable(map(known.__getitem__, counts)))
         top = counts.most_common(1)[0][1] / len(words)
         extra = [f"top{int(10 * top)}", f"variety{int(10 * len(counts) / len(words))}", f"length{int(math.log2(len(words)))}"]
         lines = text.split("\n")
@@ -79,6 +80,11 @@ class HashedText:
         return np.fromiter(found, np.int64, len(found))
 
 
+def hashed_text() -> HashedText:
+    """One hasher a Python worker: its memo serves all tasks that the worker runs."""
+    return worker_memo(("hashed text",), HashedText)
+
+
 def fit(rows: list[tuple[int, np.ndarray]], stands: dict[int, float], bits: int = BITS, epochs: int = EPOCHS, l1: float = 0.3, alpha: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and the two thresholds. ``stands``: how many labelled rows a row of each grade stands for."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -132,14 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, keep:
         chosen = own if chosen is None else chosen.unionByName(own)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedText()
+        hashed = hashed_text()
         for batch in batches:
             found = [np.sort(hashed.of(t)).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "grade", "features"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
-    rows = joined.mapInArrow(features, "doc_id long, grade int, features binary").orderBy("doc_id", "features").collect()
-    unique = {r["doc_id"]: (r["grade"], np.frombuffer(r["features"], "<i4").astype(np.int64)) for r in rows}
+    rows = joined.mapInArrow(features, "doc_id long, grade int, features binary").collect()
+    unique = {r["doc_id"]: (r["grade"], np.frombuffer(r["features"], "<i4").astype(np.int64)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["features"]))}
     number = Counter(g for g, _ in unique.values())
     return fit(list(unique.values()), {g: size.get(g, 0) / max(1, number[g]) for g in range(3)})
 
@@ -153,7 +159,7 @@ def graded(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, (weights, cut) = HashedText(), shared.value
+        hashed, (weights, cut) = hashed_text(), shared.value
         for batch in batches:
             for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 score = np.array([weights[hashed.of(t)].sum() for t in texts])

@@ -195,7 +195,7 @@ def associated_terms(examples: DataFrame, max_terms: int) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS, max_terms: int = MAX_TERMS) -> Index:
-    """The index over the sample. Without rows of both labels, every score is the training rate."""
+    """The index over the sample. Without rows of both labels, every score is the (smoothed) training rate."""
     examples, size = sample(docs, labels, per_class)
     examples = examples.persist()
     terms = associated_terms(examples, max_terms)
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     all_rows = size.get(0, 0) + size.get(1, 0)
     empty = [r for r in rows if not r["terms"]]
     of = lambda c: sum(stands[c] for r in empty if r["toxic"] == c)
-    empty_score = (of(1) + 0.25) / (of(0) + of(1) + 0.5) if terms else (size.get(1, 0) + 0.25) / (all_rows + 0.5)
+    empty_score = (of(1) + 0.25) / (of(0) + of(1) + 1) if terms else (size.get(1, 0) + 0.25) / (all_rows + 1)
     # examples of one label and like terms lie in like blocks, which makes the block bounds tight
     rows = sorted((r for r in rows if r["terms"]), key=lambda r: (r["toxic"], min(r["terms"]), r["doc_id"]))
     held = np.zeros(len(terms))

@@ -48,8 +48,9 @@ def normalized(x: Column, mode: Column, a: Column, b: Column) -> Column:
 def apply_bounds(long: DataFrame, bounds: DataFrame) -> DataFrame:
     """``long`` with normalized; every (symbol, feature) must have bounds (a missing one raises)."""
     d = long.join(bounds.select("symbol", "feature", "abs_min", "abs_max"), ["symbol", "feature"], "left")
-    a = F.when(F.col("abs_min").isNull(), F.raise_error(F.concat(F.lit("no bounds for "), F.col("symbol"), F.lit("/"), F.col("feature")))).otherwise(F.col("abs_min"))
-    return d.withColumn("normalized", normalized(F.col("value"), F.col("mode"), a, F.col("abs_max"))).drop("abs_min", "abs_max")
+    missing = F.raise_error(F.concat(F.lit("no bounds for "), F.col("symbol"), F.lit("/"), F.col("feature"))).cast("double")
+    value = normalized(F.col("value"), F.col("mode"), F.col("abs_min"), F.col("abs_max"))
+    return d.withColumn("normalized", F.when(F.col("abs_min").isNull(), missing).otherwise(value)).drop("abs_min", "abs_max")
 
 
 def update_bounds_json(bounds: DataFrame, path: str) -> dict:

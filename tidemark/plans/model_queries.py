@@ -43,7 +43,7 @@ LONG = f"{BASE}, bk as (select *, ntile(6) over (partition by symbol order by de
 @query(f"""with {LONG}, u as (select feature, max(n) as dominant, count(*) as unique_values from (select feature, value, count(*) as n from lg where value is not null group by all) group by feature),
 d as (select feature, count(*) as row_count, count(value) as present, avg(value) as mean, stddev_pop(value) as std, min(value) as min_value, max(value) as max_value, avg((value = 0)::int) as zero_ratio, quantile_cont(value, 0.001) as q001, quantile_cont(value, 0.01) as q01, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.99) as q99, quantile_cont(value, 0.999) as q999 from lg group by feature)
 select feature, row_count, present, round(mean, 9) as mean, round(std, 9) as std, round(min_value, 9) as min_value, round(max_value, 9) as max_value, round(zero_ratio, 9) as zero_ratio, round(q001, 9) as q001, round(q01, 9) as q01, round(median, 9) as median, round(q99, 9) as q99, round(q999, 9) as q999, unique_values, row_count - present as missing, round(dominant / present, 9) as dominant_ratio,
-  unique_values <= 1 as constant, dominant / present >= 0.99 as near_constant, unique_values <= 2 or zero_ratio >= 0.95 as sparse, greatest(abs(min_value), abs(max_value)) > 100 * greatest(abs(q01), abs(q99)) and greatest(abs(q01), abs(q99)) > 0 as extreme_tail from d join u using (feature)""")
+  unique_values <= 1 as constant, dominant / present >= 0.99 as near_constant, unique_values <= 2 or zero_ratio >= 0.95 as sparse, coalesce(greatest(abs(min_value), abs(max_value)) > 100 * greatest(abs(q01), abs(q99)), false) and greatest(abs(q01), abs(q99)) > 0 as extreme_tail from d left join u using (feature)""")
 def feature_qc(spark, sf_dir):
     return screening.numeric_profile(feature_rows(spark, sf_dir))
 

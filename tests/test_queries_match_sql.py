@@ -47,5 +47,5 @@ def test_query(spark, duck, name):
 
 def test_rows_only_queries_run(spark):
     for name in sorted(set(catalog.queries()) - set(catalog.oracle_sql())):
-        if name not in ("ridge_metrics", "vn_ridge_metrics"):  # too few training rows at this size
-            assert catalog.queries()[name](spark, SF).count() > 0, name
+        n = catalog.queries()[name](spark, SF).count()
+        assert n > 0 or name in ("ridge_metrics", "vn_ridge_metrics"), name  # too few rows at this size

@@ -41,10 +41,13 @@ def fit_ridge(train: DataFrame, features: list[str], target: str = "y", alpha: f
     """Robust-scaled features, standardised target, normal equations.
 
     One pass for the quantiles and one for the sums X'X and X'y; only these (features squared)
-    reach the driver. Rows with a missing value are left out.
+    reach the driver. Rows with a missing value are left out; without any row every prediction is 0.
     """
     d = train.select(*(F.col(f).cast("double") for f in features), F.col(target).cast("double").alias("_y")).dropna()
     stats = {r["feature"]: r for r in scaler_statistics(d.withColumn("_k", F.lit(0)), ["_k"], features).collect()}
+    if not stats:
+        zeros = np.zeros(len(features))
+        return Ridge(features, zeros, zeros + 1, 0.0, 1.0, zeros, 0.0)
     center, scale = np.array([stats[f]["center"] for f in features]), np.array([stats[f]["scale"] for f in features])
     row = d.agg(F.avg("_y").alias("m"), F.stddev_pop("_y").alias("s")).first()
     mean, std = row["m"], row["s"] or 1.0

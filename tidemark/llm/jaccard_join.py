@@ -35,7 +35,7 @@ from tidemark.llm.token_output import text_batches
 SKETCH_BITS = 20
 CHUNK = 1 << 14
 MEMBER_BITS = 1 << 26
-MATCHES = (1, 2, 3, 4)
+MATCHES = (1, 2)
 VERIFY_COST = 30
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 

@@ -67,7 +67,7 @@ class HashedText:
         if len(known) > self.max_entries:
             known.clear()
         counts = Counter(words)
-        for w in counts.keys() - known.keys():
+        for w in set(counts).difference(known):
             known[w] = self._word(w)
         found = set(chain.from_iterable(map(known.__getitem__, counts)))
         top = counts.most_common(1)[0][1] / len(words)

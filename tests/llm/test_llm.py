@@ -308,6 +308,96 @@ def test_licences(spark, odd):
     assert licenses.licence_scan(odd).count() == 11 and licenses.licence_scan(odd.limit(0)).count() == 0
 
 
+APACHE_HEADER = '''Copyright 2020 Some Owner
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.'''
+MIT_TEXT = '''MIT License
+
+Copyright (c) 2020 Some Owner
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.'''
+BSD_TEXT = '''Copyright (c) 2020, Some Owner
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'''
+GPL_HEADER = '''This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.'''
+
+
+def test_licences_of_the_standard_texts(spark):
+    texts = {"Apache-2.0": APACHE_HEADER, "MIT": MIT_TEXT, "BSD": BSD_TEXT, "GPL-3.0": GPL_HEADER, "GPL-2.0": GPL_HEADER.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")}
+    first = {"Apache-2.0": "Licensed under", "MIT": "MIT License", "BSD": "All rights", "GPL-3.0": "This program", "GPL-2.0": "This program"}
+    last = {"Apache-2.0": "limitations under the License.", "MIT": "SOFTWARE.", "BSD": "SUCH DAMAGE.", "GPL-3.0": "licenses/>.", "GPL-2.0": "licenses/>."}
+    for mark in ("", " * "):
+        rows = [(i, "Some words.\n" + "\n".join((mark + x).rstrip() for x in t.split("\n")) + "\nMore words.") for i, t in enumerate(texts.values())]
+        got = {r.doc_id: r for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[i].licences for i, _ in rows] == [[name] for name in texts]
+        assert [got[i].permissive for i, _ in rows] == [True, True, True, False, False]
+        for (i, t), name in zip(rows, texts):
+            span = t[got[i].starts[0] : got[i].ends[0]].lstrip(" *")
+            assert span.startswith(first[name]) and span.endswith(last[name])
+    assert all(licenses._RARE.search(x) for x, name in licenses.known_sentences().items() if any(name in wanted for _, wanted, _ in licenses.RULES))
+
+
 def test_pipeline(spark, docs):
     sizes, d = [docs.count()], docs
     for _, stage in corpus_pipeline.STAGES[:-1]:

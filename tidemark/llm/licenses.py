@@ -19,31 +19,68 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.token_output import text_batches
 
-# Public licence sentences, by identifier.
+# Public licence sentences with their usual variants, by identifier.
+_PROGRAMS = ("This program", "This software", "This library", "This file")
+_GPL = "{program} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, {either}{version}"
+_BSD_HOLDERS = ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS", "AUTHOR AND CONTRIBUTORS", "AUTHORS AND CONTRIBUTORS", "AUTHOR", "AUTHORS", "COPYRIGHT HOLDERS", "COPYRIGHT HOLDER")
+_BSD_LIABLE = ("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS", "REGENTS OR CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS", "AUTHORS OR CONTRIBUTORS", "AUTHOR", "AUTHORS", "COPYRIGHT HOLDERS", "COPYRIGHT HOLDER")
 SENTENCES = {
-    "apache_2": ["Licensed under the Apache License, Version 2.0", "This software is licensed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "apache_may_not": ["you may not use this file except in compliance with the License"],
-    "apache_obtain": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "apache_2": ["Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License', "This software is licensed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "apache_title": ["Apache License Version 2.0, January 2004"],
+    "apache_may_not": ["you may not use this file except in compliance with the License", "you may not use this software except in compliance with the License"],
+    "apache_obtain": [f"You may obtain a copy of the License at {x}www.apache.org/licenses/LICENSE-2.0{y}" for x in ("http://", "https://", "") for y in ("", ".html", ".txt")],
     "as_is_basis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
+    "apache_see": ["See the License for the specific language governing permissions and limitations under the License"],
     "mit": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "SPDX-License-Identifier: MIT"],
-    "mit_grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "mit_notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "as_is": ["THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND"],
+    "mit_grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"] + [f'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so{x}' for x in (", subject to the following conditions", "")],
+    "mit_title": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "mit_notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
+    "as_is": ["THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND"] + [f"THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND {x}" for x in ("NONINFRINGEMENT", "NON-INFRINGEMENT")],
+    "no_event": [f"IN NO EVENT SHALL THE {x} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE" for x in ("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS", "COPYRIGHT HOLDERS")],
+    "gpl_3_title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl_2_title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl_2": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0"],
     "gpl_3": ["This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "gpl_redistribute": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl_hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "gpl_redistribute": [_GPL.format(program=x, either="either ", version=f"version 3 of the License{y}") for x in _PROGRAMS for y in (", or (at your option) any later version", "")] + [_GPL.format(program=x, either="", version="version 3 of the License") for x in _PROGRAMS],
+    "gpl_2_redistribute": [_GPL.format(program=x, either="either ", version=f"version 2 of the License{y}") for x in _PROGRAMS for y in (", or (at your option) any later version", "")] + [_GPL.format(program=x, either="", version="version 2 of the License") for x in _PROGRAMS],
+    "gpl_hope": [f"{x} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY{y}" for x in _PROGRAMS for y in ("", "; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE")],
+    "gpl_see": ["See the GNU General Public License for more details"],
+    "gpl_received": [f"You should have received a copy of the GNU General Public License along with {x}{y}" for x in _PROGRAMS for y in ("", "; if not, see http://www.gnu.org/licenses/", "; if not, see https://www.gnu.org/licenses/")],
     "cc_by_nc_4": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc_by_4": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc_by_sa_4": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "bsd_redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd_source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "bsd_binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd_endorse": [f"Neither the name of the {x} may be used to endorse or promote products derived from this software without specific prior written permission" for x in ("copyright holder nor the names of its contributors", "copyright holders nor the names of its contributors", "copyright owner nor the names of its contributors", "author nor the names of its contributors", "University nor the names of its contributors")],
+    "bsd_as_is": [f"THIS SOFTWARE IS PROVIDED BY THE {x} AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED" for x in _BSD_HOLDERS],
+    "bsd_no_event": [f"IN NO EVENT SHALL THE {x} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE" for x in _BSD_LIABLE],
     "bsd_short": ["Licensed under the BSD License", "SPDX-License-Identifier: BSD-3-Clause"],
     "rights_reserved": ["All rights reserved"],
 }
 #: Ordered rules: licence, sentence identifiers in order, permissive or not.
 RULES = [
+    ("BSD", ("rights_reserved", "bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_no_event"), True),
+    ("BSD", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_no_event"), True),
+    ("BSD", ("rights_reserved", "bsd_redistribution", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_no_event"), True),
+    ("BSD", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_no_event"), True),
+    ("MIT", ("mit_title", "mit_grant", "mit_notice", "as_is", "no_event"), True),
+    ("Apache-2.0", ("apache_2", "apache_may_not", "apache_obtain", "as_is_basis", "apache_see"), True),
+    ("Apache-2.0", ("apache_2", "apache_obtain", "as_is_basis", "apache_see"), True),
     ("Apache-2.0", ("apache_2", "apache_may_not", "apache_obtain", "as_is_basis"), True),
+    ("MIT", ("mit_grant", "mit_notice", "as_is", "no_event"), True),
+    ("GPL-3.0", ("gpl_redistribute", "gpl_hope", "gpl_see", "gpl_received"), False),
+    ("GPL-2.0", ("gpl_2_redistribute", "gpl_hope", "gpl_see", "gpl_received"), False),
+    ("BSD", ("bsd_redistribution", "bsd_source", "bsd_binary"), True),
     ("MIT", ("mit_grant", "mit_notice", "as_is"), True),
+    ("BSD", ("rights_reserved", "bsd_redistribution"), True),
     ("GPL-3.0", ("gpl_redistribute", "gpl_hope"), False),
+    ("GPL-2.0", ("gpl_2_redistribute", "gpl_hope"), False),
+    ("Apache-2.0", ("apache_title",), True),
+    ("GPL-3.0", ("gpl_3_title",), False),
+    ("GPL-2.0", ("gpl_2_title",), False),
+    ("GPL-2.0", ("gpl_2",), False),
+    ("GPL-2.0", ("gpl_2_redistribute",), False),
     ("Apache-2.0", ("apache_2",), True),
     ("MIT", ("mit",), True),
     ("MIT", ("mit_grant",), True),
@@ -59,6 +96,8 @@ RULES = [
 GAP = 3
 _ODD = re.compile(r"[^a-z0-9]+")
 _END = re.compile(r"(?<=[.!?;])\s+|\n+")
+# in normalised text; a text without any of these has no known sentence
+_RARE = re.compile(r"licen[sc]|permission|redistribut|copyright notice|provided as is|provided by the|rights reserved|free software|in the hope|may obtain a copy|may not use this|required by applicable|in no event shall|neither the name")
 
 
 def normalised(sentence: str) -> str:
@@ -69,28 +108,40 @@ def known_sentences() -> dict[str, str]:
     return {normalised(s): name for name, own in SENTENCES.items() for s in own}
 
 
-def sentence_ids(text: str, known: dict[str, str], opening: re.Pattern) -> list[tuple[int, str, int, int]]:
+def beginnings(known: dict[str, str]) -> set[str]:
+    """Every run of first words of the known sentences."""
+    return {" ".join(w[:k]) for w in (s.split(" ") for s in known) for k in range(1, len(w) + 1)}
+
+
+def sentence_ids(text: str, known: dict[str, str], opening: re.Pattern, begun: set[str]) -> list[tuple[int, str, int, int]]:
     """(sentence number, identifier, start, end) of the known sentences; a sentence may end in "," or ":" too.
 
-    Sentences of several lines are tried as well: a line that opens a known sentence is joined
-    with those after it, as long as it stays the beginning of one.
+    Sentences of several lines count as one: a line that opens a known sentence is joined with
+    those after it, as long as it stays the beginning of one, and the longest known one is taken.
+    Lines without letters and digits do not count.
     """
     cuts, at = [], 0
     for m in _END.finditer(text):
         cuts.append((at, m.start()))
         at = m.end()
     cuts.append((at, len(text)))
-    out, k = [], 0
+    out, k, number = [], 0, 0
     while k < len(cuts):
         start, end = cuts[k]
-        if opening.match(text, start):
-            for j in range(min(len(cuts), k + 8), k, -1):
-                name = known.get(normalised(text[start : cuts[j - 1][1]]))
-                if name:
-                    out.append((k, name, start, cuts[j - 1][1]))
-                    k = j - 1
+        taken, found = k + 1, None
+        if opening.match(text, start, end):
+            words = ""
+            for j in range(k, len(cuts)):
+                own = normalised(text[cuts[j][0] : cuts[j][1]])
+                words = f"{words} {own}".strip()
+                if words not in begun:
                     break
-        k += 1
+                if own and words in known:
+                    taken, found = j + 1, (number, known[words], start, cuts[j][1])
+        if found:
+            out.append(found)
+        number += bool(found or normalised(text[start:end]))
+        k = taken
     return out
 
 
@@ -131,11 +182,10 @@ def licence_scan(docs: DataFrame) -> DataFrame:
         known = known_sentences()
         words = sorted({k.split(" ")[0] for k in known})
         opening = re.compile(r"\W*(?:" + "|".join(map(re.escape, words)) + r")\b", re.IGNORECASE)
-        # a text without any of these words has no known sentence
-        rare = re.compile("licen[sc]|permission|redistribut|copyright notice|provided as is|rights reserved|free software|in the hope|obtain a copy|may not use this file|required by applicable", re.IGNORECASE)
+        begun = beginnings(known)
         for batch in batches:
             for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [match_rules(sentence_ids(t, known, opening)) if t and rare.search(t) else [] for t in texts]
+                found = [match_rules(sentence_ids(t, known, opening, begun)) if t and _RARE.search(normalised(t)) else [] for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),

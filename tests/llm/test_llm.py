@@ -257,6 +257,24 @@ def test_toxicity_block_max_is_exact():
         assert index.nearest(q, w, 15)[0].tolist() == want
 
 
+def test_toxicity_indexes_every_example(docs, labels):
+    index = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    train = labels.filter((toxicity.remainder(F.col("doc_id")) != 0) & F.col("toxic").isin(0, 1)).join(docs, "doc_id", "left_semi")
+    worded = {r.doc_id for r in train.collect() if toxicity.all_counts(texts[r.doc_id])}
+    assert set(index.ids.tolist()) == worded
+    assert set(index.vocabulary) == {t for i in worded for t in toxicity.all_counts(texts[i])}
+    finder = toxicity.TermFinder(index.vocabulary)
+    known = [t for t in texts.values() if len(finder.counts(t)[0])]
+    for t in known:
+        assert {i: int(n) for i, n in zip(*finder.counts(t))} == {index.vocabulary[x]: n for x, n in toxicity.all_counts(t).items() if x in index.vocabulary}
+    vectors = [index.vector(*finder.counts(t)) for t in known]
+    for vector, (near, cosine), (score, evidence) in zip(vectors, index.nearest_of_all(vectors, 15), index.scores(known, 15)):
+        one, its = index.nearest(*vector, 15)
+        assert near.tolist() == one.tolist() and np.allclose(cosine, its, atol=1e-9) and evidence == index.ids[one].tolist() and 0 <= score <= 1
+    assert len(known) > 0.95 * len(texts)
+
+
 def test_toxicity_odd(odd, docs, labels):
     got = toxicity.toxicity(odd, labels)
     assert got.count() == 11 and got.filter("score is null").count() == 0

@@ -2,13 +2,18 @@
 
 Fitting uses a bounded sample of the labelled training rows (at most ``per_class`` of each label,
 those of least hash of doc_id). Terms are words, word prefixes, and either of them met at least
-two, three or four times; the vocabulary is what the sample associates with the label beyond
-chance (likelihood ratio, corrected for the number of terms tried), where a term counts once for
-each pair of neighbouring words, so that a copied passage is no evidence by its copies. Examples form an inverted index in blocks; each term keeps its greatest weight in
-each block, so a block whose upper bound is below the k-th best similarity is skipped without
-losing a neighbour. A document's score is the similarity-weighted vote of its k nearest
-examples, calibrated by isotonic regression on the examples' own leave-one-out votes; the
-neighbours' ids are returned as evidence.
+two, three or four times; every example is indexed under all terms of its text, so each document
+is compared with its nearest examples. A term weighs its inverse document frequency, more where
+the sample associates it with label 1 beyond chance (likelihood ratio, corrected for the number of
+terms tried); there a term counts once for each pair of neighbouring words, so that a copied
+passage is no evidence by its copies. Documents are compared in batches: the terms of many
+examples by one matrix product in single precision, the others by their postings; every example
+within the rounding error of the k-th best is then compared again in double precision, which makes
+the neighbours exact. For a lone text the examples form an inverted index in blocks: each term
+keeps its greatest weight in each block, so a block whose upper bound is below the k-th best
+similarity is skipped without losing a neighbour. A document's score is the similarity-weighted
+vote of its k nearest examples, calibrated by isotonic regression on the examples' own
+leave-one-out votes; the neighbours' ids are returned as evidence.
 """
 
 from __future__ import annotations
@@ -16,9 +21,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +37,12 @@ PER_CLASS = 4096
 NEIGHBOURS = 15
 MAX_TERMS = 20_000
 BLOCK = 64
+LEAN = 8.0  # how much an association with label 1 adds to a term's weight
+BATCH = 256
+COMMON = 0.1  # terms of a greater share of the examples are compared by matrix product
 PREFIXES = (4, 5)
 LEVELS = (2, 3, 4)
+MARKS = tuple(f" {k}" for k in LEVELS)  # words have no spaces
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
@@ -53,53 +64,72 @@ class TermFinder:
 
     def __init__(self, vocabulary: dict[str, int], max_entries: int = 500_000):
         self.vocabulary, self.max_entries = vocabulary, max_entries
-        self.wanted = {t.partition("#")[0] for t in vocabulary}
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        if not text:
-            return {}
-        known, words = self.known, text.lower().split()
+        self.levels = np.full((len(LEVELS), len(vocabulary)), -1, np.int32)  # term -> the term of its level
+        for t, i in vocabulary.items():
+            if t[-2:] in MARKS:
+                self.levels[MARKS.index(t[-2:]), vocabulary[t[:-2]]] = i
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and how often each is met (once for a level)."""
+        known, words = self.known, Counter((text or "").lower().split())
         if len(known) > self.max_entries:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = tuple(t for t in terms_of(w) if t in self.wanted)
-        met = Counter(t for found in map(known.__getitem__, words) if found for t in found)
-        out, ids = {}, self.vocabulary
-        for t, n in met.items():
-            if t in ids:
-                out[ids[t]] = n
-            for k in LEVELS:
-                if n >= k and (i := ids.get(f"{t}#{k}")) is not None:
-                    out[i] = 1
-        return out
+            known[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
+        found = list(map(known.__getitem__, words))
+        met = np.fromiter(chain.from_iterable(found), np.int64)
+        each = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
+        terms, place = np.unique(met, return_inverse=True)
+        n = np.bincount(place, each, len(terms))
+        out = [terms]
+        for k, level in zip(LEVELS, self.levels):
+            more = level[terms[n >= k]]
+            out.append(more[more >= 0])
+        all_terms = np.concatenate(out)
+        return all_terms, np.concatenate([n, np.ones(len(all_terms) - len(terms))])
+
+
+def all_counts(text: str | None) -> dict[str, int]:
+    """Counts of all terms of a text."""
+    met = Counter(t for w in (text or "").lower().split() for t in terms_of(w))
+    return {**met} | {t + mark: 1 for t, n in met.items() for k, mark in zip(LEVELS, MARKS) if n >= k}
 
 
 @dataclass
 class Index:
-    """Examples and their inverted lists; size bounded by the sample and the vocabulary."""
+    """Examples and their inverted lists; size bounded by the sample and its texts."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # weight of each term
     ids: np.ndarray  # doc_id of each example
     label: np.ndarray
     weight: np.ndarray  # how many training rows an example stands for
     starts: np.ndarray  # term -> its postings
     examples: np.ndarray  # postings: example numbers, ascending within a term
     values: np.ndarray  # and normalised weights
-    block_starts: np.ndarray  # term -> its blocks
-    blocks: np.ndarray
-    block_max: np.ndarray
+    block_starts: np.ndarray | None = None  # term -> its blocks
+    blocks: np.ndarray | None = None
+    block_max: np.ndarray | None = None
     empty_score: float = 0.0  # of a text without any term
     steps: tuple[np.ndarray, np.ndarray] | None = None  # votes and calibrated scores
+    product: tuple | None = None  # made where documents are compared, as the next
+    finder: TermFinder | None = None
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[terms]
+        return terms, w / np.sqrt(w @ w)
+
+    def make_blocks(self) -> None:
+        term, block = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)), self.examples // BLOCK
+        new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)) if len(term) else np.empty(0, np.int64)
+        self.blocks, self.block_max = block[new], np.maximum.reduceat(self.values, new) if len(new) else np.empty(0)
+        self.block_starts = np.searchsorted(term[new], np.arange(len(self.starts)))
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine (ties by example number) with a positive one."""
+        if self.blocks is None:
+            self.make_blocks()
         spans = [(self.block_starts[t], self.block_starts[t + 1]) for t in terms]
         bound = np.zeros(-(-len(self.ids) // BLOCK))
         for x, (a, b) in zip(w, spans):
@@ -122,18 +152,68 @@ class Index:
             best_id, best = best_id[order], best[order]
         return best_id, best
 
+    def make_product(self) -> None:
+        """The common terms' matrix, and every example's own terms and values."""
+        many, n = np.diff(self.starts), len(self.ids)
+        common = np.flatnonzero(many > COMMON * n)
+        row = np.full(len(many), -1, np.int32)
+        row[common] = np.arange(len(common))
+        matrix = np.zeros((len(common), n), np.float32)
+        for i, t in enumerate(common):
+            matrix[i, self.examples[self.starts[t] : self.starts[t + 1]]] = self.values[self.starts[t] : self.starts[t + 1]]
+        order = np.argsort(self.examples, kind="stable")
+        own_terms = np.repeat(np.arange(len(many), dtype=np.int32), many)[order]
+        own_starts = np.searchsorted(self.examples[order], np.arange(n + 1))
+        self.product = row, matrix, own_starts, own_terms, self.values[order], np.zeros(len(many))
+
+    def nearest_of_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``nearest``, for many texts at once."""
+        if self.product is None:
+            self.make_product()
+        row, matrix, own_starts, own_terms, own_values, dense = self.product
+        n, out = len(self.ids), []
+        margin = 4 * (len(matrix) + 3) * 2.0**-24  # twice what rounding can set two scores apart
+        for first in range(0, len(vectors), BATCH):
+            part = vectors[first : first + BATCH]
+            left = np.zeros((len(part), len(matrix)), np.float32)
+            rare = []
+            for i, (terms, w) in enumerate(part):
+                at = row[terms]
+                is_common = at >= 0
+                left[i, at[is_common]] = w[is_common]
+                rare.append((terms[~is_common], w[~is_common]))
+            near = left @ matrix
+            for (terms, w), (few, few_w), scores in zip(part, rare, near):
+                if len(few):
+                    a, b = self.starts[few], self.starts[few + 1]
+                    spans = [slice(*x) for x in zip(a.tolist(), b.tolist())]
+                    own = np.concatenate([self.values[x] for x in spans]) * np.repeat(few_w, b - a)
+                    scores = scores + np.bincount(np.concatenate([self.examples[x] for x in spans]), own, n)
+                floor = np.partition(scores, n - k)[n - k] - margin if n > k else 0.0
+                close = np.flatnonzero((scores >= floor) & (scores > 0))
+                dense[terms] = w
+                spans = [slice(own_starts[e], own_starts[e + 1]) for e in close]
+                exact = np.array([dense[own_terms[s]] @ own_values[s] for s in spans])
+                dense[terms] = 0
+                order = np.lexsort((close, -np.round(exact, 12)))[:k]
+                out.append((close[order], exact[order]))
+        return out
+
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic examples, weighted by similarity and by what each example stands for."""
         w = cosine * self.weight[near]
         return float((w * self.label[near]).sum() / w.sum()) if len(near) else 0.0
 
-    def score(self, counts: dict[int, int], k: int) -> tuple[float, list[int]]:
-        if not counts:
-            return self.empty_score, []
-        near, cosine = self.nearest(*self.vector(counts), k)
-        if not len(near):
-            return self.empty_score, []
-        return float(np.interp(self.vote(near, cosine), *self.steps)), self.ids[near].tolist()
+    def scores(self, texts: list[str | None], k: int) -> Iterator[tuple[float, list[int]]]:
+        """Score and evidence of each text."""
+        if self.finder is None:
+            self.finder = TermFinder(self.vocabulary)
+        for i in range(0, len(texts), BATCH):
+            vectors = [self.vector(*c) if len(c[0]) else None for c in map(self.finder.counts, texts[i : i + BATCH])]
+            found = iter(self.nearest_of_all([v for v in vectors if v], k))
+            for v in vectors:
+                near, cosine = next(found) if v else ((), ())
+                yield (float(np.interp(self.vote(near, cosine), *self.steps)), self.ids[near].tolist()) if len(near) else (self.empty_score, [])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +242,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFram
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), size
 
 
-def associated_terms(examples: DataFrame, max_terms: int) -> list[str]:
-    """Terms of the sample whose document counts differ by label beyond chance, strongest first."""
+def associated_terms(examples: DataFrame, max_terms: int) -> dict[str, float]:
+    """Terms of the sample that lean to label 1 beyond chance, strongest first: likelihood ratio over the level of chance."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +254,13 @@ def associated_terms(examples: DataFrame, max_terms: int) -> list[str]:
                     for t in terms_of(w):
                         met[t] += 1
                         context.setdefault(t, xxhash.xxh3_64_intdigest(f"{left} {right}"))
-                found = [(t, c) for t, c in context.items()] + [(f"{t}#{k}", context[t]) for t, n in met.items() for k in LEVELS if n >= k]
+                found = [(t, c) for t, c in context.items()] + [(t + mark, context[t]) for t, n in met.items() for k, mark in zip(LEVELS, MARKS) if n >= k]
                 yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in found], pa.string()), "context": pa.array(np.array([c for _, c in found], np.uint64).astype(np.int64)), "toxic": pa.array([toxic] * len(found), pa.int32())})
 
     total = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     n0, n1 = float(total.get(0, 0)), float(total.get(1, 0))
     if not n0 or not n1:
-        return []
+        return {}
     once = examples.select("toxic", "text").mapInArrow(explode, "term string, context long, toxic int").distinct()
     counted = staged(once.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("ab")).filter("ab >= 3"), "label-terms")
     part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
@@ -191,54 +271,66 @@ def associated_terms(examples: DataFrame, max_terms: int) -> list[str]:
     tried = counted.count()
     level = 2 * np.log(max(tried, 2)) + 2.0
     kept = tested.filter((F.col("ratio") > level) & (a * n0 > b * n1)).orderBy(F.desc("ratio"), "term").limit(max_terms)
-    return [r["term"] for r in kept.select("term").collect()]
+    return {r["term"]: r["ratio"] / level for r in kept.select("term", "ratio").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS, max_terms: int = MAX_TERMS) -> Index:
     """The index over the sample. Without rows of both labels, every score is the (smoothed) training rate."""
     examples, size = sample(docs, labels, per_class)
     examples = examples.persist()
-    terms = associated_terms(examples, max_terms)
-    vocabulary = {t: i for i, t in enumerate(terms)}
+    lean = associated_terms(examples, max_terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(vocabulary)
         for batch in batches:
-            found = [finder.counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
+            found = [all_counts(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
 
-    rows = examples.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(count, "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").collect()  # at most 2 * per_class short lists
+    # at most 2 * per_class rows; as Arrow, since each holds the terms of a text
+    rows = examples.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(count, "doc_id long, toxic int, terms array<string>, counts array<int>").toArrow()
     examples.unpersist()
-    number = Counter(r["toxic"] for r in rows)
+    ids, toxic, long = (x.to_numpy() for x in (rows["doc_id"], rows["toxic"], pc.list_value_length(rows["terms"])))
+    times, coded = pc.list_flatten(rows["counts"]).to_numpy(), pc.list_flatten(rows["terms"]).dictionary_encode().combine_chunks()
+    del rows
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    terms, term = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    del coded
+    pa.default_memory_pool().release_unused()
+    number = Counter(toxic.tolist())
     stands = {c: size.get(c, 0) / max(1, number[c]) for c in (0, 1)}
     all_rows = size.get(0, 0) + size.get(1, 0)
-    empty = [r for r in rows if not r["terms"]]
-    of = lambda c: sum(stands[c] for r in empty if r["toxic"] == c)
-    empty_score = (of(1) + 0.25) / (of(0) + of(1) + 1) if terms else (size.get(1, 0) + 0.25) / (all_rows + 1)
-    # examples of one label and like terms lie in like blocks, which makes the block bounds tight
-    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (r["toxic"], min(r["terms"]), r["doc_id"]))
-    held = np.zeros(len(terms))
-    for r in rows:
-        held[r["terms"]] += stands[r["toxic"]]
-    idf = np.log((1 + all_rows) / (1 + held)) + 1
-    index = Index(vocabulary, idf, np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], float), np.array([stands[r["toxic"]] for r in rows]), *(np.empty(0),) * 6)
-    vectors = [index.vector(dict(zip(r["terms"], r["counts"]))) for r in rows]
-    term = np.concatenate([v[0] for v in vectors]) if rows else np.empty(0, np.int64)
-    value = np.concatenate([v[1] for v in vectors]) if rows else np.empty(0)
-    example = np.repeat(np.arange(len(rows)), [len(v[0]) for v in vectors]).astype(np.int64)
+    each = np.where(toxic == 1, stands[1], stands[0])
+    of = lambda c: float(each[(long == 0) & (toxic == c)].sum())
+    both = bool(number[0] and number[1])
+    empty_score = (of(1) + 0.25) / (of(0) + of(1) + 1) if both else (size.get(1, 0) + 0.25) / (all_rows + 1)
+    if not both:
+        terms, term, times, long = [], term[:0], times[:0], long * 0
+    # examples of one label lie together
+    order = np.lexsort((ids, toxic))
+    order = order[long[order] > 0]
+    place = np.zeros(len(ids), np.int32)
+    place[order] = np.arange(len(order))
+    example = np.repeat(place, long)
+    ids, toxic, each = ids[order], toxic[order].astype(float), each[order]
+    vocabulary = {t: i for i, t in enumerate(terms)}
+    idf = np.log((1 + all_rows) / (1 + np.bincount(term, each[example], len(terms)))) + 1
+    for t, x in lean.items():
+        if t in vocabulary:
+            idf[vocabulary[t]] *= 1 + LEAN * x
+    value = (1 + np.log(times)) * idf[term]
+    value /= np.sqrt(np.bincount(example, value * value, len(ids)))[example]
     order = np.lexsort((example, term))
-    term, index.examples, index.values = term[order], example[order], value[order]
-    index.starts = np.searchsorted(term, np.arange(len(terms) + 1))
-    block = index.examples // BLOCK
-    new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1)) if len(term) else np.empty(0, np.int64)
-    index.blocks, index.block_max = block[new], np.maximum.reduceat(index.values, new) if len(new) else np.empty(0)
-    index.block_starts = np.searchsorted(term[new], np.arange(len(terms) + 1))
+    starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    index = Index(vocabulary, idf, ids, toxic, each, starts, example[order], value[order])
+    del order, example, times, term, value, vocabulary
+    index.make_product()
+    _, _, ends, own_terms, own_values, _ = index.product
+    vectors = [(own_terms[a:b], own_values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     index.empty_score = empty_score
     votes = []
-    for i, (t, w) in enumerate(vectors):
-        near, cosine = index.nearest(t, w, k + 1)
+    for i, (near, cosine) in enumerate(index.nearest_of_all(vectors, k + 1) if vectors else ()):
         others = near != i
         votes.append(index.vote(near[others][:k], cosine[others][:k]))
+    index.product = None  # not broadcast; each worker makes its own
     index.steps = isotonic(np.array(votes), index.label, index.weight) if votes else (np.zeros(1), np.full(1, empty_score))
     return index
 
@@ -253,10 +345,9 @@ def scored(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        finder = TermFinder(own.vocabulary)
         for batch in batches:
             for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [own.score(finder.counts(t), k) for t in texts]
+                found = list(own.scores(texts, k))
                 score = np.array([s for s, _ in found], float)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": score, "predicted": pa.array((score >= 0.5).astype(np.int32)), "evidence": pa.array([e for _, e in found], pa.list_(pa.int64()))})
 
@@ -275,9 +366,8 @@ def filter_stage(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
-        finder = TermFinder(own.vocabulary)
         for batch in batches:
-            keep = [own.score(finder.counts(t), k)[0] < 0.5 for t in batch.column(position).to_pylist()]
+            keep = [score < 0.5 for score, _ in own.scores(batch.column(position).to_pylist(), k)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

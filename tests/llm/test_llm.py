@@ -306,6 +306,28 @@ def test_mixing_meets_the_targets(spark):
         assert abs((r.tokens * r.rate * r[k]).sum() / r.tokens.sum() - share) < 0.01
 
 
+@pytest.fixture(scope="module")
+def filtered(spark):
+    """Few documents, and labels of many more that are gone: 16 of 200 good ones stay, of 400 toxic ones 4."""
+    rows = [(i, "bad ugly words here" if i >= 1000 else f"fine calm text {i % 7}") for i in [*range(0, 160, 10), *range(1000, 1008, 2)]]
+    marks = [(i, 1, int(i >= 1000)) for i in [*range(200), *range(1000, 1400)]]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+def test_labels_are_sampled_among_the_documents(filtered, monkeypatch):
+    d, lab = filtered
+    got = {}
+    monkeypatch.setattr(mixing, "fit_softmax", lambda rows, stands: got.update(mixing=(Counter(g for g, _ in rows), stands)))
+    monkeypatch.setattr(ordinal, "fit", lambda rows, stands: got.update(ordinal=(Counter(g for g, _ in rows), stands)))
+    mixing.train(d, lab, per_domain=8)
+    ordinal.train(d, lab, per_grade=8)
+    for number, stands in got.values():
+        assert number == {0: 4, 2: 8} and stands == {0: 1, 1: 0, 2: 2}
+    kept = [zlib.crc32(str(r.doc_id).encode()) % 5 != 0 and r.doc_id >= 1000 for r in d.collect()]
+    examples, size = toxicity.sample(d, lab, 8)
+    assert size[1] == sum(kept) == examples.filter("toxic = 1").count() and examples.filter("toxic = 0").count() == min(8, size[0])
+
+
 def test_mixing_odd(odd, docs, labels):
     assert mixing.mixing_rates(odd, labels).filter("rate is null").count() == 0
     assert mixing.mixed_stage(odd, labels).columns == odd.columns

@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.shipping import ship_package
 
@@ -42,6 +43,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def labelled(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The label rows whose document is among ``docs``, staged: classes are counted and sampled from these."""
+    return staged(rows.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "labelled")
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow file system and path of a folder URI (file:, hdfs:, s3:, gs:, or a plain path)."""
     if "://" not in uri and uri.startswith("file:"):

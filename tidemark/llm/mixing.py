@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import labelled, staged
 from tidemark.llm.ordinal import BITS, HashedText, grade, hashed_text
 from tidemark.llm.token_output import text_batches
 
@@ -62,8 +62,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most ``per_domain`` labelled rows of each domain; only their hashed features reach the driver."""
-    rows = grade(labels)
+    """Fit on at most ``per_domain`` labelled rows of each domain among ``docs``; only their hashed features reach the driver."""
+    rows = labelled(grade(labels), docs)
     size = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
     chosen = None
     for g in range(len(DOMAINS)):

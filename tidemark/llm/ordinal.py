@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import worker_memo
+from tidemark.llm.common import labelled, worker_memo
 from tidemark.llm.token_output import text_batches
 
 BITS = 18
@@ -124,13 +124,13 @@ def fit(rows: list[tuple[int, np.ndarray]], stands: dict[int, float], bits: int
 
 
 def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, keep: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most ``per_grade`` labelled rows of each grade (least hash of doc_id first).
+    """Fit on at most ``per_grade`` labelled rows of each grade among ``docs`` (least hash of doc_id first).
 
     ``keep`` restricts the label rows (to hold some out). The bounded label rows are broadcast;
     what comes back to the driver are their hashed features, bounded as well.
     """
     graded = grade(labels)
-    graded = graded.filter(keep) if keep is not None else graded
+    graded = labelled(graded.filter(keep) if keep is not None else graded, docs)
     size = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
     chosen = None
     for g in range(3):

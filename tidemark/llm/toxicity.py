@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import labelled, staged
 from tidemark.llm.token_output import text_batches
 
 PER_CLASS = 4096
@@ -230,11 +230,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, toxic, text) of at most 2 * per_class training rows, and the training rows of each label.
+    """(doc_id, toxic, text) of at most 2 * per_class training rows among ``docs``, and the training rows of each label.
 
     The label rows are bounded, so they are broadcast to the documents; no text is shuffled.
     """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = labelled(rows, docs)
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     key = F.xxhash64("doc_id")
     picked = [rows.filter(F.col("toxic") == c).orderBy(key, "doc_id").limit(per_class) for c in (0, 1)]

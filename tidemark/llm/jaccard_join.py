@@ -29,52 +29,34 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread, staged, worker_memo
-from tidemark.llm.token_output import text_batches
+from tidemark.llm.common import spread, staged
+from tidemark.llm.word_hashes import mixed, pieces
 
 SKETCH_BITS = 20
 CHUNK = 1 << 14
 MEMBER_BITS = 1 << 26
 MATCHES = (1, 2)
 VERIFY_COST = 30
-_WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-
-
-class ShingleHasher:
-    """Sorted distinct 64-bit hashes of a text's word shingles; the memo of word hashes is bounded."""
-
-    def __init__(self, words: int, max_entries: int = 500_000):
-        self.words, self.max_entries = words, max_entries
-        self.known: dict[bytes, int] = {}
-        rng = np.random.default_rng(words)
-        self.weights = rng.integers(1, 1 << 63, words, np.uint64) | np.uint64(1)
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []  # of bytes: A-Z only, and \x20 \x09-\x0D
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > self.max_entries:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = self.words
-        if len(h) < k:
-            return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
-        n = len(h) - k + 1
-        s = np.zeros(n, np.uint64)
-        for i in range(k):
-            s += h[i : i + n] * self.weights[i]
-        s ^= s >> np.uint64(31)
-        s *= _WEIGHTS[0]
-        s ^= s >> np.uint64(29)
-        return np.unique(s)
 
 
-def hasher_for(words: int) -> ShingleHasher:
-    """One hasher a Python worker: its memo serves all tasks that the worker runs."""
-    return worker_memo(("shingles", words), lambda: ShingleHasher(words))
+def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text of a column."""
+    weights = np.random.default_rng(words).integers(1, 1 << 63, words, np.uint64) | np.uint64(1)
+    for piece in pieces(column):
+        h = piece.hashes()
+        n = max(0, len(h) - words + 1)
+        s = np.zeros(n, np.uint64)
+        for i in range(words):
+            s += h[i : i + n] * weights[i]
+        s = mixed(s, 2)
+        for a, b in zip(piece.words[:-1].tolist(), piece.words[1:].tolist()):
+            if b - a >= words:
+                own = np.sort(s[a : b - words + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif b > a:
+                yield np.array([xxhash.xxh3_64_intdigest(h[a:b].tobytes(), seed=b - a)], np.uint64)
+            else:
+                yield np.empty(0, np.uint64)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -96,23 +78,21 @@ def inventory(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Two staged tables of one pass: (doc_id, n, cid) per document, and partial sketches (chunk, counts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = hasher_for(words), set()
+        seen = set()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, cids = [], []
-                for t in texts:
-                    s = hasher.of(t)
-                    cid = set_id(s)
-                    n.append(len(s))
-                    cids.append(cid)
-                    if cid not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen.add(cid)
-                        np.add.at(sketch, (s >> shift).astype(np.int64), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+            n, cids = [], []
+            for s in shingle_sets(batch.column(1), words):
+                cid = set_id(s)
+                n.append(len(s))
+                cids.append(cid)
+                if cid not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(cid)
+                    np.add.at(sketch, (s >> shift).astype(np.int64), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         if seen:
             parts = sketch.reshape(-1, CHUNK).astype("<u4")
             k = len(parts)
@@ -166,32 +146,36 @@ def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> D
     shared = spark.sparkContext.broadcast((level, excess))  # 5 * 2^SKETCH_BITS bytes, whatever the input
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, (level, excess) = hasher_for(words), set(), shared.value
+        seen, (level, excess) = set(), shared.value
         shift = np.uint64(64 - SKETCH_BITS)
+
+        def emitted(tokens, meta):
+            cid, n, m, central, size = (np.array(x, np.int64) for x in zip(*meta))
+            return pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).astype(np.int64), "cid": np.repeat(cid, size), "n": np.repeat(n, size).astype(np.int32), "matches": np.repeat(m, size).astype(np.int16), "central": np.repeat(central, size).astype(np.int16), "place": np.concatenate([np.arange(k) for k in size]).astype(np.int32)})
+
         for batch in batches:
-            for _, texts in text_batches([None] * batch.num_rows, batch.column(0).to_pylist()):
-                tokens, meta = [], []
-                for t in texts:
-                    s = hasher.of(t)
-                    n = len(s)
-                    if not n:
-                        continue
-                    cid = set_id(s)
-                    if cid in seen:
-                        continue
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(cid)
-                    at = (s >> shift).astype(np.int64)
-                    q = level[at]
-                    order = np.argsort(q, kind="stable")  # by level, then by hash: the same in every task
-                    m = matches_for(excess[at[order]], n, percent)
-                    own = s[order[: n - least_overlap(n, percent) + m]]
-                    tokens.append(own)
-                    meta.append((cid, n, m, int(q.sum()) * 16 // n, len(own)))
-                if tokens:
-                    cid, n, m, central, size = (np.array(x, np.int64) for x in zip(*meta))
-                    yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).astype(np.int64), "cid": np.repeat(cid, size), "n": np.repeat(n, size).astype(np.int32), "matches": np.repeat(m, size).astype(np.int16), "central": np.repeat(central, size).astype(np.int16), "place": np.concatenate([np.arange(k) for k in size]).astype(np.int32)})
+            tokens, meta, rows = [], [], 0
+            for s in shingle_sets(batch.column(0), words):
+                n = len(s)
+                cid = set_id(s)
+                if not n or cid in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(cid)
+                at = (s >> shift).astype(np.int64)
+                q = level[at]
+                order = np.argsort(q, kind="stable")  # by level, then by hash: the same in every task
+                m = matches_for(excess[at[order]], n, percent)
+                own = s[order[: n - least_overlap(n, percent) + m]]
+                tokens.append(own)
+                meta.append((cid, n, m, int(q.sum()) * 16 // n, len(own)))
+                rows += len(own)
+                if rows > 100_000:
+                    yield emitted(tokens, meta)
+                    tokens, meta, rows = [], [], 0
+            if tokens:
+                yield emitted(tokens, meta)
 
     return docs.select("text").mapInArrow(work, "token long, cid long, n int, matches short, central short, place int")
 
@@ -222,13 +206,13 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     shared = spark.sparkContext.broadcast(member)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = hasher_for(words), shared.value
+        bits = shared.value
         for batch in batches:
             at = batch.column(0).to_numpy()
             hit = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
-            texts = batch.column(1).filter(pa.array(hit)).to_pylist()
-            for _, own in text_batches([None] * len(texts), texts):
-                found = [s for s in map(hasher.of, own) if len(s)]
+            texts = batch.column(1).filter(pa.array(hit))
+            for first in range(0, len(texts), 512):
+                found = [s for s in shingle_sets(texts.slice(first, 512), words) if len(s)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "hashes"])
 

@@ -175,7 +175,8 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     """doc_id, licences, starts, ends (code points), permissive of every document.
 
     ``permissive``: null without a licence, else whether all that were found are. Null and empty
-    texts have no licence. Repeated rows are scanned each; further columns are not read.
+    texts have no licence. Repeated rows are scanned each; texts are scanned whole, however long;
+    further columns are not read; an empty table gives an empty result.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,37 +2,43 @@
 
 Domains come from the labelled table: toxic, poor, good. A softmax regression over hashed text,
 fitted on a bounded sample of labelled rows, gives every document posteriors p_d over the
-domains. Rates r_d >= 0 (how often a document is taken) then solve
+domains, kept to a thousandth. Rates 0 <= r_d <= most (how often a document is taken) then solve
 
-    minimise  sum_k (m_k - w_k)^2 / (2 mass_k)  +  mu/2 sum_d s_d (r_d - 1)^2,   r >= 0
+    minimise  sum_k (m_k - w_k)^2 / (2 mass_k)  +  mu/2 sum_d s_d (r_d - 1)^2
 
 where s_d is the document's share of all tokens, m_k = sum_d r_d s_d p_dk the expected share of
-domain k, w_k its target and mass_k its share at rate 1. Projected gradient steps are taken by
-all documents at once: a step needs only the domain totals of the step before, so each is one
-distributed sum of a few numbers, and a document's rate follows from the totals so far.
+domain k, w_k its target share of the token budget and mass_k its share at rate 1. Projected
+gradient steps (accelerated, begun anew every few steps) are taken by all documents at once: a
+step needs only the domain totals before it, so each is one distributed sum of a few numbers.
+Documents of equal posteriors have equal rates at every step, so the sums run over a table of
+distinct posteriors with their tokens; a thousandth's grid has at most 501,501 of them, whatever
+the number of documents. Steps end when they change neither rates nor totals any more; if the
+bound on their number comes first, the result says so.
 
 Tokens are words (runs of characters without white space).
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.llm.common import labelled, staged
-from tidemark.llm.ordinal import BITS, HashedText, grade, hashed_text
-from tidemark.llm.token_output import text_batches
+from tidemark.llm.common import fresh, staged
+from tidemark.llm.ordinal import BITS, features_of, grade, sampled
 
 DOMAINS = ("toxic", "poor", "good")
 TARGETS = {"toxic": 0.02, "poor": 0.08, "good": 0.90}
 PER_DOMAIN = 4096
 MU = 1e-4
+GRID = 1000  # posteriors are multiples of its inverse
+RESTART = 20
 
 
 def fit_softmax(rows: list[tuple[int, np.ndarray]], stands: dict[int, float], bits: int = BITS, epochs: int = 4, l1: float = 0.3, alpha: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -62,124 +68,151 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most ``per_domain`` labelled rows of each domain among ``docs``; only their hashed features reach the driver."""
-    rows = labelled(grade(labels), docs)
-    size = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
-    chosen = None
-    for g in range(len(DOMAINS)):
-        own = rows.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
-        chosen = own if chosen is None else chosen.unionByName(own)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = hashed_text()
-        for batch in batches:
-            found = [np.sort(hashed.of(t)).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "grade", "features"])
-
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
-    found = joined.mapInArrow(features, "doc_id long, grade int, features binary").collect()
-    unique = {r["doc_id"]: (r["grade"], np.frombuffer(r["features"], "<i4").astype(np.int64)) for r in sorted(found, key=lambda r: (r["doc_id"], r["features"]))}
-    number = Counter(g for g, _ in unique.values())
-    return fit_softmax(list(unique.values()), {g: size.get(g, 0) / max(1, number[g]) for g in range(len(DOMAINS))})
+    """Fit on a bounded sample of the labelled rows among ``docs``; only their hashed features reach the driver."""
+    return fit_softmax(*sampled(docs, grade(labels), per_domain))
 
 
-def memberships(texts: list[str | None], hashed: HashedText, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and posteriors of each text."""
+def memberships(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text of a column, and its posteriors as whole numbers that add up to GRID."""
     weights, bias = model
-    words = [t.split() if t else [] for t in texts]
-    tokens = np.array([len(w) for w in words], np.int64)
-    return tokens, softmax(np.array([weights[hashed.of(t, w)].sum(axis=0) for t, w in zip(texts, words)]).reshape(-1, len(bias)) + bias)
+    found = [(n, weights[f].sum(axis=0)) for n, f in features_of(column)]
+    tokens = np.array([n for n, _ in found], np.int64)
+    p = softmax(np.array([w for _, w in found]).reshape(-1, len(bias)) + bias)
+    q = np.rint(p * GRID).astype(np.int32)
+    q[np.arange(len(q)), p.argmax(axis=1)] += GRID - q.sum(axis=1, dtype=np.int32)
+    return tokens, q
 
 
-def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, tokens and one column per domain, staged."""
+def with_memberships(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], names: list[str]) -> DataFrame:
+    """``docs`` with its tokens and its posteriors (of GRID) in columns of these names, staged: texts are hashed once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = hashed_text()
         for batch in batches:
-            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, p = memberships(texts, hashed, shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["doc_id", "tokens", *DOMAINS])
+            tokens, q = memberships(batch.column(text), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens), *(pa.array(q[:, k]) for k in range(q.shape[1]))], names=[*batch.schema.names, *names])
+
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in zip(names, ("long", *["integer"] * len(DOMAINS))):
+        schema = schema.add(name, kind)
+    return staged(docs.mapInArrow(work, schema), "memberships")
+
 
-    return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, tokens long, " + ", ".join(f"{d} double" for d in DOMAINS)), "posteriors")
+@dataclass
+class Solution:
+    """Steps of the solver, by which any posterior's rate follows, and how far they came."""
 
+    pulls: list[np.ndarray]  # each step's scaled residual of the domain totals
+    most: float
+    goal: np.ndarray  # wanted and reached shares of all tokens
+    reached: np.ndarray
+    converged: bool
 
-def rates_of(p: np.ndarray, pulls: list[np.ndarray], mu: float) -> np.ndarray:
-    """Rates after the steps so far; ``pulls``: each step's scaled residual of the domain totals."""
-    r = np.ones(len(p))
-    for pull in pulls:
-        r = np.maximum(0.0, r - (p @ pull + mu * (r - 1)) / (1 + mu))
-    return r
 
+def rates_of(p: np.ndarray, pulls: list[np.ndarray], mu: float, most: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates after the steps so far, where the next step begins, and the rates before the last step."""
+    before = now = ahead = np.ones(len(p))
+    for step, pull in enumerate(pulls):
+        before, now = now, np.clip(ahead - (p @ pull + mu * (ahead - 1)) / (1 + mu), 0.0, most)
+        k = step % RESTART
+        ahead = now + k / (k + 3) * (now - before)
+    return now, ahead, before
 
-def solve(members: DataFrame, targets: dict[str, float], mu: float = MU, steps: int = 60, close: float = 1e-3) -> list[np.ndarray]:
-    """The pulls of the projected gradient steps, until every total is within ``close`` of its target.
 
-    A domain without any mass cannot be matched; it is left out and the other targets are scaled
-    to their sum.
+def solve(cells: DataFrame, targets: dict[str, float], most: float = np.inf, budget: float | None = 1.0, mu: float = MU, steps: int = 400, close: float = 1e-4) -> Solution:
+    """Projected gradient over ``cells`` (tokens and one posterior column per domain).
+
+    ``budget``: wanted tokens as a share of all; None: as many as the scarcest domain allows at
+    ``most``. A domain without any mass cannot be matched; it is left out and the other targets
+    are scaled to their sum. Ends when a step changes the totals by less than ``close`` and the
+    rates by less than ten times that (root mean square over tokens).
     """
+    fields = [f"{w}_{d}" for w in ("now", "ahead") for d in DOMAINS] + ["change", "all"]
 
-    def totals(pulls: list[np.ndarray]) -> np.ndarray:
+    def sums(pulls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float, float]:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(len(DOMAINS))
+            out = np.zeros(len(fields))
             for batch in batches:
-                t, *p = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                p = np.stack(p, axis=1)
-                sums += (rates_of(p, pulls, mu) * t) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([s]) for s in sums], names=list(DOMAINS))
-
-        row = members.select("tokens", *DOMAINS).mapInArrow(partial, ", ".join(f"{d} double" for d in DOMAINS)).agg(*(F.sum(d).alias(d) for d in DOMAINS)).first()
-        return np.array([row[d] or 0.0 for d in DOMAINS])
-
-    start = totals([])
-    if not start.sum():
-        return []
-    mass = start / start.sum()
+                t, *q = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                p = np.stack(q, axis=1) / GRID
+                now, ahead, before = rates_of(p, pulls, mu, most)
+                out += np.concatenate([(now * t) @ p, (ahead * t) @ p, [t @ (now - before) ** 2, t.sum()]])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=fields)
+
+        row = cells.mapInArrow(partial, ", ".join(f"{f} double" for f in fields)).agg(*(F.sum(f).alias(f) for f in fields)).first()
+        found = np.array([row[f] or 0.0 for f in fields])
+        k = len(DOMAINS)
+        return found[:k], found[k : 2 * k], found[-2], found[-1]
+
+    mass, _, _, total = sums([])
+    if not total:
+        return Solution([], most, mass, mass, True)
+    mass = mass / total
     have = mass > 1e-9
     goal = np.where(have, [targets.get(d, 0.0) for d in DOMAINS], 0.0)
     goal = goal / goal.sum() if goal.sum() else mass
+    if budget is None:
+        wanted = goal > 0
+        budget = min(1.0, float((most * mass[wanted] / goal[wanted]).min()))
+    goal = goal * budget
     pulls: list[np.ndarray] = []
-    now = mass
-    for _ in range(steps):
-        if np.abs(now - goal).max() <= close * max(goal.max(), 1e-9) and np.all(np.abs(now - goal) <= 10 * close * np.maximum(goal, close)):
-            break
-        pulls.append(np.where(have, (now - goal) / np.maximum(mass, 1e-9), 0.0))
-        now = totals(pulls) / start.sum()
-    return pulls
+    now = ahead = mass
+    while len(pulls) < steps:
+        pulls.append(np.where(have, (ahead - goal) / np.maximum(mass, 1e-9), 0.0))
+        was = now
+        now, ahead, change, _ = sums(pulls)
+        now, ahead = now / total, ahead / total
+        if np.abs(now - was).max() <= close and np.sqrt(change / total) <= 10 * close:
+            return Solution(pulls, most, goal, now, True)
+    warnings.warn(f"mixing did not converge in {steps} steps: wanted {goal}, reached {now}", RuntimeWarning, stacklevel=2)
+    return Solution(pulls, most, goal, now, False)
+
+
+def with_rates(members: DataFrame, names: list[str], rate: str, targets: dict[str, float], most: float, budget: float | None) -> tuple[DataFrame, Solution]:
+    """``members`` with the column ``rate``, and the solution it comes from."""
+    tokens, *own = names
+    cells = staged(members.groupBy(*own).agg(F.sum(tokens).alias(tokens)).select(tokens, *own), "posterior-cells")
+    found = solve(cells, targets, most, budget)
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) / GRID
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, found.pulls, MU, found.most)[0])], names=[*own, rate])
+
+    rates = cells.select(*own).mapInArrow(rated, ", ".join(f"`{c}` int" for c in own) + f", `{rate}` double")
+    return members.join(F.broadcast(rates), own), found  # at most 501,501 rows, whatever the input
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, per_domain: int = PER_DOMAIN) -> DataFrame:
-    """doc_id, tokens, posteriors and rate of every document.
+    """doc_id, tokens, posteriors and rate of every document, and whether the solver converged.
 
-    Null and empty texts have no tokens and keep a rate by their posterior; repeated rows are
+    Null and empty texts have no tokens and get a rate by their posterior; repeated rows are
     rated each; further columns are not read; an empty table gives an empty result. Without
     labels the posteriors are equal and every rate is 1 unless the targets differ.
     """
-    members = posteriors(docs, train(docs, labels, per_domain))
-    pulls = solve(members, targets)
+    names = ["tokens", *DOMAINS]
+    members = with_memberships(docs.select(F.col("doc_id").cast("long"), "text"), train(docs, labels, per_domain), names)
+    rated, found = with_rates(members.drop("text"), names, "rate", targets, np.inf, 1.0)
+    return rated.select("doc_id", "tokens", *((F.col(d) / GRID).alias(d) for d in DOMAINS), "rate", F.lit(found.converged).alias("converged"))
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(DOMAINS))], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, pulls, MU))], names=[*batch.schema.names, "rate"])
-
-    return members.mapInArrow(rate, "doc_id long, tokens long, " + ", ".join(f"{d} double" for d in DOMAINS) + ", rate double")
 
+def mixed_stage(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, per_domain: int = PER_DOMAIN, most: float = 1.0) -> DataFrame:
+    """The documents taken at their rates, with the columns they came with.
 
-def mixed_stage(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, per_domain: int = PER_DOMAIN) -> DataFrame:
-    """The documents taken at their rates: the whole part always, the rest by a hash of doc_id."""
-    model = train(docs, labels, per_domain)
-    pulls = solve(posteriors(docs, model), targets)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    text, doc_id = docs.columns.index("text"), docs.columns.index("doc_id")
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = hashed_text()
-        for batch in batches:
-            _, p = memberships(batch.column(text).to_pylist(), hashed, shared.value)
-            chance = np.array([xxhash.xxh3_64_intdigest(str(i)) / 2.0**64 for i in batch.column(doc_id).to_pylist()])
-            r = rates_of(p, pulls, MU)
-            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), np.floor(r + 1 - chance).astype(np.int64))))
-
-    return docs.mapInArrow(take, docs.schema)
+    The whole part of a rate is always taken, the rest by a hash of doc_id (of the text where it
+    is null), so repeated rows share their lot. With ``most`` 1, nothing is taken twice and the
+    token budget is as large as the scarcest wanted domain allows. Null and empty texts are drawn
+    by the posterior of emptiness; an empty table gives an empty result; without labels all
+    posteriors are equal and every row stays.
+    """
+    names = fresh(docs.columns, "tokens", *DOMAINS, "rate", "copies")
+    rate, copies = names[-2:]
+    rated, _ = with_rates(with_memberships(docs, train(docs, labels, per_domain), names[:-2]), names[:-2], rate, targets, most, None if np.isfinite(most) else 1.0)
+    chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1 << 40)) / float(1 << 40)
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    times = F.floor(F.round(F.col(rate), 3) + 1 - chance).cast("int")
+    taken = rated.withColumn(copies, times).filter(F.col(copies) > 0)
+    if most > 1:
+        taken = taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return taken.select(*whole)

@@ -9,25 +9,26 @@ expected grade and the tail probability P(grade = 2) by which it is selected.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import labelled, worker_memo
-from tidemark.llm.token_output import text_batches
+from tidemark.llm.common import labelled, staged
+from tidemark.llm.word_hashes import MARKS, pieces
 
 BITS = 18
 PER_GRADE = 4096
+#: Bound of the sample of one grade in features (its rows end before it), so that what is collected has a bounded size.
+MOST_FEATURES = 4_000_000
 EPOCHS = 4
 PREFIX = 5
-_MARKS = "#*$%&|<>!"
 
 
 def grade(labels: DataFrame) -> DataFrame:
@@ -37,52 +38,43 @@ def grade(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min(g).alias("grade"))
 
 
-class HashedText:
-    """Hashed features of a text: its words, their prefixes, words met again and again, and word shapes."""
-
-    def __init__(self, bits: int = BITS, max_entries: int = 500_000):
-        self.mask, self.max_entries = (1 << bits) - 1, max_entries
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _hash(self, s: str) -> int:
-        return xxhash.xxh3_64_intdigest(s) & self.mask
-
-    def _word(self, w: str) -> tuple[int, ...]:
-        low = w.lower()
-        out = [self._hash("w" + low), self._hash("p" + low[:PREFIX])]
-        shape = "".join(sorted(set(w) & set(_MARKS)))
-        if shape:
-            out.append(self._hash("s" + shape))
-        if len(w) > 2 and w.isupper():
-            out.append(self._hash("capitals"))
-        return tuple(out)
-
-    def of(self, text: str | None, words: list[str] | None = None) -> np.ndarray:
-        """Distinct features of a text; ``words``: its words, where they are at hand."""
-        text = text or ""
-        words = text.split() if words is None else words
-        if not words:
-            return np.array([self._hash("empty")], np.int64)
-        known = self.known
-        if len(known) > self.max_entries:
-            known.clear()
-        counts = Counter(words)
-        for w in set(counts).difference(known):
-            known[w] = self._word(w)
-        found = set(chain.from_iterable(map(known.__getitem__, counts)))
-        top = counts.most_common(1)[0][1] / len(words)
-        extra = [f"top{int(10 * top)}", f"variety{int(10 * len(counts) / len(words))}", f"length{int(math.log2(len(words)))}"]
-        lines = text.split("\n")
-        extra.append(f"lines{int(10 * len(set(lines)) / len(lines))}")
-        for mark in _MARKS:
-            extra.append(f"mark{mark}{min(9, int(10 * text.count(mark) / len(words)))}")
-        found.update(map(self._hash, extra))
-        return np.fromiter(found, np.int64, len(found))
-
-
-def hashed_text() -> HashedText:
-    """One hasher a Python worker: its memo serves all tasks that the worker runs."""
-    return worker_memo(("hashed text",), HashedText)
+@functools.cache  # names are few
+def other_feature(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name) & ((1 << BITS) - 1)
+
+
+def features_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Words and distinct hashed features of each text of a column.
+
+    Features are its words (without case), their first bytes, marks in words, words in capitals,
+    and steps of its length, of how much words and lines repeat, and of how often marks stand in it.
+    """
+    mask, all_marks = np.uint64((1 << BITS) - 1), (1 << len(MARKS)) - 1
+    mark_features = np.array([[other_feature(f"mark{chr(m)}{k}") for k in range(10)] for m in MARKS])
+    empty, capitals = np.array([other_feature("empty")], np.int64), other_feature("capitals")
+    for piece in pieces(column):
+        h = piece.hashes()
+        word, first, flags = (h & mask).astype(np.int64), (piece.beginnings(PREFIX) & mask).astype(np.int64), piece.flags()
+        shape = flags & np.uint16(all_marks)
+        upper = (flags >> 14 == 2) & (piece.ends - piece.starts > 2)
+        marks = piece.marks()
+        lines, first_line = piece.lines()
+        for i, (a, b) in enumerate(zip(piece.words[:-1].tolist(), piece.words[1:].tolist())):
+            n = b - a
+            if not n:
+                yield 0, empty
+                continue
+            own = np.sort(h[a:b])
+            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            top = int(np.diff(new, append=n).max())
+            c, d = first_line[i], first_line[i + 1]
+            different = len(set(lines[c:d].tolist()))
+            extra = [other_feature(f"top{10 * top // n}"), other_feature(f"variety{10 * len(new) // n}"), other_feature(f"length{n.bit_length() - 1}"), other_feature(f"lines{10 * different // (d - c)}")]
+            if upper[a:b].any():
+                extra.append(capitals)
+            extra += [other_feature(f"s{x}") for x in set(shape[a:b].tolist()) if x]
+            often = mark_features[np.arange(len(MARKS)), np.minimum(9, 10 * marks[i] // n)]
+            yield n, np.unique(np.concatenate([word[a:b], first[a:b], often, extra]))
 
 
 def fit(rows: list[tuple[int, np.ndarray]], stands: dict[int, float], bits: int = BITS, epochs: int = EPOCHS, l1: float = 0.3, alpha: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -123,14 +115,14 @@ def fit(rows: list[tuple[int, np.ndarray]], stands: dict[int, float], bits: int
     return w, cut
 
 
-def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, keep: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most ``per_grade`` labelled rows of each grade among ``docs`` (least hash of doc_id first).
+def sampled(docs: DataFrame, graded: DataFrame, per_grade: int, most_features: int = MOST_FEATURES) -> tuple[list[tuple[int, np.ndarray]], dict[int, float]]:
+    """Hashed features of a bounded sample of the graded rows among ``docs``, and how many rows one of each grade stands for.
 
-    ``keep`` restricts the label rows (to hold some out). The bounded label rows are broadcast;
-    what comes back to the driver are their hashed features, bounded as well.
+    At most ``per_grade`` rows of each grade, those of least hash of doc_id, and of these as many
+    as have ``most_features`` features together. The chosen label rows are bounded, so they are
+    broadcast; of repeated documents the first by features counts.
     """
-    graded = grade(labels)
-    graded = labelled(graded.filter(keep) if keep is not None else graded, docs)
+    graded = labelled(graded, docs)
     size = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
     chosen = None
     for g in range(3):
@@ -138,16 +130,23 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, keep:
         chosen = own if chosen is None else chosen.unionByName(own)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = hashed_text()
         for batch in batches:
-            found = [np.sort(hashed.of(t)).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            found = [f.astype("<i4").tobytes() for _, f in features_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "grade", "features"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
-    rows = joined.mapInArrow(features, "doc_id long, grade int, features binary").collect()
-    unique = {r["doc_id"]: (r["grade"], np.frombuffer(r["features"], "<i4").astype(np.int64)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["features"]))}
-    number = Counter(g for g, _ in unique.values())
-    return fit(list(unique.values()), {g: size.get(g, 0) / max(1, number[g]) for g in range(3)})
+    found = staged(joined.mapInArrow(features, "doc_id long, grade int, features binary").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("features").alias("features")), "sample-features")
+    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
+    bounded = found.withColumn("so_far", F.sum(F.octet_length("features") / 4).over(order)).filter(F.col("so_far") <= most_features)
+    rows = [(r["grade"], np.frombuffer(r["features"], "<i4").astype(np.int64)) for r in bounded.orderBy("doc_id").select("grade", "features").collect()]
+    number = Counter(g for g, _ in rows)
+    return rows, {g: size.get(g, 0) / max(1, number[g]) for g in range(3)}
+
+
+def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, keep: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on a bounded sample of labelled rows; ``keep`` restricts the label rows (to hold some out)."""
+    rows = grade(labels)
+    return fit(*sampled(docs, rows.filter(keep) if keep is not None else rows, per_grade))
 
 
 def graded(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:
@@ -159,15 +158,15 @@ def graded(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, (weights, cut) = hashed_text(), shared.value
+        weights, cut = shared.value
         for batch in batches:
-            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                score = np.array([weights[hashed.of(t)].sum() for t in texts])
-                above = 1 / (1 + np.exp(np.clip(cut[None, :] - score[:, None], -30, 30)))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "expected_grade": above.sum(axis=1), "tail_probability": above[:, 1], "kept": above[:, 1] >= least})
+            score = np.array([weights[f].sum() for _, f in features_of(batch.column(1))])
+            above = 1 / (1 + np.exp(np.clip(cut[None, :] - score[:, None], -30, 30)))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "expected_grade": above.sum(axis=1), "tail_probability": above[:, 1], "kept": above[:, 1] >= least})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def ordinal_quality(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> DataFrame:
+    """As ``graded``, by a model of the labels; without labels every document gets the thresholds' own shares."""
     return graded(docs, train(docs, labels, per_grade))

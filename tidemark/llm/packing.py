@@ -9,8 +9,11 @@ histogram (its size depends on the capacity alone):
    each is rounded up to its group's longest;
 2. the linear programme over configurations of the few rounded sizes is solved by column
    generation (an integer knapsack prices new configurations) and rounded down;
-3. actual pieces, at their actual lengths, take the places of their group's size; a sequence
-   that rounding leaves with more than a few free tokens is given up again;
+3. actual pieces, at their actual lengths, take the places of their group's size. A sequence so
+   laid out stays if its free room is next to nothing or great enough for small pieces, and is
+   opened again if rounding left a gap between the two. Where "next to nothing" ends and "enough"
+   begins is chosen among a few bounds: the pair that ends in the fewest sequences, of such pairs
+   the one that keeps most pieces where the programme put them;
 4. what is left over, and all small pieces, go by best fit, longest first, into the tightest
    sequences that still have room.
 
@@ -39,16 +42,18 @@ from tidemark.llm.token_output import text_batches
 GROUPS = 64
 #: Pieces of more than this part of the capacity are grouped; the rest are small.
 LARGE = 3
-#: A sequence that its actual pieces leave with more free tokens than this is given up again.
-SLACK = 4
+#: Bounds tried for the free tokens of a laid-out sequence that count as none, and as room for small pieces.
+NONE = (0, 2, 4, 8, 16)
+ROOM = (16, 24, 32, 48, 64, 96, 128, 192, 256, 1 << 30)
 
 
 @dataclass
 class Run:
-    """``count`` sequences of equal content: (length, how many of it) in order."""
+    """``count`` sequences of equal content: (length, how many of it) in order; ``configured``: laid out by the programme."""
 
     count: int
     content: list[tuple[int, int]] = field(default_factory=list)
+    configured: bool = False
 
     def used(self) -> int:
         return sum(length * k for length, k in self.content)
@@ -105,9 +110,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         row = int(ratios.argmin())
         columns[:, row] = column
         inverse[row] /= direction[row]
-        for r in range(k):
-            if r != row:
-                inverse[r] -= direction[r] * inverse[row]
+        direction[row] = 0.0
+        inverse -= np.outer(direction, inverse[row])
     amounts = inverse @ need
     return [(columns[:, j].astype(int), float(amounts[j])) for j in range(k) if amounts[j] > 1e-9]
 
@@ -118,42 +122,41 @@ def _split_run(run: Run, queue: list[list[int]], runs: list[Run]) -> None:
     while left:
         own = queue[0]
         take = min(left, own[1])
-        runs.append(Run(take, [*run.content, (own[0], 1)]))
+        runs.append(Run(take, [*run.content, (own[0], 1)], run.configured))
         own[1] -= take
         left -= take
         if not own[1]:
             queue.pop(0)
 
 
-def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> list[Run]:
-    """Runs of sequences that hold all pieces; ``counts[l]`` pieces of length l < capacity."""
-    counts = counts.astype(np.int64).copy()
+def configured(counts: np.ndarray, capacity: int, groups: int) -> tuple[list[Run], np.ndarray]:
+    """Sequences laid out by the linear programme over the large pieces, and the counts of the pieces not in them."""
+    left = counts.copy()
     least = capacity // LARGE + 1
-    packed = linear_groups(counts, least, groups)
-    runs: list[Run] = []
-    if packed:
-        queues = [[list(x) for x in g] for g in packed]
-        sizes, made = [g[0][0] for g in packed], []
-        for column, amount in configurations(sizes, [sum(n for _, n in g) for g in packed], capacity):
-            have = min((sum(n for _, n in queues[g]) // int(column[g]) for g in np.flatnonzero(column)), default=0)
-            times = min(int(amount + 1e-9), have)
-            open_runs = [Run(times)] if times else []
-            for g in np.flatnonzero(column):
-                for _ in range(int(column[g])):
-                    following: list[Run] = []
-                    for run in open_runs:
-                        _split_run(run, queues[g], following)
-                    open_runs = following
-            made += open_runs
-        runs = [r for r in made if capacity - r.used() <= SLACK]
-        counts[least:] = 0
-        for run in made:
-            if capacity - run.used() > SLACK:
-                for length, each in run.content:
-                    counts[length] += run.count * each
-        for q in queues:
-            for length, n in q:
-                counts[length] += n
+    grouped = linear_groups(counts, least, groups)
+    made: list[Run] = []
+    if not grouped:
+        return made, left
+    queues = [[list(x) for x in g] for g in grouped]
+    for column, amount in configurations([g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped], capacity):
+        have = min((sum(n for _, n in queues[g]) // int(column[g]) for g in np.flatnonzero(column)), default=0)
+        times = min(int(amount + 1e-9), have)
+        open_runs = [Run(times, configured=True)] if times else []
+        for g in np.flatnonzero(column):
+            for _ in range(int(column[g])):
+                following: list[Run] = []
+                for run in open_runs:
+                    _split_run(run, queues[g], following)
+                open_runs = following
+        made += open_runs
+    for run in made:
+        for length, each in run.content:
+            left[length] -= run.count * each
+    return made, left
+
+
+def best_fit(counts: np.ndarray, runs: list[Run], capacity: int) -> list[Run]:
+    """``runs`` with the pieces of ``counts`` added, longest first, each into the tightest sequence with room, else a new one."""
     by_room: list[list[Run]] = [[] for _ in range(capacity + 1)]
     for run in runs:
         by_room[capacity - run.used()].append(run)
@@ -168,14 +171,14 @@ def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> list[Run]:
             each = room // length
             whole = min(run.count, left // each)
             if whole:
-                by_room[room - each * length].append(Run(whole, [*run.content, (length, each)]))
+                by_room[room - each * length].append(Run(whole, [*run.content, (length, each)], run.configured))
                 left -= whole * each
                 if run.count > whole:
-                    by_room[room].append(Run(run.count - whole, run.content))
+                    by_room[room].append(Run(run.count - whole, run.content, run.configured))
             else:
-                by_room[room - left * length].append(Run(1, [*run.content, (length, left)]))
+                by_room[room - left * length].append(Run(1, [*run.content, (length, left)], run.configured))
                 if run.count > 1:
-                    by_room[room].append(Run(run.count - 1, run.content))
+                    by_room[room].append(Run(run.count - 1, run.content, run.configured))
                 left = 0
         if left:
             each = capacity // length
@@ -186,6 +189,26 @@ def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> list[Run]:
     return [r for own in by_room for r in own]
 
 
+def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> list[Run]:
+    """Runs of sequences that hold all pieces; ``counts[l]`` pieces of length l < capacity."""
+    counts = counts.astype(np.int64)
+    made, left = configured(counts, capacity, groups)
+    best = None
+    for none in NONE:
+        for room in ROOM:
+            kept = [r for r in made if not none < capacity - r.used() < room]
+            again = left.copy()
+            for run in made:
+                if none < capacity - run.used() < room:
+                    for length, each in run.content:
+                        again[length] += run.count * each
+            runs = best_fit(again, kept, capacity)
+            value = sum(r.count for r in runs), -sum(r.count * each for r in kept for _, each in r.content)
+            if best is None or value < best[0]:
+                best = value, runs
+    return best[1]
+
+
 def places(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, pieces of it a sequence, offset of the first)."""
     out, used, first = [], np.zeros(capacity + 1, np.int64), 0

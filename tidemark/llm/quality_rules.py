@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import fresh, staged
 
 STRATA = ("de", "en", "es", "fr")
 OTHER = "other"
@@ -158,10 +158,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filter_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
-    columns = docs.columns
-    cutoffs = thresholds(measured(docs.select("doc_id", "text", "lang")).drop("text", "lang"), labels)
-    return judged(measured(docs), cutoffs).filter("kept").select(*columns)
+    """The documents that are kept, with the columns they came with.
+
+    Texts are measured once: the rows stand in a staged table beside their measures, the cutoffs
+    read its measures alone. The caller's columns travel in one struct, so none can clash with a
+    measure. Nulls, empty texts, repeated rows and missing labels are judged as by ``quality_rules``.
+    """
+    (row,) = fresh(["doc_id", "text", "lang"], "row")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row)
+    measures = staged(measured(docs.select(whole, "doc_id", "text", "lang")).drop("text", "lang"), "quality-measures")
+    kept = judged(measures, thresholds(measures.drop(row), labels)).filter("kept")
+    return kept.select(f"{row}.*")
 
 
 def oracle_sql() -> str:

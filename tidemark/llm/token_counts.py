@@ -58,7 +58,8 @@ class MergeCounter:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)))
         self.max_entries = max_entries
-        self.known: dict[str, int] = {}
+        self.segments: dict[str, int] = {}  # counts of segments of raw text
+        self.words: dict[str, int] = {}  # counts of normalised words, kept apart: the same string may stand for both
 
     def count_word(self, word: str) -> int:
         """Initial symbols less merges of one pre-token."""
@@ -99,12 +100,11 @@ class MergeCounter:
     def _count_plain(self, text: str) -> int:
         text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        known, total = self.known, 0
+        known, total = self.words, 0
         for word in self.word.findall(text):
-            key = "\0" + word
-            n = known.get(key)
+            n = known.get(word)
             if n is None:
-                n = known[key] = self.count_word(word)
+                n = known[word] = self.count_word(word)
             total += n
         return total
 
@@ -116,9 +116,10 @@ class MergeCounter:
         """
         if not text:
             return 0
-        known = self.known
-        if len(known) > self.max_entries:
+        known = self.segments
+        if len(known) + len(self.words) > self.max_entries:
             known.clear()
+            self.words.clear()
         total = 0
         for s in _CUT.split(text):
             n = known.get(s)
@@ -136,7 +137,8 @@ def counter_for(path: str) -> MergeCounter:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document; null text: 0 bytes, 0 tokens.
 
-    Repeated rows are counted as often as they stand; further columns are not read.
+    Repeated rows are counted as often as they stand; texts are counted whole, however long;
+    further columns are not read; an empty table gives an empty result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

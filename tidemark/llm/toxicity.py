@@ -1,19 +1,19 @@
 """Operator 9: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Fitting uses a bounded sample of the labelled training rows (at most ``per_class`` of each label,
-those of least hash of doc_id). Terms are words, word prefixes, and either of them met at least
-two, three or four times; every example is indexed under all terms of its text, so each document
-is compared with its nearest examples. A term weighs its inverse document frequency, more where
+those of least hash of doc_id). Terms are words, and words met at least two, three or four times;
+every example is indexed under all terms of its text, so each document is compared with its nearest
+examples. A term weighs its inverse document frequency, more where
 the sample associates it with label 1 beyond chance (likelihood ratio, corrected for the number of
 terms tried); there a term counts once for each pair of neighbouring words, so that a copied
 passage is no evidence by its copies. Documents are compared in batches: the terms of many
-examples by one matrix product in single precision, the others by their postings; every example
-within the rounding error of the k-th best is then compared again in double precision, which makes
-the neighbours exact. For a lone text the examples form an inverted index in blocks: each term
+examples by one matrix product in single precision, the others by their postings; for every example
+within the rounding error of the k-th best the product is taken again in double precision, which
+makes the neighbours exact. For a lone text the examples form an inverted index in blocks: each term
 keeps its greatest weight in each block, so a block whose upper bound is below the k-th best
 similarity is skipped without losing a neighbour. A document's score is the similarity-weighted
 vote of its k nearest examples, calibrated by isotonic regression on the examples' own
-leave-one-out votes; the neighbours' ids are returned as evidence.
+leave-one-out votes (taken in tasks); the neighbours' ids are returned as evidence.
 """
 
 from __future__ import annotations
@@ -21,29 +21,24 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import labelled, staged
-from tidemark.llm.token_output import text_batches
+from tidemark.llm.common import labelled, spread, staged
+from tidemark.llm.word_hashes import mixed, pieces
 
 PER_CLASS = 4096
 NEIGHBOURS = 15
-MAX_TERMS = 20_000
 BLOCK = 64
 LEAN = 8.0  # how much an association with label 1 adds to a term's weight
 BATCH = 256
 COMMON = 0.1  # terms of a greater share of the examples are compared by matrix product
-PREFIXES = (4, 5)
 LEVELS = (2, 3, 4)
-MARKS = tuple(f" {k}" for k in LEVELS)  # words have no spaces
-_EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def remainder(doc_id: Column) -> Column:
@@ -51,56 +46,56 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """A lower-cased word without punctuation at its ends, and its prefixes (marked by a bar)."""
-    w = word.strip(_EDGES)
-    if not w:
-        return ()
-    return (w, *(w[:k] + "|" for k in PREFIXES if len(w) >= k))
-
-
-class TermFinder:
-    """Counts of a text's vocabulary terms; the memo of words is bounded."""
-
-    def __init__(self, vocabulary: dict[str, int], max_entries: int = 500_000):
-        self.vocabulary, self.max_entries = vocabulary, max_entries
-        self.levels = np.full((len(LEVELS), len(vocabulary)), -1, np.int32)  # term -> the term of its level
-        for t, i in vocabulary.items():
-            if t[-2:] in MARKS:
-                self.levels[MARKS.index(t[-2:]), vocabulary[t[:-2]]] = i
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and how often each is met (once for a level)."""
-        known, words = self.known, Counter((text or "").lower().split())
-        if len(known) > self.max_entries:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
-        found = list(map(known.__getitem__, words))
-        met = np.fromiter(chain.from_iterable(found), np.int64)
-        each = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
-        terms, place = np.unique(met, return_inverse=True)
-        n = np.bincount(place, each, len(terms))
-        out = [terms]
-        for k, level in zip(LEVELS, self.levels):
-            more = level[terms[n >= k]]
-            out.append(more[more >= 0])
-        all_terms = np.concatenate(out)
-        return all_terms, np.concatenate([n, np.ones(len(all_terms) - len(terms))])
-
-
-def all_counts(text: str | None) -> dict[str, int]:
-    """Counts of all terms of a text."""
-    met = Counter(t for w in (text or "").lower().split() for t in terms_of(w))
-    return {**met} | {t + mark: 1 for t, n in met.items() for k, mark in zip(LEVELS, MARKS) if n >= k}
+def level_term(term: np.ndarray, k: int) -> np.ndarray:
+    """The term "met at least k times" of a word's term."""
+    return mixed(term, 10 + k)
+
+
+def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Terms (64-bit hashes) of each text of a column and how often each is met (a level: once)."""
+    for piece in pieces(column):
+        h, left = piece.bare()
+        for a, b in zip(piece.words[:-1].tolist(), piece.words[1:].tolist()):
+            met, n = np.unique(h[a:b][left[a:b]], return_counts=True)
+            found = [met, *(level_term(met[n >= k], k) for k in LEVELS)]
+            terms = np.concatenate(found)
+            yield terms, np.concatenate([n, np.ones(len(terms) - len(met), n.dtype)])
+
+
+class Numbers:
+    """Numbers of known 64-bit hashes: an open hash table in two arrays."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.shift = hashes, 64 - max(4, int(2 * len(hashes)).bit_length())
+        self.slots = np.full(1 << (64 - self.shift), -1, np.int32)
+        left = np.arange(len(hashes), dtype=np.int32)
+        at = self._slot(hashes)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) % len(self.slots)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(self.shift)).astype(np.int64)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash; -1 for unknown ones."""
+        out, left, at = np.full(len(h), -1, np.int32), np.arange(len(h)), self._slot(h)
+        while len(left):
+            found = self.slots[at]
+            hit = (found >= 0) & (self.hashes[found] == h[left])
+            out[left[hit]] = found[hit]
+            on = (found >= 0) & ~hit
+            left, at = left[on], (at[on] + 1) % len(self.slots)
+        return out
 
 
 @dataclass
 class Index:
     """Examples and their inverted lists; size bounded by the sample and its texts."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray  # terms (64-bit hashes), ascending
     idf: np.ndarray  # weight of each term
     ids: np.ndarray  # doc_id of each example
     label: np.ndarray
@@ -111,10 +106,9 @@ class Index:
     block_starts: np.ndarray | None = None  # term -> its blocks
     blocks: np.ndarray | None = None
     block_max: np.ndarray | None = None
-    empty_score: float = 0.0  # of a text without any term
-    steps: tuple[np.ndarray, np.ndarray] | None = None  # votes and calibrated scores
     product: tuple | None = None  # made where documents are compared, as the next
-    finder: TermFinder | None = None
+    numbers: Numbers | None = None
+    levels: list[np.ndarray] | None = None
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -153,50 +147,45 @@ class Index:
         return best_id, best
 
     def make_product(self) -> None:
-        """The common terms' matrix, and every example's own terms and values."""
-        many, n = np.diff(self.starts), len(self.ids)
-        common = np.flatnonzero(many > COMMON * n)
+        """The common terms' weights by example, in double precision and, term by term, in single."""
+        many = np.diff(self.starts)
+        common = np.flatnonzero(many > COMMON * len(self.ids))
         row = np.full(len(many), -1, np.int32)
         row[common] = np.arange(len(common))
-        matrix = np.zeros((len(common), n), np.float32)
+        exact = np.zeros((len(self.ids), len(common)))
         for i, t in enumerate(common):
-            matrix[i, self.examples[self.starts[t] : self.starts[t + 1]]] = self.values[self.starts[t] : self.starts[t + 1]]
-        order = np.argsort(self.examples, kind="stable")
-        own_terms = np.repeat(np.arange(len(many), dtype=np.int32), many)[order]
-        own_starts = np.searchsorted(self.examples[order], np.arange(n + 1))
-        self.product = row, matrix, own_starts, own_terms, self.values[order], np.zeros(len(many))
+            own = slice(self.starts[t], self.starts[t + 1])
+            exact[self.examples[own], i] = self.values[own]
+        self.product = row, exact, np.ascontiguousarray(exact.T.astype(np.float32))
 
     def nearest_of_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """As ``nearest``, for many texts at once."""
         if self.product is None:
             self.make_product()
-        row, matrix, own_starts, own_terms, own_values, dense = self.product
+        row, exact, rough = self.product
         n, out = len(self.ids), []
-        margin = 4 * (len(matrix) + 3) * 2.0**-24  # twice what rounding can set two scores apart
+        margin = 4 * (len(rough) + 3) * 2.0**-24  # twice what rounding can set two scores apart
         for first in range(0, len(vectors), BATCH):
             part = vectors[first : first + BATCH]
-            left = np.zeros((len(part), len(matrix)), np.float32)
-            rare = []
+            left = np.zeros((len(part), len(rough)), np.float32)
+            split = []
             for i, (terms, w) in enumerate(part):
                 at = row[terms]
-                is_common = at >= 0
-                left[i, at[is_common]] = w[is_common]
-                rare.append((terms[~is_common], w[~is_common]))
-            near = left @ matrix
-            for (terms, w), (few, few_w), scores in zip(part, rare, near):
-                if len(few):
-                    a, b = self.starts[few], self.starts[few + 1]
-                    spans = [slice(*x) for x in zip(a.tolist(), b.tolist())]
-                    own = np.concatenate([self.values[x] for x in spans]) * np.repeat(few_w, b - a)
-                    scores = scores + np.bincount(np.concatenate([self.examples[x] for x in spans]), own, n)
+                common = at >= 0
+                left[i, at[common]] = w[common]
+                split.append((at[common], w[common], terms[~common], w[~common]))
+            for (at, at_w, few, few_w), near in zip(split, left @ rough):
+                begin = self.starts[few]
+                many = self.starts[few + 1] - begin
+                total = int(many.sum())
+                own = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(total)
+                rare = np.bincount(self.examples[own], self.values[own] * np.repeat(few_w, many), n)
+                scores = near + rare
                 floor = np.partition(scores, n - k)[n - k] - margin if n > k else 0.0
                 close = np.flatnonzero((scores >= floor) & (scores > 0))
-                dense[terms] = w
-                spans = [slice(own_starts[e], own_starts[e + 1]) for e in close]
-                exact = np.array([dense[own_terms[s]] @ own_values[s] for s in spans])
-                dense[terms] = 0
-                order = np.lexsort((close, -np.round(exact, 12)))[:k]
-                out.append((close[order], exact[order]))
+                cosine = rare[close] + exact[close][:, at] @ at_w
+                order = np.lexsort((close, -np.round(cosine, 12)))[:k]
+                out.append((close[order], cosine[order]))
         return out
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -204,16 +193,63 @@ class Index:
         w = cosine * self.weight[near]
         return float((w * self.label[near]).sum() / w.sum()) if len(near) else 0.0
 
-    def scores(self, texts: list[str | None], k: int) -> Iterator[tuple[float, list[int]]]:
-        """Score and evidence of each text."""
-        if self.finder is None:
-            self.finder = TermFinder(self.vocabulary)
-        for i in range(0, len(texts), BATCH):
-            vectors = [self.vector(*c) if len(c[0]) else None for c in map(self.finder.counts, texts[i : i + BATCH])]
+    def vectors_of(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """The vector of each text over the known terms; None without any."""
+        if self.numbers is None:
+            self.numbers = Numbers(self.vocabulary)
+            self.levels = [self.numbers.of(level_term(self.vocabulary, k)) for k in LEVELS]  # word -> the term of its level
+        out = []
+        for piece in pieces(column):
+            h, left = piece.bare()
+            at = self.numbers.of(h)
+            at[~left] = -1
+            for a, b in zip(piece.words[:-1].tolist(), piece.words[1:].tolist()):
+                own = np.sort(at[a:b])
+                own = own[np.searchsorted(own, 0) :]
+                if not len(own):
+                    out.append(None)
+                    continue
+                new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                met, n = own[new], np.diff(new, append=len(own))
+                more = np.concatenate([level[met[n >= k]] for k, level in zip(LEVELS, self.levels)])
+                more = more[more >= 0]
+                out.append(self.vector(np.concatenate([met, more]), np.concatenate([n, np.ones(len(more), n.dtype)])))
+        return out
+
+    def votes(self, column: pa.Array, k: int) -> Iterator[tuple[float | None, list[int]]]:
+        """Vote (None without neighbours) and evidence of each text of a column."""
+        for i in range(0, len(column), BATCH):
+            vectors = self.vectors_of(column.slice(i, BATCH))
             found = iter(self.nearest_of_all([v for v in vectors if v], k))
             for v in vectors:
                 near, cosine = next(found) if v else ((), ())
-                yield (float(np.interp(self.vote(near, cosine), *self.steps)), self.ids[near].tolist()) if len(near) else (self.empty_score, [])
+                yield (self.vote(near, cosine), self.ids[near].tolist()) if len(near) else (None, [])
+
+    def votes_without_itself(self, chosen: list[int], k: int) -> Iterator[float]:
+        """The votes of some examples' k nearest other examples."""
+        place = np.full(len(self.ids), -1)
+        place[chosen] = np.arange(len(chosen))
+        own = np.flatnonzero(place[self.examples] >= 0)
+        own = own[np.argsort(place[self.examples[own]], kind="stable")]
+        term = np.searchsorted(self.starts, own, "right") - 1
+        cuts = np.searchsorted(place[self.examples[own]], np.arange(1, len(chosen)))
+        for i, (near, cosine) in zip(chosen, self.nearest_of_all(list(zip(np.split(term, cuts), np.split(self.values[own], cuts))), k + 1)):
+            others = near != i
+            yield self.vote(near[others][:k], cosine[others][:k])
+
+
+@dataclass
+class Model:
+    """An index at hand in every worker, and what turns its votes into scores."""
+
+    index: Broadcast
+    steps: tuple[np.ndarray, np.ndarray]  # votes and calibrated scores
+    empty_score: float  # of a text without any term
+
+    def scores(self, column: pa.Array, k: int) -> Iterator[tuple[float, list[int]]]:
+        """Score and evidence of each text of a column."""
+        for vote, evidence in self.index.value.votes(column, k):
+            yield (self.empty_score if vote is None else float(np.interp(vote, *self.steps))), evidence
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,29 +276,36 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFram
     key = F.xxhash64("doc_id")
     picked = [rows.filter(F.col("toxic") == c).orderBy(key, "doc_id").limit(per_class) for c in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), size
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), size
 
 
-def associated_terms(examples: DataFrame, max_terms: int) -> dict[str, float]:
-    """Terms of the sample that lean to label 1 beyond chance, strongest first: likelihood ratio over the level of chance."""
+def associated_terms(examples: DataFrame) -> dict[int, float]:
+    """Terms of the sample that lean to label 1 beyond chance: likelihood ratio over the level of chance."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = (text or "").lower().split()
-                met, context = Counter(), {}
-                for w, left, right in zip(words, ["", *words], [*words[1:], ""]):
-                    for t in terms_of(w):
-                        met[t] += 1
-                        context.setdefault(t, xxhash.xxh3_64_intdigest(f"{left} {right}"))
-                found = [(t, c) for t, c in context.items()] + [(t + mark, context[t]) for t, n in met.items() for k, mark in zip(LEVELS, MARKS) if n >= k]
-                yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in found], pa.string()), "context": pa.array(np.array([c for _, c in found], np.uint64).astype(np.int64)), "toxic": pa.array([toxic] * len(found), pa.int32())})
+            toxic = batch.column(0).to_numpy()
+            row = 0
+            for piece in pieces(batch.column(1)):
+                (h, left), n = piece.bare(), len(piece.starts)
+                first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+                first[piece.words[:-1]], last[np.maximum(piece.words[1:] - 1, 0)] = True, True
+                before, after = np.where(first[:-1], np.uint64(0), np.roll(h, 1)), np.where(last[:-1], np.uint64(0), np.roll(h, -1))
+                context = mixed(before + np.uint64(3) * mixed(after, 3), 4)
+                for a, b in zip(piece.words[:-1].tolist(), piece.words[1:].tolist()):
+                    own = left[a:b]
+                    met, at, count = np.unique(h[a:b][own], return_index=True, return_counts=True)
+                    near = context[a:b][own][at]
+                    terms = np.concatenate([met, *(level_term(met[count >= k], k) for k in LEVELS)])
+                    near = np.concatenate([near, *(near[count >= k] for k in LEVELS)])
+                    yield pa.RecordBatch.from_pydict({"term": pa.array(terms.view(np.int64)), "context": pa.array(near.view(np.int64)), "toxic": pa.array(np.full(len(terms), toxic[row], np.int32))})
+                    row += 1
 
     total = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     n0, n1 = float(total.get(0, 0)), float(total.get(1, 0))
     if not n0 or not n1:
         return {}
-    once = examples.select("toxic", "text").mapInArrow(explode, "term string, context long, toxic int").distinct()
+    once = examples.select("toxic", "text").mapInArrow(explode, "term long, context long, toxic int").distinct()
     counted = staged(once.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("ab")).filter("ab >= 3"), "label-terms")
     part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     a, b = F.col("a"), F.col("ab") - F.col("a")
@@ -271,30 +314,29 @@ def associated_terms(examples: DataFrame, max_terms: int) -> dict[str, float]:
     tested = counted.withColumn("ratio", ratio)
     tried = counted.count()
     level = 2 * np.log(max(tried, 2)) + 2.0
-    kept = tested.filter((F.col("ratio") > level) & (a * n0 > b * n1)).orderBy(F.desc("ratio"), "term").limit(max_terms)
+    kept = tested.filter((F.col("ratio") > level) & (a * n0 > b * n1))
     return {r["term"]: r["ratio"] / level for r in kept.select("term", "ratio").collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS, max_terms: int = MAX_TERMS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> Model:
     """The index over the sample. Without rows of both labels, every score is the (smoothed) training rate."""
     examples, size = sample(docs, labels, per_class)
     examples = examples.persist()
-    lean = associated_terms(examples, max_terms)
+    lean = associated_terms(examples)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [all_counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
+            found = list(terms_of(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tobytes() for t, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
 
     # at most 2 * per_class rows; as Arrow, since each holds the terms of a text
-    rows = examples.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(count, "doc_id long, toxic int, terms array<string>, counts array<int>").toArrow()
+    rows = examples.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(count, "doc_id long, toxic int, terms binary, counts binary").toArrow().combine_chunks()
     examples.unpersist()
-    ids, toxic, long = (x.to_numpy() for x in (rows["doc_id"], rows["toxic"], pc.list_value_length(rows["terms"])))
-    times, coded = pc.list_flatten(rows["counts"]).to_numpy(), pc.list_flatten(rows["terms"]).dictionary_encode().combine_chunks()
+    ids, toxic, long = (x.to_numpy() for x in (rows["doc_id"], rows["toxic"], pc.divide(pc.binary_length(rows["terms"]), 8)))
+    terms, term = np.unique(np.frombuffer(b"".join(x.as_py() for x in rows["terms"]), np.uint64), return_inverse=True)
+    term = term.astype(np.int32)
+    times = np.frombuffer(b"".join(x.as_py() for x in rows["counts"]), np.int32)
     del rows
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    terms, term = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    del coded
     pa.default_memory_pool().release_unused()
     number = Counter(toxic.tolist())
     stands = {c: size.get(c, 0) / max(1, number[c]) for c in (0, 1)}
@@ -304,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     both = bool(number[0] and number[1])
     empty_score = (of(1) + 0.25) / (of(0) + of(1) + 1) if both else (size.get(1, 0) + 0.25) / (all_rows + 1)
     if not both:
-        terms, term, times, long = [], term[:0], times[:0], long * 0
+        terms, term, times, long = terms[:0], term[:0], times[:0], long * 0
     # examples of one label lie together
     order = np.lexsort((ids, toxic))
     order = order[long[order] > 0]
@@ -312,45 +354,44 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     place[order] = np.arange(len(order))
     example = np.repeat(place, long)
     ids, toxic, each = ids[order], toxic[order].astype(float), each[order]
-    vocabulary = {t: i for i, t in enumerate(terms)}
     idf = np.log((1 + all_rows) / (1 + np.bincount(term, each[example], len(terms)))) + 1
-    for t, x in lean.items():
-        if t in vocabulary:
-            idf[vocabulary[t]] *= 1 + LEAN * x
+    if lean and len(terms):
+        leaning = np.array(list(lean), np.int64).view(np.uint64)
+        idf[np.searchsorted(terms, leaning)] *= 1 + LEAN * np.array(list(lean.values()))
     value = (1 + np.log(times)) * idf[term]
     value /= np.sqrt(np.bincount(example, value * value, len(ids)))[example]
     order = np.lexsort((example, term))
     starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
-    index = Index(vocabulary, idf, ids, toxic, each, starts, example[order], value[order])
-    del order, example, times, term, value, vocabulary
-    index.make_product()
-    _, _, ends, own_terms, own_values, _ = index.product
-    vectors = [(own_terms[a:b], own_values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-    index.empty_score = empty_score
-    votes = []
-    for i, (near, cosine) in enumerate(index.nearest_of_all(vectors, k + 1) if vectors else ()):
-        others = near != i
-        votes.append(index.vote(near[others][:k], cosine[others][:k]))
-    index.product = None  # not broadcast; each worker makes its own
-    index.steps = isotonic(np.array(votes), index.label, index.weight) if votes else (np.zeros(1), np.full(1, empty_score))
-    return index
-
-
-def scored(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
+    index = Index(terms, idf, ids, toxic, each, starts, example[order], value[order])
+    del order, example, times, term, value
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"example": pa.array(own, pa.int64()), "vote": pa.array(list(shared.value.votes_without_itself(own, k)), pa.float64())})
+
+    votes = np.zeros(len(ids))
+    if len(ids):
+        for r in spark.range(0, len(ids), 1, spread(spark)).mapInArrow(leave_one_out, "example long, vote double").collect():  # a row an example
+            votes[r["example"]] = r["vote"]
+    steps = isotonic(votes, toxic, each) if len(ids) else (np.zeros(1), np.full(1, empty_score))
+    return Model(shared, steps, empty_score)
+
+
+def scored(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (doc_ids of the nearest examples) of every document.
 
     Null, empty or unknown text: the score of training texts without any term. The score depends
     on the text alone. Repeated rows are scored each; further columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = list(own.scores(texts, k))
-                score = np.array([s for s, _ in found], float)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": score, "predicted": pa.array((score >= 0.5).astype(np.int32)), "evidence": pa.array([e for _, e in found], pa.list_(pa.int64()))})
+            found = list(model.scores(batch.column(1), k))
+            score = np.array([s for s, _ in found], float)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": score, "predicted": pa.array((score >= 0.5).astype(np.int32)), "evidence": pa.array([e for _, e in found], pa.list_(pa.int64()))})
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, score double, predicted int, evidence array<long>")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
@@ -361,14 +402,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k:
 
 
 def filter_stage(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> DataFrame:
-    """The documents not predicted toxic, with the columns they came with; one pass, no shuffle."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class, k))
+    """The documents not predicted toxic, with the columns they came with; one pass, no shuffle.
+
+    Every row is judged by its text alone: null and empty texts by the score of training texts
+    without any term, repeated rows each. An empty table, or one without labelled rows of both
+    kinds, loses nothing unless the training rate of toxic rows is one half or more.
+    """
+    model = fit(docs, labels, per_class, k)
     position = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
         for batch in batches:
-            keep = [score < 0.5 for score, _ in own.scores(batch.column(position).to_pylist(), k)]
+            keep = [score < 0.5 for score, _ in model.scores(batch.column(position), k)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

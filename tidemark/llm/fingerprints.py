@@ -3,18 +3,24 @@
 For a text c[0..n) the prefix hash H[i] = sum of c[k] * B^k over k < i, modulo a prime, answers
 the equality of any two spans: equal spans have equal differences of prefix hashes once both
 are brought to the same power. Two primes under 2^31 make the pair about 62 bits. Because
-equality of prefixes is monotone in their length, the longest common extension of two texts is
-found by binary search, on the full arrays or on the sparse ones that a fingerprint carries.
-
-A fingerprint holds the length, the hash of the whole text, and the hashes of its prefixes and
-suffixes at lengths of a fixed geometric grid: the likeness of two fingerprints is the length
-of their common prefix and suffix, found by binary search on that grid, over the longer text.
+equality of prefixes is monotone in their length, the longest common extension of two texts from
+two places is found by binary search.
+
+A fingerprint keeps the prefix array at anchors: places whose next eight characters' hash ends in
+``level`` zero bits, so the same passage has the same anchors wherever it stands. The level grows
+with the logarithm of the length, so a fingerprint has about 50 to 100 anchors (every place of
+a short text is one) and a size that does not depend on the text's. Two fingerprints are compared
+at the anchors of the higher level: from each pair of anchors with the same next characters, the
+longest common extension from anchor to anchor is found by binary search on the kept prefix
+hashes, and the likeness is the length of all passages so found, none counted twice, over the
+longer text. An edit costs only the stretch between the anchors around it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,32 +31,47 @@ from tidemark.llm.common import spread
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
+WINDOW = 8
+ANCHORS = 48
+END = 63  # level of the two ends of a text
+
+
+@dataclass
+class Fingerprint:
+    """Length, level, and for each anchor its place, level, seed (hash of the next characters) and prefix hashes."""
 
+    n: int
+    level: int
+    at: np.ndarray
+    levels: np.ndarray
+    seeds: np.ndarray  # 0 where fewer characters follow
+    sums: tuple[np.ndarray, np.ndarray]
 
-def grid(limit: int) -> list[int]:
-    """Lengths 1, 2, 3, ... growing by a sixteenth, up to ``limit``."""
-    out, x = [], 1
-    while x <= limit:
-        out.append(x)
-        x += max(1, x >> 4)
-    return out
+    def __str__(self) -> str:
+        """Length, level and the anchors in hexadecimal."""
+        sums = self.sums[0] << np.uint64(31) | self.sums[1]
+        parts = (self.at.astype(">u4"), self.levels.astype("u1"), self.seeds.astype(">u4"), sums.astype(">u8"))
+        return f"{self.n:x}:{self.level:x}:" + ":".join(x.tobytes().hex() for x in parts)
+
+    def thinned(self, level: int) -> tuple[list[int], list[int], list[list[int]]]:
+        """Places, seeds and prefix hashes of the anchors of at least ``level``."""
+        keep = self.levels >= level
+        return self.at[keep].tolist(), self.seeds[keep].tolist(), [x[keep].tolist() for x in self.sums]
 
 
 class PrefixHashes:
-    """Powers and grid that grow with the longest text met; arrays of one text on request."""
+    """Powers that grow with the longest text met; arrays and fingerprints of texts on request."""
 
     def __init__(self):
         self.powers = [np.ones(1, np.uint64) for _ in PRIMES]
-        self.grid = np.array(grid(1 << 12), np.int64)
+        self.inverses = [np.ones(1, np.uint64) for _ in PRIMES]
 
     def _reserve(self, n: int) -> None:
         while len(self.powers[0]) <= n:
             for k, (p, b) in enumerate(zip(PRIMES, BASES)):
-                own = self.powers[k]
-                step = pow(b, len(own), p)
-                self.powers[k] = np.concatenate([own, own * np.uint64(step) % np.uint64(p)])
-        if self.grid[-1] < n:
-            self.grid = np.array(grid(2 * n), np.int64)
+                for own, base in ((self.powers, b), (self.inverses, pow(b, -1, p))):
+                    step = pow(base, len(own[k]), p)
+                    own[k] = np.concatenate([own[k], own[k] * np.uint64(step) % np.uint64(p)])
 
     def arrays(self, text: str) -> list[np.ndarray]:
         """For each prime the n + 1 prefix hashes of the text's code points."""
@@ -63,16 +84,17 @@ class PrefixHashes:
             out.append(h % np.uint64(p))
         return out
 
-    def spans_equal(self, x: list[np.ndarray], i: int, y: list[np.ndarray], j: int, length: int) -> bool:
-        """Whether x's span of ``length`` at i equals y's at j."""
-        self._reserve(max(i, j))
-        for p, power, a, b in zip(PRIMES, self.powers, x, y):
-            left = (int(a[i + length]) - int(a[i])) * int(power[j]) % p
-            right = (int(b[j + length]) - int(b[j])) * int(power[i]) % p
-            if left != right:
+    def _same(self, x, a: int, b: int, i: int, y, c: int, d: int, j: int) -> bool:
+        """Whether the span between the prefix hashes x[a] and x[b], from place i, equals that of y from place j."""
+        for p, power, u, v in zip(PRIMES, self.powers, x, y):
+            if (int(u[b]) - int(u[a])) * int(power[j]) % p != (int(v[d]) - int(v[c])) * int(power[i]) % p:
                 return False
         return True
 
+    def spans_equal(self, x: list[np.ndarray], i: int, y: list[np.ndarray], j: int, length: int) -> bool:
+        """Whether x's span of ``length`` at i equals y's at j."""
+        return self._same(x, i, i + length, i, y, j, j + length, j)
+
     def common_extension(self, x: list[np.ndarray], i: int, y: list[np.ndarray], j: int) -> int:
         """Longest length at which the spans from i and j agree."""
         low, high = 0, min(len(x[0]) - 1 - i, len(y[0]) - 1 - j)
@@ -84,45 +106,58 @@ class PrefixHashes:
                 high = mid - 1
         return low
 
-    def fingerprint(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """Length, and the 62-bit hashes of prefixes and suffixes on the grid, the whole text's last."""
-        h = self.arrays(text)
+    def fingerprint(self, text: str, h: list[np.ndarray] | None = None) -> Fingerprint:
+        """``h``: the text's arrays, where they are at hand."""
+        h = self.arrays(text) if h is None else h
         n = len(h[0]) - 1
-        at = np.append(self.grid[: np.searchsorted(self.grid, n, "right")], n)
-        prefix = h[0][at] << np.uint64(31) | h[1][at]
-        parts = []
-        for p, power, x in zip(PRIMES, self.powers, h):
-            # a suffix of length l starts at n - l: its difference is divided by B^(n-l), that is, multiplied by B^l / B^n
-            whole = np.uint64(pow(int(power[n]), p - 2, p))
-            parts.append((x[n] + np.uint64(p) - x[n - at]) % np.uint64(p) * (power[at] * whole % np.uint64(p)) % np.uint64(p))
-        return n, prefix, parts[0] << np.uint64(31) | parts[1]
-
-    def common(self, x: np.ndarray, y: np.ndarray, most: int) -> int:
-        """Greatest grid length up to ``most`` at which two fingerprints' hashes agree, by binary search."""
-        low, high = 0, int(np.searchsorted(self.grid, most, "right"))
-        while low < high:
-            mid = (low + high + 1) // 2
-            if x[mid - 1] == y[mid - 1]:
-                low = mid
-            else:
-                high = mid - 1
-        return int(self.grid[low - 1]) if low else 0
-
-    def likeness(self, x: tuple, y: tuple) -> float:
-        """Common prefix and suffix over the longer length; 1 for equal fingerprints (empty ones too)."""
-        if x[0] == y[0] and x[1][-1] == y[1][-1]:
+        level = max(0, (n // ANCHORS).bit_length() - 1)
+        seeds, levels = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64)
+        if n >= WINDOW:
+            p, x = np.uint64(PRIMES[0]), h[0]
+            seeds[: n - WINDOW + 1] = (x[WINDOW:] + p - x[: n - WINDOW + 1]) % p * self.inverses[0][: n - WINDOW + 1] % p + np.uint64(1)
+            spread_out = seeds[: n - WINDOW + 1] * np.uint64(0x9E3779B97F4A7C15)
+            spread_out ^= spread_out >> np.uint64(32)
+            low = spread_out & (~spread_out + np.uint64(1))  # the lowest bit set
+            levels[: n - WINDOW + 1] = np.minimum(np.log2(np.maximum(low, 1).astype(float)).astype(np.int64), END - 1)
+        levels[[0, n]] = END
+        at = np.flatnonzero(levels >= level)
+        return Fingerprint(n, level, at, levels[at], seeds[at], (h[0][at], h[1][at]))
+
+    def likeness(self, x: Fingerprint, y: Fingerprint) -> float:
+        """Length of the common passages over that of the longer text; 1 for equal fingerprints (empty ones too)."""
+        if x.n == y.n and all(a[-1] == b[-1] for a, b in zip(x.sums, y.sums)):
             return 1.0
-        shorter, longer = sorted((x[0], y[0]))
-        if not shorter:
+        if not x.n or not y.n:
             return 0.0
-        ahead = self.common(x[1], y[1], shorter)
-        behind = self.common(x[2], y[2], shorter - ahead)
-        return (ahead + behind) / longer
-
-
-def as_text(f: tuple) -> str:
-    """Fingerprint as a string: length, then the hashes in hexadecimal."""
-    return f"{f[0]:x}:{f[1].astype('>u8').tobytes().hex()}:{f[2].astype('>u8').tobytes().hex()}"
+        self._reserve(max(x.n, y.n))
+        level = max(x.level, y.level)
+        (at, seeds, hx), (to, others, hy) = x.thinned(level), y.thinned(level)
+        where: dict[int, list[int]] = {}
+        for j in range(len(others) - 1, -1, -1):
+            if others[j]:
+                where.setdefault(others[j], []).append(j)
+        used, same, i = [False] * len(to), 0, 0
+        while i < len(at) - 1:
+            found, own = 0, where.get(seeds[i], ())
+            while own:
+                j = own.pop()
+                if used[j]:
+                    continue
+                high = min(len(at) - 1 - i, len(to) - 1 - j)
+                if True in used[j : j + high]:
+                    high = used.index(True, j) - j
+                while found < high:
+                    mid = (found + high + 1) // 2
+                    if at[i + mid] - at[i] == to[j + mid] - to[j] and self._same(hx, i, i + mid, at[i], hy, j, j + mid, to[j]):
+                        found = mid
+                    else:
+                        high = mid - 1
+                if found:
+                    used[j : j + found] = [True] * found
+                    same += at[i + found] - at[i]
+                    break
+            i += max(found, 1)
+        return same / max(x.n, y.n)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -150,12 +185,14 @@ def in_order_with_next(docs: DataFrame, buckets: int) -> DataFrame:
     rows = rows.withColumn("bucket", own)
     first = rows.filter(F.col("key").isin(bounds)).withColumn("bucket", F.pmod(F.col("bucket") - 1, F.lit(len(bounds))))
     both = rows.withColumn("guest", F.lit(False)).unionByName(first.withColumn("guest", F.lit(True)))
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", "key", "text").select("bucket", "guest", "doc_id", "text")
+    return both.repartitionById(len(bounds), "bucket").sortWithinPartitions("bucket", "guest", "key", "text").select("bucket", "guest", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, same_prefix.
 
+    ``same_prefix`` is the longest common extension of the text and its edited text from their
+    starts, on the full prefix arrays.
     Null text: empty. Rows of equal doc_id follow each other by text; a lone row is its own
     successor. Further columns are not read. Fingerprints of equal texts are equal.
     """
@@ -163,24 +200,26 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, made = PrefixHashes(), None, []
 
-        def finish(doc_id, text, own, following, next_own) -> dict:
+        def finish(doc_id, text, arrays, own, following, next_own) -> dict:
             edited = edited_text(text, following)
-            e = hashes.fingerprint(edited)
-            return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": as_text(own), "edited_fingerprint": as_text(e), "near_edited": hashes.likeness(own, e), "near_next": hashes.likeness(own, next_own)}
+            h = hashes.arrays(edited)
+            e = hashes.fingerprint(edited, h)
+            return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": str(own), "edited_fingerprint": str(e), "near_edited": hashes.likeness(own, e), "near_next": hashes.likeness(own, next_own), "same_prefix": hashes.common_extension(arrays, 0, h, 0)}
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 bucket, guest, doc_id, text = row
-                own = hashes.fingerprint(text)
+                arrays = hashes.arrays(text)
+                own = hashes.fingerprint(text, arrays)
                 if held and held[0] == bucket:
-                    made.append(finish(held[1], held[2], held[3], text, own))
-                held = None if guest else (bucket, doc_id, text, own)
+                    made.append(finish(*held[1:], text, own))
+                held = None if guest else (bucket, doc_id, text, arrays, own)
                 if len(made) == 256:
                     yield pa.RecordBatch.from_pylist(made, schema)
                     made = []
         if made:
             yield pa.RecordBatch.from_pylist(made, schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("same_prefix", pa.int64())])
     ordered = in_order_with_next(docs, buckets or spread(docs.sparkSession))
-    return ordered.mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_prefix long")

@@ -29,14 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread, staged
+from tidemark.llm.common import fresh, spread, staged
 from tidemark.llm.word_hashes import mixed, pieces
 
 SKETCH_BITS = 20
 CHUNK = 1 << 14
 MEMBER_BITS = 1 << 26
-MATCHES = (1, 2)
-VERIFY_COST = 30
+MATCHES = (1, 2, 3, 4)
+#: Estimated costs of a row of the token join and of a verification, in postings.
+JOIN_COST, VERIFY_COST = 3, 30
+#: Parts into which the rows of one label are dealt when they are joined with what belongs to the label.
+SALT = 16
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -129,7 +132,7 @@ def matches_for(counts: np.ndarray, n: int, percent: int) -> int:
         if m > least:
             break
         postings = float(total[n - least + m - 1])
-        cost = postings + VERIFY_COST * postings / m
+        cost = JOIN_COST * postings + VERIFY_COST * postings / m
         if best is None or cost < 0.8 * best:
             best, found = cost, m
     return found
@@ -229,6 +232,12 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def with_label_value(rows: DataFrame, values: DataFrame, node: str) -> DataFrame:
+    """``rows`` left-joined with ``values`` (a row a label) by label; the rows of one label are dealt into SALT parts by ``node``."""
+    parts = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALT)).cast("int")).join(parts, ["label", "salt"], "left").drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component; nodes without an edge are left out.
 
@@ -240,8 +249,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = staged(labels, "labels")
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        step = staged(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")), "labels")
+        step = staged(step, "near-labels")
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond")).join(step.select("label").distinct(), "label")
+        step = staged(with_label_value(step, jump, "node").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")), "labels")
         labels = step.select("node", "label")
         if step.filter(F.col("was") != F.col("label")).isEmpty():
             return labels
@@ -294,16 +304,20 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
             known = components(links.unionByName(more))
 
     grouped = documents.join(known, documents.cid == known.node, "left").select("doc_id", "n", F.coalesce("label", "cid").alias("label"))
-    heads = grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("head"))
-    out = grouped.join(heads, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("doc_id")).alias("component_id"))
+    heads = grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    out = with_label_value(grouped, heads, "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("head", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """One row of ``docs`` for each component: its least doc_id's (of repeated rows, one).
+    """One row of ``docs`` for each component: that of its least doc_id.
 
-    Documents without words stay, each on its own, and so do rows without a doc_id.
+    A document is known by its doc_id: of repeated rows with equal texts one stays, and rows that
+    share a doc_id but not their text stay or go together. Documents without words stay, each on
+    its own, and so do rows without a doc_id. An empty table gives an empty result.
     """
     keep = jaccard_components(docs, words, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     unnamed = docs.filter(F.col("doc_id").isNull())
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed).select(*docs.columns)
+    (key,) = fresh(docs.columns, "text_key")
+    kept = docs.join(keep, "doc_id", "left_semi").withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
+    return kept.unionByName(unnamed).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -45,8 +45,8 @@ def fit_softmax(rows: list[tuple[int, np.ndarray]], stands: dict[int, float], bi
     """Weights (features x domains) and biases, by FTRL; ``stands``: labelled rows that a row of each domain stands for."""
     k = len(DOMAINS)
     z, n = np.zeros((1 << bits, k)), np.zeros((1 << bits, k))
-    share = np.array([sum(stands[g] for g, _ in rows if g == c) for c in range(k)]) + 0.5
-    bias = np.log(share / share.sum())
+    share = np.array([sum(stands[g] for g, _ in rows if g == c) for c in range(k)], float)
+    bias = np.log(np.maximum(share / (share.sum() or 1.0), 1e-13))  # a domain without rows has no mass
     mean = sum(stands[g] for g, _ in rows) / max(1, len(rows)) or 1.0
     order = np.random.default_rng(0)
     for _ in range(epochs):
@@ -67,9 +67,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on a bounded sample of the labelled rows among ``docs``; only their hashed features reach the driver."""
-    return fit_softmax(*sampled(docs, grade(labels), per_domain))
+def train(docs: DataFrame, labels: DataFrame, targets: dict[str, float], per_domain: int = PER_DOMAIN) -> tuple[tuple[np.ndarray, np.ndarray], dict[str, float]]:
+    """Fit on a bounded sample of the labelled rows among ``docs``; only their hashed features reach the driver.
+
+    Returns the model and the targets; without labelled rows no target can be aimed at.
+    """
+    rows, stands = sampled(docs, grade(labels), per_domain)
+    return fit_softmax(rows, stands), targets if rows else {}
 
 
 def memberships(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,10 +193,11 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
     Null and empty texts have no tokens and get a rate by their posterior; repeated rows are
     rated each; further columns are not read; an empty table gives an empty result. Without
-    labels the posteriors are equal and every rate is 1 unless the targets differ.
+    labels the posteriors are equal and every rate is 1.
     """
     names = ["tokens", *DOMAINS]
-    members = with_memberships(docs.select(F.col("doc_id").cast("long"), "text"), train(docs, labels, per_domain), names)
+    model, targets = train(docs, labels, targets, per_domain)
+    members = with_memberships(docs.select(F.col("doc_id").cast("long"), "text"), model, names)
     rated, found = with_rates(members.drop("text"), names, "rate", targets, np.inf, 1.0)
     return rated.select("doc_id", "tokens", *((F.col(d) / GRID).alias(d) for d in DOMAINS), "rate", F.lit(found.converged).alias("converged"))
 
@@ -208,7 +213,8 @@ def mixed_stage(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     """
     names = fresh(docs.columns, "tokens", *DOMAINS, "rate", "copies")
     rate, copies = names[-2:]
-    rated, _ = with_rates(with_memberships(docs, train(docs, labels, per_domain), names[:-2]), names[:-2], rate, targets, most, None if np.isfinite(most) else 1.0)
+    model, targets = train(docs, labels, targets, per_domain)
+    rated, _ = with_rates(with_memberships(docs, model, names[:-2]), names[:-2], rate, targets, most, None if np.isfinite(most) else 1.0)
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1 << 40)) / float(1 << 40)
     whole = [F.col(f"`{c}`") for c in docs.columns]
     times = F.floor(F.round(F.col(rate), 3) + 1 - chance).cast("int")

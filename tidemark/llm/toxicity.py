@@ -82,6 +82,8 @@ class Numbers:
     def of(self, h: np.ndarray) -> np.ndarray:
         """The number of each hash; -1 for unknown ones."""
         out, left, at = np.full(len(h), -1, np.int32), np.arange(len(h)), self._slot(h)
+        if not len(self.hashes):
+            return out
         while len(left):
             found = self.slots[at]
             hit = (found >= 0) & (self.hashes[found] == h[left])

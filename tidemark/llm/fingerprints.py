@@ -9,7 +9,8 @@ two places is found by binary search.
 A fingerprint keeps the prefix array at anchors: places whose next eight characters' hash ends in
 ``level`` zero bits, so the same passage has the same anchors wherever it stands. The level grows
 with the logarithm of the length, so a fingerprint has about 50 to 100 anchors (every place of
-a short text is one) and a size that does not depend on the text's. Two fingerprints are compared
+a short text is one; in a long stretch without any, places at equal distances from the last are)
+and a size that does not depend on the text's. Two fingerprints are compared
 at the anchors of the higher level: from each pair of anchors with the same next characters, the
 longest common extension from anchor to anchor is found by binary search on the kept prefix
 hashes, and the likeness is the length of all passages so found, none counted twice, over the
@@ -121,6 +122,10 @@ class PrefixHashes:
             levels[: n - WINDOW + 1] = np.minimum(np.log2(np.maximum(low, 1).astype(float)).astype(np.int64), END - 1)
         levels[[0, n]] = END
         at = np.flatnonzero(levels >= level)
+        gap = 4 << level
+        for i in np.flatnonzero(np.diff(at) > gap):  # long stretches without an anchor, as in text that repeats itself
+            levels[at[i] + gap : at[i + 1] : gap] = level
+        at = np.flatnonzero(levels >= level)
         return Fingerprint(n, level, at, levels[at], seeds[at], (h[0][at], h[1][at]))
 
     def likeness(self, x: Fingerprint, y: Fingerprint) -> float:

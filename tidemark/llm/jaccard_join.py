@@ -35,7 +35,8 @@ from tidemark.llm.word_hashes import mixed, pieces
 SKETCH_BITS = 20
 CHUNK = 1 << 14
 MEMBER_BITS = 1 << 26
-MATCHES = (1, 2, 3, 4)
+#: Numbers of shared prefix shingles to choose from; more of them make longer prefixes, and thus more rows of the token join.
+MATCHES = (1, 2)
 #: Estimated costs of a row of the token join and of a verification, in postings.
 JOIN_COST, VERIFY_COST = 3, 30
 #: Parts into which the rows of one label are dealt when they are joined with what belongs to the label.

@@ -253,14 +253,11 @@ def likeness_of_texts(s, x, t, y):
             if j in used or j in tried or len(s) - at[i] < fp.WINDOW or s[at[i] : at[i] + fp.WINDOW] != t[to[j] : to[j] + fp.WINDOW]:
                 continue
             tried.add(j)
-            high = min([len(at) - 1 - i, len(to) - 1 - j, *(u - j for u in used if u > j)])
-            while found < high:
-                mid = (found + high + 1) // 2
-                if at[i + mid] - at[i] == to[j + mid] - to[j] and s[at[i] : at[i + mid]] == t[to[j] : to[j + mid]]:
-                    found = mid
-                else:
-                    high = mid - 1
-            used.update(range(j, j + found))
+            last = min([len(to) - 1, *(u for u in used if u > j)])
+            ahead = [(a, to.index(at[a] - at[i] + to[j])) for a in range(i, len(at)) if at[a] - at[i] + to[j] in to]
+            ahead = [(a, b) for a, b in ahead if b <= last and s[at[i] : at[a]] == t[to[j] : to[b]]]
+            found = ahead[-1][0] - i
+            used.update(range(j, ahead[-1][1]))
             same += at[i + found] - at[i]
             if found:
                 break

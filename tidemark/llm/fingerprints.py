@@ -141,6 +141,7 @@ class PrefixHashes:
         for j in range(len(others) - 1, -1, -1):
             if others[j]:
                 where.setdefault(others[j], []).append(j)
+        number = {place: j for j, place in enumerate(to)}
         used, same, i = [False] * len(to), 0, 0
         while i < len(at) - 1:
             found, own = 0, where.get(seeds[i], ())
@@ -148,17 +149,19 @@ class PrefixHashes:
                 j = own.pop()
                 if used[j]:
                     continue
-                high = min(len(at) - 1 - i, len(to) - 1 - j)
-                if True in used[j : j + high]:
-                    high = used.index(True, j) - j
-                while found < high:
-                    mid = (found + high + 1) // 2
-                    if at[i + mid] - at[i] == to[j + mid] - to[j] and self._same(hx, i, i + mid, at[i], hy, j, j + mid, to[j]):
-                        found = mid
+                last = used.index(True, j) if True in used[j:] else len(to) - 1
+                # anchors that both texts have at the same distance from these two
+                both = [(i + k, b) for k, place in enumerate(at[i:]) if (b := number.get(place - at[i] + to[j])) is not None and b <= last]
+                low, high = 0, len(both) - 1
+                while low < high:
+                    mid = (low + high + 1) // 2
+                    if self._same(hx, i, both[mid][0], at[i], hy, j, both[mid][1], to[j]):
+                        low = mid
                     else:
                         high = mid - 1
-                if found:
-                    used[j : j + found] = [True] * found
+                if low:
+                    found = both[low][0] - i
+                    used[j : both[low][1]] = [True] * (both[low][1] - j)
                     same += at[i + found] - at[i]
                     break
             i += max(found, 1)

@@ -89,6 +89,10 @@ def test_canonical_with_correction(spark, folder):
     assert ar.unused_corrections(rows, allowed).count() == 0
     out = ar.publish(d, f"{folder}/canonical")
     assert out.count() == 2 and ar.publish(d.limit(1), f"{folder}/canonical").count() == 1
+    failing = lambda written: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        ar.publish(d, f"{folder}/canonical", failing)
+    assert d.sparkSession.read.parquet(f"{folder}/canonical").count() == 1
 
 
 def test_broken_zip(spark, folder):

@@ -119,5 +119,24 @@ def test_trendline_break():
     assert rf.trendline_breaks(high, close).tolist() == [0.0] * 15 + [1.0]
 
 
+def test_trendline_breaks_row_by_row():
+    """Against a restatement of the rule, row by row."""
+    rng = np.random.default_rng(3)
+    hits = 0
+    for _ in range(60):
+        high = np.round(100 + np.cumsum(rng.normal(0, 1, 120)), 1)
+        close = high - np.round(rng.random(120), 1)
+        pivots = [p for p in range(3, 119) if high[p] > max(high[p - 3], high[p - 2], high[p - 1], high[p + 1])]
+        want = [0.0] * 120
+        for s in range(119):
+            near = [p for p in pivots if p + 1 <= s and p >= s - 30][-2:]
+            if len(near) == 2 and near[1] - near[0] >= 3 and high[near[1]] < high[near[0]]:
+                at = lambda k: high[near[0]] + (high[near[1]] - high[near[0]]) / (near[1] - near[0]) * (k - near[0])  # noqa: B023, E731
+                want[s + 1] = float(close[s - 1] <= at(s - 1) and close[s] > at(s))
+        hits += sum(want)
+        assert rf.trendline_breaks(high, close).tolist() == want
+    assert hits > 20
+
+
 def test_persistence():
     assert rf.persistence(np.array([0, 1, 1, -1, -1, -1, 0, 1])).tolist() == [0, 1, 2, -1, -2, -3, 0, 1]

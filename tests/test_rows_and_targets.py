@@ -74,11 +74,12 @@ def test_walk_forward_roles(spark):
     assert {r["role"]: r["count"] for r in d} == {"evaluation": 10, "purged": 1, "inner_validation": 2, "inner_purged": 1, "inner_train": 16}
 
 
-def test_hysteresis():
-    c = np.array([1, 1, 1, -1, -1, 1, -1, -1, -1])
-    assert labels.hysteresis(c, np.arange(9))[0].tolist() == [0, 0, 1, 1, 1, 1, 1, 1, -1]
-    out, confirmed, _ = labels.hysteresis(np.array([1, 1, 1, 1, 1, 1]), np.array([0, 1, 2, 10, 11, 12]))
-    assert out.tolist() == [0, 0, 1, 0, 0, 1] and confirmed == 2
+def test_hysteresis(spark):
+    start = dt.datetime(2024, 1, 1)
+    series = {"a": [(h, c) for h, c in enumerate([1, 1, 1, -1, -1, 1, -1, -1, -1])], "b": [(h, 1) for h in (0, 1, 2, 10, 11, 12)]}
+    rows = [(s, start + dt.timedelta(hours=h), c) for s, own in series.items() for h, c in own]
+    out = labels.hysteresis_labels(spark.createDataFrame(rows, "symbol string, decision_time timestamp_ntz, c int"), "c").orderBy("symbol", "decision_time").collect()
+    assert [r.label for r in out] == [0, 0, 1, 1, 1, 1, 1, 1, -1] + [0, 0, 1, 0, 0, 1]
 
 
 def test_metrics(spark):

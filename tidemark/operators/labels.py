@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import HOUR, micros
-from tidemark.shipping import ship_package
 
 THIRD = 1 / 3
 
 
 def calibrated(d: DataFrame) -> DataFrame:
-    """Per symbol: tau of the fixed labels, k of the adaptive ones, and the regime cuts. Columns y, atr_pct, sigma."""
+    """Per symbol: tau of the fixed labels, k of the adaptive ones, and the regime cuts. Columns y, atr_pct, sigma.
+
+    To be taken on training rows alone; the cuts then hold for all rows.
+    """
     ratio = F.abs(F.try_divide("y", "atr_pct"))
     cuts = F.percentile("sigma", F.array(F.lit(0.33), F.lit(0.67)))
     return d.groupBy("symbol").agg(F.percentile(F.abs("y"), F.lit(THIRD)).alias("tau"), F.percentile(ratio, F.lit(THIRD)).alias("k"), cuts[0].alias("low_cut"), cuts[1].alias("high_cut"))
@@ -32,38 +32,23 @@ def labelled(d: DataFrame, calibration: DataFrame) -> DataFrame:
     return d.withColumns({"label_fixed": three_classes(F.col("y"), F.col("tau")), "label_adaptive": three_classes(F.col("y"), F.col("k") * F.col("atr_pct")), "regime": regime}).drop("tau", "k", "low_cut", "high_cut")
 
 
-def hysteresis(candidates: np.ndarray, hours: np.ndarray, confirm: int = 3) -> tuple[np.ndarray, int, int]:
-    """Labels that change only after ``confirm`` equal candidates in a row; a gap resets to 0. Also confirmed and rejected."""
-    out, state, pending, streak, confirmed, rejected = np.zeros(len(candidates), np.int64), 0, None, 0, 0, 0
-    for i, c in enumerate(candidates):
-        if i == 0 or hours[i] - hours[i - 1] != 1:
-            state, pending, streak = 0, None, 0
-        if c == state:
-            pending, streak = None, 0
-        else:
-            streak = streak + 1 if c == pending else 1
-            pending = c
-            if streak == confirm:
-                state, pending, streak = c, None, 0
-                confirmed += 1
-            else:
-                rejected += 1
-        out[i] = state
-    return out, confirmed, rejected
-
-
 def hysteresis_labels(d: DataFrame, label: str, confirm: int = 3) -> DataFrame:
-    """symbol, decision_time, candidate and label after hysteresis; one symbol's rows at a time."""
-    ship_package(d.sparkSession)
-
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("decision_time", kind="stable")
-        hours = p["us"].to_numpy() // HOUR
-        p["label"] = hysteresis(p["candidate"].to_numpy(), hours, confirm)[0]
-        return p[["symbol", "decision_time", "candidate", "label"]]
-
-    rows = d.filter(F.col(label).isNotNull()).select("symbol", "decision_time", micros("decision_time").alias("us"), F.col(label).cast("long").alias("candidate"))
-    return rows.groupBy("symbol").applyInPandas(work, "symbol string, decision_time timestamp_ntz, candidate long, label long")
+    """symbol, decision_time, candidate and the label after hysteresis.
+
+    Within a gap-free stretch the label is the last candidate that stood ``confirm`` times in a
+    row, and 0 before the first; a gap starts anew.
+    """
+    w = Window.partitionBy("symbol").orderBy("decision_time")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.filter(F.col(label).isNotNull()).select("symbol", "decision_time", F.col(label).cast("long").alias("candidate"))
+    us = micros("decision_time")
+    gap = F.coalesce(us - F.lag(us).over(w) != HOUR, F.lit(True))
+    d = d.withColumns({"gap": gap, "starts": gap | F.coalesce(F.col("candidate") != F.lag("candidate").over(w), F.lit(True))})
+    d = d.withColumns({"stretch": F.sum(F.col("gap").cast("int")).over(so_far), "run": F.sum(F.col("starts").cast("int")).over(so_far)})
+    d = d.withColumn("standing", F.row_number().over(Window.partitionBy("symbol", "run").orderBy("decision_time")))
+    confirmed = F.when(F.col("standing") >= confirm, F.col("candidate"))
+    state = F.last(confirmed, ignorenulls=True).over(Window.partitionBy("symbol", "stretch").orderBy("decision_time").rowsBetween(Window.unboundedPreceding, 0))
+    return d.select("symbol", "decision_time", "candidate", F.coalesce(state, F.lit(0)).cast("long").alias("label"))
 
 
 def class_structure(d: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

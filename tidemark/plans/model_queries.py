@@ -92,20 +92,20 @@ MODES = {"log_return_1h": "signed", "high_low_range_pct": "positive", "close_pos
 
 
 def moded_rows(spark, sf_dir) -> DataFrame:
-    d = samples(spark, sf_dir).select("symbol", "decision_time", *(F.round(c, 9).alias(c) for c in MODES)).withColumn("candle_log_return", F.signum("candle_log_return"))
-    long = screening.long_table(d, ["symbol", "decision_time"], list(MODES))
+    d = sp.frozen_split(samples(spark, sf_dir)).withColumn("trains", F.expr("split = 'train' and not purged")).select("symbol", "decision_time", "trains", *(F.round(c, 9).alias(c) for c in MODES)).withColumn("candle_log_return", F.signum("candle_log_return"))
+    long = screening.long_table(d, ["symbol", "decision_time", "trains"], list(MODES))
     mode = F.create_map(*(F.lit(x) for kv in MODES.items() for x in kv))
     return long.withColumn("mode", mode[F.col("feature")])
 
 
-BOUNDS = f"{BASE}, ml as (" + " union all ".join(f"select symbol, decision_time, '{c}' as feature, '{m}' as mode, " + (f"sign(round({c}, 9))::double" if m == "ternary" else f"round({c}, 9)") + " as value from smp" for c, m in MODES.items()) + """),
+BOUNDS = f"{BASE}, {SPLIT_SQL}, ml as (" + " union all ".join(f"select symbol, decision_time, split = 'train' and not purged as trains, '{c}' as feature, '{m}' as mode, " + (f"sign(round({c}, 9))::double" if m == "ternary" else f"round({c}, 9)") + " as value from spl" for c, m in MODES.items()) + """),
 bd as (select symbol, feature, mode, case mode when 'sparse_positive' then coalesce(quantile_cont(nullif(value, 0), 0.5), 0) when 'sparse_signed' then 0.0 when 'binary' then 0.0 when 'ternary' then -1.0 else coalesce(quantile_cont(value, 0.2), 0) end as abs_min,
-  case mode when 'sparse_positive' then coalesce(quantile_cont(nullif(value, 0), 0.95), 0) when 'sparse_signed' then coalesce(quantile_cont(abs(nullif(value, 0)), 0.95), 0) when 'binary' then 1.0 when 'ternary' then 1.0 else coalesce(quantile_cont(value, 0.8), 0) end as abs_max from ml group by symbol, feature, mode)"""
+  case mode when 'sparse_positive' then coalesce(quantile_cont(nullif(value, 0), 0.95), 0) when 'sparse_signed' then coalesce(quantile_cont(abs(nullif(value, 0)), 0.95), 0) when 'binary' then 1.0 when 'ternary' then 1.0 else coalesce(quantile_cont(value, 0.8), 0) end as abs_max from ml where trains group by symbol, feature, mode)"""
 
 
 @query(f"with {BOUNDS} select symbol, feature, mode, round(abs_min, 9) as abs_min, round(abs_max, 9) as abs_max from bd")
 def bounds_table(spark, sf_dir):
-    return normalization.bounds_table(moded_rows(spark, sf_dir))
+    return normalization.bounds_table(moded_rows(spark, sf_dir).filter("trains"))
 
 
 @query(f"""with {BOUNDS}, x as (select ml.*, abs_min as a, abs_max as b from ml join bd using (symbol, feature))
@@ -114,7 +114,7 @@ select symbol, decision_time, feature, mode, round(case when value is null then
   else case when value = 0 then 0 when b - a <= 1e-12 then 1 else least(greatest((ln(1 + greatest(value, 0)) - ln(1 + a)) / (ln(1 + b) - ln(1 + a)), 0), 1) end end, 9) + 0.0 as normalized, value + 0.0 as value from x""")
 def normalized_features(spark, sf_dir):
     rows = moded_rows(spark, sf_dir)
-    return normalization.apply_bounds(rows, normalization.bounds_table(rows))
+    return normalization.apply_bounds(rows.drop("trains"), normalization.bounds_table(rows.filter("trains")))
 
 
 # --- linear models ----------------------------------------------------------------------------

@@ -96,7 +96,10 @@ def walkforward_design_12h(spark, sf_dir):
     return sp.walk_forward(samples(spark, sf_dir), 12)
 
 
-@query()
+LITTLE_ENDIAN = " || ".join(f"substr(printf('%016X', epoch_us(decision_time)), {k}, 2)" for k in range(15, 0, -2))
+
+
+@query(f"with {BASE} select symbol, count(*) as samples, sha256(unhex(string_agg({LITTLE_ENDIAN}, '' order by decision_time))) as identity from smp group by symbol")
 def sample_identity(spark, sf_dir):
     return sp.sample_identity(samples(spark, sf_dir))
 
@@ -129,10 +132,11 @@ def common_anchors(spark, sf_dir):
     return common(spark, sf_dir).select("symbol", "decision_time")
 
 
-@query(f"with {HB}, x as (select c.symbol, c.decision_time, h.horizon, h.value / c.sigma as z from cmn c join hx h on h.symbol = c.symbol and h.decision_time = c.decision_time), s as (select symbol, horizon, sqrt(avg(z * z)) as rms from x group by all) select s.symbol, s.horizon, round(s.rms, 9) as rms, round(s.rms / b.rms, 9) as scale from s join s b on b.symbol = s.symbol and b.horizon = 1")
+@query(f"with {BASE}, {ELIGIBLE_SQL}, {HORIZON_SQL}, {COMMON}, {SPLIT_SQL}, x as (select c.symbol, c.decision_time, h.horizon, h.value / c.sigma as z from cmn c join hx h on h.symbol = c.symbol and h.decision_time = c.decision_time join spl t on t.symbol = c.symbol and t.decision_time = c.decision_time where t.split = 'train' and not t.purged), s as (select symbol, horizon, sqrt(avg(z * z)) as rms from x group by all) select s.symbol, s.horizon, round(s.rms, 9) as rms, round(s.rms / b.rms, 9) as scale from s join s b on b.symbol = s.symbol and b.horizon = 1")
 def relative_horizon_scale(spark, sf_dir):
-    """Root mean square of y / sigma per horizon, relative to one hour."""
-    z = common(spark, sf_dir).join(targets.horizon_targets(hourly(spark, sf_dir, by_type=True)), ["symbol", "decision_time"]).withColumn("z", F.col("value") / F.col("sigma"))
+    """Root mean square of y / sigma per horizon on training rows, relative to one hour."""
+    train = sp.frozen_split(samples(spark, sf_dir).select("symbol", "decision_time", "target_time")).filter("split = 'train' and not purged")
+    z = common(spark, sf_dir).join(train.select("symbol", "decision_time"), ["symbol", "decision_time"], "left_semi").join(targets.horizon_targets(hourly(spark, sf_dir, by_type=True)), ["symbol", "decision_time"]).withColumn("z", F.col("value") / F.col("sigma"))
     rms = z.groupBy("symbol", "horizon").agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("rms"))
     base = F.max(F.when(F.col("horizon") == 1, F.col("rms"))).over(Window.partitionBy("symbol"))
     return rms.withColumn("scale", F.try_divide("rms", base))
@@ -213,19 +217,28 @@ aseed as (select symbol, segment, avg(true_range) as atr from a0 where row < 14
 awalk as (select s.symbol, s.segment, 13::bigint as row, s.atr from aseed s union all select a.symbol, a.segment, a.row, (13 * k.atr + a.true_range) / 14 from awalk k join a0 a on a.symbol = k.symbol and a.segment = k.segment and a.row = k.row + 1),
 atr as (select a.symbol, a.open_time + interval 1 hour as decision_time, k.atr / a.close as atr_pct from a0 a left join awalk k on k.symbol = a.symbol and k.segment = a.segment and k.row = a.row)"""
 LABEL_SQL = f"""{ATR_SQL}, sa as (select s.*, atr.atr_pct from smp s join atr using (symbol, decision_time)),
-cal as (select symbol, quantile_cont(abs(y), 1.0 / 3) as tau, quantile_cont(abs(y / atr_pct), 1.0 / 3) as k, quantile_cont(sigma, 0.33) as low_cut, quantile_cont(sigma, 0.67) as high_cut from sa group by symbol),
+cal as (select symbol, quantile_cont(abs(y), 1.0 / 3) as tau, quantile_cont(abs(y / atr_pct), 1.0 / 3) as k, quantile_cont(sigma, 0.33) as low_cut, quantile_cont(sigma, 0.67) as high_cut from sa semi join (select symbol, decision_time from spl where split = 'train' and not purged) tr using (symbol, decision_time) group by symbol),
 lbl as (select sa.*, case when y > tau then 1 when y < -tau then -1 else 0 end as label_fixed, case when y > k * atr_pct then 1 when y < -k * atr_pct then -1 when atr_pct is not null then 0 end as label_adaptive, case when sigma <= low_cut then 'LOW' when sigma <= high_cut then 'MID' when sigma is not null then 'HIGH' end as regime from sa join cal using (symbol))"""
-LB = f"with recursive {BASE}, {LABEL_SQL}"
+LB = f"with recursive {BASE}, {SPLIT_SQL}, {LABEL_SQL}"
+
+
+def training_rows(d: DataFrame) -> DataFrame:
+    """The rows of ``d`` (one a decision) that calibrations may see: of the training period, not purged."""
+    return sp.frozen_split(d).filter("split = 'train' and not purged")
+
+
+def calibration(d: DataFrame) -> DataFrame:
+    return lab.calibrated(training_rows(d))
 
 
 def labelled(spark, sf_dir) -> DataFrame:
     d = with_atr(spark, sf_dir)
-    return lab.labelled(d, lab.calibrated(d))
+    return lab.labelled(d, calibration(d))
 
 
 @query(f"{LB} select symbol, round(tau, 9) as tau, round(k, 9) as k, round(low_cut, 9) as low_cut, round(high_cut, 9) as high_cut from cal")
 def label_calibration(spark, sf_dir):
-    return lab.calibrated(with_atr(spark, sf_dir))
+    return calibration(with_atr(spark, sf_dir))
 
 
 @query(f"{LB} select symbol, decision_time, label_fixed as label from lbl")
@@ -305,7 +318,7 @@ CM = f"{PRED}, cm as (select s.symbol, a.c as actual, b.c as predicted, (select
 
 def predictions(spark, sf_dir) -> DataFrame:
     d = with_atr(spark, sf_dir)
-    c = lab.calibrated(d)
+    c = calibration(d)
     return lab.labelled(d, c).filter("p is not null").join(c.select("symbol", "tau"), "symbol").select("symbol", "decision_time", F.col("label_fixed").alias("actual"), lab.three_classes(F.col("p"), F.col("tau")).alias("predicted"))
 
 

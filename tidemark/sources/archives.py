@@ -152,7 +152,11 @@ def unused_corrections(rows: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, check=None) -> DataFrame:
-    """Write next to ``path``, verify what was written, then rename; the old table stays until then."""
+    """Write next to ``path``, verify what was written, then rename; the old table goes last.
+
+    The old table is moved aside first and back if the new one cannot take its place; after a
+    crash in between it stands complete at ``path`` + ".before".
+    """
     spark = df.sparkSession
     fresh = f"{path}.writing"
     df.write.mode("overwrite").parquet(fresh)
@@ -162,7 +166,15 @@ def publish(df: DataFrame, path: str, check=None) -> DataFrame:
     jvm = spark.sparkContext._jvm
     source, target = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
     fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    before = jvm.org.apache.hadoop.fs.Path(f"{path}.before")
+    replaced = fs.exists(target)
+    if replaced:
+        fs.delete(before, True)
+        if not fs.rename(target, before):
+            raise OSError(f"cannot move {path} aside")
     if not fs.rename(source, target):
+        if replaced:
+            fs.rename(before, target)
         raise OSError(f"cannot publish {path}")
+    fs.delete(before, True)
     return spark.read.parquet(path)

@@ -443,7 +443,7 @@ def test_mixing_solves_the_least_squares(spark, targets, most, budget):
     p, s = q / mixing.GRID, tokens / tokens.sum()
     mass = s @ p
     goal = np.array([targets[d] for d in mixing.DOMAINS])
-    goal = goal / goal.sum() * (min(1.0, *(most * mass[goal > 0] / goal[goal > 0])) if budget is None else budget)
+    goal = goal / goal.sum() * (most * mass[goal.argmax()] / (goal.max() / goal.sum()) if budget is None else budget)
     assert np.allclose(goal, found.goal)
     value = lambda r: ((((s * r) @ p - goal) ** 2) / (2 * mass)).sum() + mixing.MU / 2 * (s * (r - 1) ** 2).sum()
     r = np.ones(300)
@@ -453,6 +453,14 @@ def test_mixing_solves_the_least_squares(spark, targets, most, budget):
     assert found.converged and own.min() >= 0 and own.max() <= most and value(own) <= value(r) + 1e-4
 
 
+def test_mixing_keeps_the_main_domain_where_another_is_scarce(spark):
+    """One poor document in 10,000: the good ones stay, the toxic ones go."""
+    cells = spark.createDataFrame([(9_000_000, 0, 0, 1000), (900_000, 1, 2, 997), (900, 0, 1000, 0), (50_000, 950, 0, 50)], "tokens long, toxic int, poor int, good int")
+    found = mixing.solve(cells, corpus_pipeline.TARGETS, 1.0, None)
+    r = mixing.rates_of(np.array([[0, 0, 1000], [1, 2, 997], [0, 1000, 0], [950, 0, 50]]) / mixing.GRID, found.pulls, mixing.MU, 1.0)[0]
+    assert found.converged and r[:3].min() > 0.999 and r[3] < 0.01
+
+
 def test_mixing_says_when_it_has_not_converged(spark):
     cells = spark.createDataFrame([(10, 0, 400, 600), (10, 700, 0, 300)], "tokens long, toxic int, poor int, good int")
     with pytest.warns(RuntimeWarning):

@@ -127,8 +127,8 @@ def rates_of(p: np.ndarray, pulls: list[np.ndarray], mu: float, most: float = np
 def solve(cells: DataFrame, targets: dict[str, float], most: float = np.inf, budget: float | None = 1.0, mu: float = MU, steps: int = 400, close: float = 1e-4) -> Solution:
     """Projected gradient over ``cells`` (tokens and one posterior column per domain).
 
-    ``budget``: wanted tokens as a share of all; None: as many as the scarcest domain allows at
-    ``most``. A domain without any mass cannot be matched; it is left out and the other targets
+    ``budget``: wanted tokens as a share of all; None: as many as use up, at rate ``most``, the
+    domain of the greatest target, so that scarcity of another domain costs it nothing. A domain without any mass cannot be matched; it is left out and the other targets
     are scaled to their sum. Ends when a step changes the totals by less than ``close`` and the
     rates by less than ten times that (root mean square over tokens).
     """
@@ -157,8 +157,8 @@ def solve(cells: DataFrame, targets: dict[str, float], most: float = np.inf, bud
     goal = np.where(have, [targets.get(d, 0.0) for d in DOMAINS], 0.0)
     goal = goal / goal.sum() if goal.sum() else mass
     if budget is None:
-        wanted = goal > 0
-        budget = min(1.0, float((most * mass[wanted] / goal[wanted]).min()))
+        main = int(goal.argmax())
+        budget = float(most * mass[main] / goal[main])
     goal = goal * budget
     pulls: list[np.ndarray] = []
     now = ahead = mass
@@ -207,7 +207,7 @@ def mixed_stage(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
     The whole part of a rate is always taken, the rest by a hash of doc_id (of the text where it
     is null), so repeated rows share their lot. With ``most`` 1, nothing is taken twice and the
-    token budget is as large as the scarcest wanted domain allows. Null and empty texts are drawn
+    token budget is what the domain of the greatest target fills. Null and empty texts are drawn
     by the posterior of emptiness; an empty table gives an empty result; without labels all
     posteriors are equal and every row stays.
     """

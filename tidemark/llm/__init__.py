@@ -1,4 +1,4 @@
-"""Training-data operators: ten operators over the document tables, and their queries.
+"""Training-data operators: thirteen operators over the document and embedding tables, and their queries.
 
 Nothing else in the library imports this subpackage.
 """

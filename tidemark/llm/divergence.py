@@ -172,8 +172,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     nothing, their groups still have their pairs; a language without kept terms has pairs of value
     0 and no terms. Further columns are not read; an empty table gives an empty result.
     """
-    texts = staged(collapsed(docs), "distinct-texts")
-    counts = staged(term_counts(texts), "term-counts")
+    counts = staged(term_counts(collapsed(docs)), "term-counts")
     by_source = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     # kept terms with the list of the sources that have them: one entry a source
     terms = counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("of_lang"), F.collect_list(F.struct("source", "n")).alias("held")).filter(F.col("documents") >= least)
@@ -182,7 +181,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     cells = terms.select("lang", "term", "of_lang", F.inline("held"))
     histogram = staged(cells.groupBy("lang", "source", "n").agg(F.count("*").alias("times")), "count-histogram")
     totals = histogram.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("times")).alias("total"))
-    groups = texts.select("lang", F.explode("sources.source").alias("source")).distinct()
+    groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = groups.join(totals, ["lang", "source"], "left").join(whole, "lang", "left")
     number = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("total", "terms", "lang_total")}
     groups = staged(groups.select("lang", "source", *(x.alias(c) for c, x in number.items())), "source-groups")

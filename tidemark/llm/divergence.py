@@ -33,7 +33,7 @@ LEAST_DOCUMENTS = 3
 TOP = 200
 SCALE = 1_000_000_000
 #: Entries of a task's counts (and pairs of its sums) before they are handed on; bounds memory, not results.
-MOST_ENTRIES = 400_000
+MOST_ENTRIES = 600_000
 PAIRS_AT_ONCE = 1_000_000
 
 # Bytes of A-Z become a-z, other ASCII characters a space, and those of longer characters stay.
@@ -46,14 +46,20 @@ def terms_of(text: str) -> list[bytes]:
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
-    """lang, text and the sources with their multiplicities (at most one entry a source) of every distinct text of a language.
+    """lang, text and the sources with their multiplicities (one entry a source) of every distinct text of a language.
 
-    Copies are counted by partial aggregation before they are shuffled, so a text of which a third
-    of all rows are copies is a few rows by then.
+    Each text is shuffled once, copies of it combined before: with the set of its sources, and how
+    many rows it stands for. Only where a source has it more than once are the copies of each
+    source counted, by digests of the texts, and joined to it.
     """
     known = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counted = known.groupBy("lang", "text", "source").agg(F.count("*").alias("copies"))
-    return counted.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "copies")).alias("sources"))
+    texts = known.groupBy("lang", "text").agg(F.collect_set("source").alias("held"), F.count("*").alias("copies"))
+    once = texts.filter(F.col("copies") == F.size("held")).select("lang", "text", F.transform("held", lambda s: F.struct(s.alias("source"), F.lit(1).cast("long").alias("copies"))).alias("sources"))
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    counted = known.select("lang", "source", digest).groupBy("lang", "digest", "source").agg(F.count("*").alias("copies"))
+    counted = counted.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "copies")).alias("sources"), F.max("copies").alias("most")).filter("most > 1").drop("most")
+    often = texts.filter(F.col("copies") > F.size("held")).select("lang", "text", digest)
+    return once.unionByName(often.join(counted, ["lang", "digest"]).select("lang", "text", "sources"))
 
 
 def term_counts(texts: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import diagnostics as dg
-from tidemark.operators import linear, screening
+from tidemark.operators import evaluation, linear, screening
 
 
 def frame(spark, rows, schema):
@@ -25,12 +25,30 @@ def test_checks_raise(spark):
     with pytest.raises(Exception, match="no v for an anchor"):
         dg.must_hit(frame(spark, [("a",), ("c",)], "k string"), d, ["k"], "v").collect()
     assert {r.k: r.v for r in dg.must_hit(d.select("k"), d, ["k"], "v").collect()} == {"a": 1.0, "b": 2.0}
+    with pytest.raises(Exception, match="no positive v for an anchor"):
+        dg.must_hit(d.select("k"), d.withColumn("v", F.col("v") - 1), ["k"], "v", positive=True).count()
     with pytest.raises(Exception, match="stands twice"):
         dg.one_to_one(d, d.unionByName(d).select("k", F.col("v").alias("w")), ["k"]).collect()
     with pytest.raises(Exception, match="negative sigma"):
         dg.sigma_selected(frame(spark, [(-1.0,)], "sigma double")).collect()
 
 
+def test_checks_survive_pruning(spark):
+    """A plan that reads no column of a checked table still raises."""
+    d = frame(spark, [("a", 1.0)], "k string, v double")
+    for bad in (None, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="not finite"):
+            dg.finite_values(frame(spark, [("a", bad)], "k string, v double"), "v").count()
+    for bad in (7, None):
+        with pytest.raises(Exception, match="not a label"):
+            dg.label_domain(frame(spark, [(bad,)], "l int"), "l").count()
+    with pytest.raises(Exception, match="no v for an anchor"):
+        dg.must_hit(frame(spark, [("a",), ("c",)], "k string"), d, ["k"], "v").count()
+    with pytest.raises(Exception, match="no rows"):
+        dg.nonempty(d.limit(0)).count()
+    assert dg.nonempty(d).collect() == d.collect() and dg.label_domain(frame(spark, [(0,), (1,), (-1,)], "l int"), "l").count() == 3
+
+
 def test_empty_tables(spark):
     d = frame(spark, [], "symbol string, y double, p double, sigma double, decision_time timestamp_ntz")
     assert dg.prediction_diagnostics(d, ["symbol"]).count() == dg.normalization_blocks(d, ["symbol"]).count() == dg.alignment_sample(d).count() == dg.calibration_rows(d).count() == 0
@@ -54,6 +72,10 @@ def test_gates_at_their_bounds(spark):
     assert t == {"four": (4, True), "three": (3, True)}
     low = frame(spark, [row("x", r2=-9.0 if i == 0 else 0.1) for i in range(4)], "symbol string, " + ", ".join(f"{m} double" for m in names))
     assert not dg.temporal_gate(low, ["symbol"]).first().stable  # three good folds, a negative mean
+    for column in ("r2", "mae_skill", "rmse_skill"):  # four good units of five, the fifth spoils the mean
+        d = frame(spark, [row("x", **{column: -9.0 if i == 0 else 0.1}) for i in range(5)], "symbol string, " + ", ".join(f"{m} double" for m in names))
+        g = dg.seed_gate(d, ["symbol"], 4).first()
+        assert g[f"good_{column}"] == 4 and not g.stable and not dg.temporal_gate(d, ["symbol"]).first().stable
     c = frame(spark, [("a", 1 / 3 + x, 0.1, 0.4, 0.3) for x in (0.1, 0.1, 0.1, 0.0)] + [("b", 0.5, 0.1, 0.3, 0.3)] * 4, "symbol string, balanced_accuracy double, mcc double, macro_f1 double, majority_macro_f1 double")
     assert {r.symbol: (r.positive_folds, r.stable) for r in dg.classification_gate(c, ["symbol"]).collect()} == {"a": (3, True), "b": (0, False)}
 
@@ -63,6 +85,9 @@ def test_winner_and_ties(spark):
     assert dg.winner(d, ["folds", "skill"], "name").first().name == "b"
     with pytest.raises(Exception, match="unresolved tie"):
         dg.winner(d.withColumn("skill", F.lit(0.0)), ["folds", "skill"], "name").collect()
+    passing = d.withColumn("passed", F.col("name") == "c")
+    assert evaluation.selected(passing, "passed", ["folds", "skill"], "name").first().name == "c"
+    assert evaluation.selected(passing.withColumn("passed", F.lit(False)), "passed", ["folds", "skill"], "name").count() == 0
     losses = frame(spark, [("a", 1, 0.5), ("a", 2, 0.3), ("a", 3, 0.3)], "s string, epoch int, loss double")
     assert dg.lowest_loss(losses, ["s"], "epoch", "loss").first().epoch == 2
 
@@ -108,3 +133,26 @@ def test_ridge_equals_numpy(spark):
     w = np.linalg.solve(zc.T @ zc + np.eye(4), zc.T @ tc)
     want = ((z - z.mean(axis=0)) @ w + t.mean()) * y.std() + y.mean()
     assert np.allclose(np.sort(got), np.sort(want), atol=1e-9)
+
+
+def test_class_evaluation_row_by_row(spark):
+    rng = np.random.default_rng(2)
+    t = dt.datetime(2024, 1, 1)
+    hours = np.sort(rng.choice(300, 240, replace=False))
+    actual, predicted = rng.choice([-1, 0, 1], 240, p=[0.5, 0.3, 0.2]), rng.choice([-1, 0, 1], 240)
+    rows = [("a", t + dt.timedelta(hours=int(h)), int(a), int(p)) for h, a, p in zip(hours, actual, predicted)]
+    got = {r.fold: r for r in evaluation.class_evaluation(frame(spark, rows, "symbol string, decision_time timestamp_ntz, actual int, predicted int")).collect()}
+    blocks = np.array_split(np.arange(240), 6)
+    assert sorted(got) == [1, 2, 3, 4]
+    for fold in got:
+        own = blocks[fold + 1]
+        pool = [i for b in blocks[: fold + 1] for i in b if hours[i] + 1 < hours[own[0]]]
+        share = np.array([np.mean(actual[pool] == c) for c in (-1, 0, 1)])
+        top = (-1, 0, 1)[int(np.argmax(share))]
+        r, y, p = got[fold], actual[own], predicted[own]
+        assert r.train_majority_class == top and np.isclose(r.train_majority_accuracy, np.mean(y == top)) and np.isclose(r.accuracy, np.mean(y == p))
+        s = np.mean(y == top)
+        assert np.isclose(r.train_majority_macro_f1, 2 * s / (1 + s) / 3)
+        assert np.isclose(r.train_prior_log_loss, -np.mean(np.log(share[y + 1])))
+        moves = sum(hours[own[i]] - hours[own[i - 1]] == 1 and p[i] != p[i - 1] for i in range(1, len(own)))
+        assert r.transitions == moves and np.isclose(r.transitions_per_1000, 1000 * moves / len(own))

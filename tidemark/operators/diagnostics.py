@@ -11,7 +11,7 @@ from tidemark.functions.expressions import safe_corr
 from tidemark.operators.metrics import average_rank, directional_accuracy
 
 #: Conditions of the regression gates: metric and the bound it must exceed.
-REGRESSION_GATE = {"mae_skill": 0.0, "mse_skill": 0.0, "r2": 0.0, "ic": 0.0, "rank_ic": 0.0, "directional_accuracy": 0.5}
+REGRESSION_GATE = {"mae_skill": 0.0, "rmse_skill": 0.0, "r2": 0.0, "ic": 0.0, "rank_ic": 0.0, "directional_accuracy": 0.5}
 
 
 def required(ok: Column, value: Column, message: str) -> Column:
@@ -19,21 +19,33 @@ def required(ok: Column, value: Column, message: str) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
 
 
+def checked(d: DataFrame, ok: Column, message: str) -> DataFrame:
+    """``d`` unchanged; a row that is not ``ok`` raises. A filter, which no plan leaves out whatever columns it reads."""
+    return d.filter(required(ok, F.lit(True), message))
+
+
 def finite_values(d: DataFrame, x: str) -> DataFrame:
     """``d`` unchanged; a missing, infinite or NaN value raises."""
     c = F.col(x).cast("double")
-    return d.withColumn(x, required(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.col(x), f"{x} is not finite"))
+    return checked(d, c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), f"{x} is not finite")
+
+
+def nonempty(d: DataFrame, message: str = "no rows") -> DataFrame:
+    """``d`` unchanged; an empty one raises when it is read."""
+    counted = checked(d.agg(F.count("*").alias("_n")), F.col("_n") > 0, message).filter("_n < 0")  # never a row
+    return d.unionByName(counted.select(*(F.lit(None).cast(kind).alias(c) for c, kind in d.dtypes)))
 
 
 def label_domain(d: DataFrame, label: str) -> DataFrame:
     """``d`` unchanged; a label other than -1, 0 or 1 raises."""
-    return d.withColumn(label, required(F.col(label).isin(-1, 0, 1), F.col(label), f"{label} is not a label"))
+    return checked(d, F.col(label).isin(-1, 0, 1), f"{label} is not a label")
 
 
-def must_hit(anchors: DataFrame, values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``anchors`` with ``value`` looked up by ``keys``; an anchor without one raises."""
+def must_hit(anchors: DataFrame, values: DataFrame, keys: Sequence[str], value: str, positive: bool = False) -> DataFrame:
+    """``anchors`` with ``value`` looked up by ``keys``; an anchor without one raises, with ``positive`` also one of at most 0."""
     found = anchors.join(values.select(*keys, value, F.lit(True).alias("_hit")), list(keys), "left")
-    return found.withColumn(value, required(F.col("_hit"), F.col(value), f"no {value} for an anchor")).drop("_hit")
+    ok = F.col("_hit") & (F.col(value) > 0) if positive else F.col("_hit")
+    return checked(found, ok, f"no {'positive ' if positive else ''}{value} for an anchor").drop("_hit")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -136,10 +148,26 @@ def sign_agreement(label: Column, y: Column) -> Column:
     return F.avg(F.when(label != 0, (F.signum(y) == label).cast("double")))
 
 
+#: Metrics whose mean over all units or folds must be positive, too.
+POSITIVE_MEANS = ("mae_skill", "rmse_skill", "r2")
+
+
+def rmse_skill() -> Column:
+    """1 - rmse / rmse of the zero prediction, from mse_skill."""
+    return 1 - F.sqrt(1 - F.col("mse_skill"))
+
+
+def _means_positive() -> Column:
+    return F.coalesce(F.least(*(F.col(f"mean_{m}") for m in POSITIVE_MEANS)) > 0, F.lit(False))
+
+
 def seed_gate(d: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
-    """Each condition of REGRESSION_GATE met by at least ``least`` units; ``d`` has a row a unit and a column a metric."""
-    counts = d.groupBy(*keys).agg(F.count("*").alias("units"), *(F.count_if(F.coalesce(F.col(m) > b, F.lit(False))).alias(f"good_{m}") for m, b in REGRESSION_GATE.items()))
-    return counts.withColumn("stable", F.least(*(F.col(f"good_{m}") for m in REGRESSION_GATE)) >= least)
+    """Each condition of REGRESSION_GATE met by at least ``least`` units, and positive means of the skills and r2.
+
+    ``d`` has a row a unit and a column a metric.
+    """
+    counts = d.groupBy(*keys).agg(F.count("*").alias("units"), *(F.count_if(F.coalesce(F.col(m) > b, F.lit(False))).alias(f"good_{m}") for m, b in REGRESSION_GATE.items()), *(F.avg(m).alias(f"mean_{m}") for m in POSITIVE_MEANS))
+    return counts.withColumn("stable", (F.least(*(F.col(f"good_{m}") for m in REGRESSION_GATE)) >= least) & _means_positive())
 
 
 def temporal_gate(d: DataFrame, keys: Sequence[str], least: int = 3) -> DataFrame:
@@ -147,9 +175,8 @@ def temporal_gate(d: DataFrame, keys: Sequence[str], least: int = 3) -> DataFram
     good = F.lit(True)
     for m, b in REGRESSION_GATE.items():
         good = good & F.coalesce(F.col(m) > b, F.lit(False))
-    means = [f"mean_{m}" for m in ("mae_skill", "mse_skill", "r2")]
-    d = d.groupBy(*keys).agg(F.count_if(good).alias("positive_folds"), *(F.avg(m).alias(f"mean_{m}") for m in ("mae_skill", "mse_skill", "r2")))
-    return d.withColumn("stable", (F.col("positive_folds") >= least) & F.coalesce(F.least(*means) > 0, F.lit(False)))
+    d = d.groupBy(*keys).agg(F.count_if(good).alias("positive_folds"), *(F.avg(m).alias(f"mean_{m}") for m in POSITIVE_MEANS))
+    return d.withColumn("stable", (F.col("positive_folds") >= least) & _means_positive())
 
 
 def classification_gate(d: DataFrame, keys: Sequence[str], least: int = 3) -> DataFrame:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import HOUR, finite, from_micros, full, micros
-from tidemark.operators.gaps import in_segment, segments
+from tidemark.operators.chunks import LENGTH, in_chunk, with_halo
+from tidemark.operators.gaps import segments
 
 F0 = ("log_return_1h", "log_return_3h", "log_return_6h", "candle_log_return", "high_low_range_pct", "close_position_in_range", "rolling_volatility_6h", "rolling_volatility_24h", "log_volume_change_1h", "relative_volume_24h")
 
 
-def f0_features(bars: DataFrame) -> DataFrame:
+#: Rows before a chunk that its windows reach: 24, and the lag within.
+HALO = 32
+
+
+def f0_features(bars: DataFrame, length: int = LENGTH) -> DataFrame:
     """symbol, segment, open_time, decision_time and the features; NULL while a window is not full."""
-    w = in_segment()
-    d = segments(bars)
+    w = in_chunk()
+    d = with_halo(segments(bars, length=length), HALO, length)
     log_close, log_volume = F.ln("close"), F.log1p("volume")
     d = d.withColumns({"log_return_1h": log_close - F.lag(log_close).over(w), "log_return_3h": log_close - F.lag(log_close, 3).over(w), "log_return_6h": log_close - F.lag(log_close, 6).over(w)})
     span = F.col("high") - F.col("low")
@@ -33,12 +38,12 @@ def f0_features(bars: DataFrame) -> DataFrame:
             "relative_volume_24h": F.try_divide(F.col("volume"), F.when(usual != 0, usual)),
         }
     )
-    return d.select("symbol", "segment", "open_time", from_micros(micros("open_time") + HOUR).alias("decision_time"), *(finite(F.col(c)).alias(c) for c in F0))
+    return d.filter("own").select("symbol", "segment", "open_time", from_micros(micros("open_time") + HOUR).alias("decision_time"), *(finite(F.col(c)).alias(c) for c in F0))
 
 
-def eligible(features: DataFrame) -> DataFrame:
+def eligible(features: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows with eligible (24 whole rows in the segment up to here, volatility above 0) and the reason if not."""
-    w = Window.partitionBy("symbol", "segment").orderBy("open_time").rowsBetween(-23, 0)
+    w = in_chunk().rowsBetween(-23, 0)
     whole = F.lit(True)
     for c in F0:
         whole = whole & F.col(c).isNotNull()
@@ -46,4 +51,5 @@ def eligible(features: DataFrame) -> DataFrame:
     complete = F.sum(whole.cast("int")).over(w)
     sigma = F.col("rolling_volatility_24h")
     reason = F.when(rows < 24, "incomplete_window").when(complete < 24, "nonfinite_feature").when(~(sigma > 0), "nonpositive_sigma").otherwise("usable")
-    return features.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "usable")
+    d = with_halo(features, 24, length).withColumn("reason", reason).filter("own").drop("chunk", "own")
+    return d.withColumn("eligible", F.col("reason") == "usable")

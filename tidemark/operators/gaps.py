@@ -6,27 +6,25 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import HOUR, from_micros, micros
+from tidemark.operators.chunks import LENGTH, segment_numbers
+from tidemark.staging import staged
 
 
 def by_time() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("open_time")
 
 
-def in_segment() -> WindowSpec:
-    return Window.partitionBy("symbol", "segment").orderBy("open_time")
-
-
 def consecutive(lag: int, step_us: int = HOUR, time: str = "open_time", over: WindowSpec | None = None) -> Column:
     """Whether the row ``lag`` rows before stands exactly ``lag`` steps earlier."""
     return micros(time) - F.lag(micros(time), lag).over(over or by_time()) == lag * step_us
 
 
-def segments(bars: DataFrame, step_us: int = HOUR) -> DataFrame:
-    """``bars`` with segment (from 0 in each symbol, new after every gap) and row (from 0 in each segment)."""
-    new = F.when(consecutive(1, step_us), 0).otherwise(1)
-    running = F.sum(new).over(by_time().rowsBetween(Window.unboundedPreceding, 0)) - 1
-    d = bars.withColumn("segment", running.cast("long"))
-    return d.withColumn("row", (F.row_number().over(in_segment()) - 1).cast("long"))
+def segments(bars: DataFrame, step_us: int = HOUR, length: int = LENGTH) -> DataFrame:
+    """``bars`` (staged) with segment (from 0 in each symbol, new after every gap) and row (from 0 in each segment).
+
+    Numbering reads the bars twice, so they are written first and not made twice.
+    """
+    return segment_numbers(staged(bars, "bars"), length, step_us)
 
 
 def segment_lengths(bars: DataFrame) -> DataFrame:

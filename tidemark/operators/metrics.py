@@ -76,16 +76,21 @@ def confusion(d: DataFrame, keys: Sequence[str], classes: Sequence[int] = (-1, 0
     return grid.join(counted, [*keys, "actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
-def classification_metrics(d: DataFrame, keys: Sequence[str], classes: Sequence[int] = (-1, 0, 1)) -> DataFrame:
-    """accuracy, balanced accuracy, macro precision, recall and F1 (0 for 0 / 0), and Matthews' coefficient."""
-    matrix = confusion(d, keys, classes)
+def class_table(matrix: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, class, t, hit, g, precision, recall, f1): rows of a class, hits and guesses; 0 for 0 / 0."""
     diagonal = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
-    actual = matrix.groupBy(*keys, F.col("actual").alias("class")).agg(F.sum("n").alias("t"), F.sum(diagonal).alias("hit"))
-    guessed = matrix.groupBy(*keys, F.col("predicted").alias("class")).agg(F.sum("n").alias("g"))
-    c = actual.join(guessed, [*keys, "class"])
+    # both sides of a cell count for their class: one pass over the matrix
+    sides = matrix.select(*keys, F.inline(F.array(F.struct(F.col("actual").alias("class"), F.col("n").alias("t"), diagonal.alias("hit"), F.lit(0).cast("long").alias("g")), F.struct(F.col("predicted").alias("class"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("hit"), F.col("n").alias("g")))))
+    c = sides.groupBy(*keys, "class").agg(F.sum("t").alias("t"), F.sum("hit").alias("hit"), F.sum("g").alias("g"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     c = c.withColumns({"precision": zero(F.col("hit"), F.col("g")), "recall": zero(F.col("hit"), F.col("t"))})
-    c = c.withColumn("f1", zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return c.withColumn("f1", zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def classification_metrics(d: DataFrame, keys: Sequence[str], classes: Sequence[int] = (-1, 0, 1)) -> DataFrame:
+    """accuracy, balanced accuracy, macro precision, recall and F1 (0 for 0 / 0), and Matthews' coefficient."""
+    c = class_table(confusion(d, keys, classes), keys)
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     n, hit = F.sum("t"), F.sum("hit")
     # in double: squares of counts leave the range of long integers on large tables
     t, g = F.col("t").cast("double"), F.col("g").cast("double")

@@ -2,7 +2,8 @@
 
 All use bars before t only (``open_gap_atr_14`` also the open of t). Windows never leave the
 gap-free segment; a feature is NULL before its first valid row. Lags are projected once, then
-all windows of one frame length share a sort.
+all windows of one frame length share a sort. They partition by chunks of time with a halo of
+HALO rows, so a long symbol is spread over tasks.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import EPS, clip, finite, full, safe_corr, true_or_false
-from tidemark.operators.gaps import in_segment, segments
+from tidemark.operators.chunks import LENGTH, in_chunk, with_halo
+from tidemark.operators.gaps import segments
 
+#: Rows before a chunk that its windows reach: 120 + 20 of the volatility percentile, and the lags within.
+HALO = 160
 #: Feature: (first valid row in the segment, group).
 WINDOWED = {
     "amihud_illiquidity_20": (21, "volume"),
@@ -60,12 +64,12 @@ WINDOWED = {
 
 def true_range() -> Column:
     """Of the bar itself; the first bar of a segment has high - low."""
-    before = F.lag("close").over(in_segment())
+    before = F.lag("close").over(in_chunk())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def _last(n: int):
-    return in_segment().rowsBetween(-(n - 1), 0)
+    return in_chunk().rowsBetween(-(n - 1), 0)
 
 
 def _rolling(aggregate, x: str | Column, n: int) -> Column:
@@ -80,14 +84,14 @@ def sma_atr(n: int) -> Column:
 
 def percentile_of_previous(x: str, n: int) -> Column:
     """Share of the n values before that are at most the current one; all must be present."""
-    earlier = F.collect_list(x).over(in_segment().rowsBetween(-n, -1))
+    earlier = F.collect_list(x).over(in_chunk().rowsBetween(-n, -1))
     return F.when(F.col(x).isNotNull() & (F.size(earlier) == n), F.size(F.filter(earlier, lambda y: y <= F.col(x))) / F.lit(float(n)))
 
 
-def with_lags(bars: DataFrame) -> DataFrame:
-    """Segments and the lagged columns that all features share."""
-    w = in_segment()
-    d = segments(bars).withColumns({"bar_range": true_range()})
+def with_lags(bars: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Segments, chunks with their halo, and the lagged columns that all features share."""
+    w = in_chunk()
+    d = with_halo(segments(bars, length=length), HALO, length).withColumns({"bar_range": true_range()})
     lag = lambda c, k=1: F.lag(c, k).over(w)
     d = d.withColumns({"c1": lag("close"), "c2": lag("close", 2), "o1": lag("open"), "o2": lag("open", 2), "h1": lag("high"), "h2": lag("high", 2), "l1": lag("low"), "l2": lag("low", 2), "v1": lag("volume"), "range1": lag("bar_range"), "bar_atr14": sma_atr(14), "bar_atr63": sma_atr(63)})
     return d.withColumns({"r1": F.ln(F.try_divide("c1", "c2")), "atr14": lag("bar_atr14"), "atr63": lag("bar_atr63")})
@@ -97,11 +101,11 @@ def _degenerate(value: Column, present: Column, flat: Column) -> Column:
     return F.when(present, F.when(flat, 0.0).otherwise(F.coalesce(value, F.lit(0.0))))
 
 
-def windowed_features(bars: DataFrame) -> DataFrame:
+def windowed_features(bars: DataFrame, length: int = LENGTH) -> DataFrame:
     """symbol, segment, row, open_time and the features of WINDOWED."""
-    w = in_segment()
+    w = in_chunk()
     eps = F.lit(EPS)
-    d = with_lags(bars)
+    d = with_lags(bars, length)
     c1, c2, o1, o2, h1, h2, l1, l2, v1, tr, r1, atr = (F.col(x) for x in ("c1", "c2", "o1", "o2", "h1", "h2", "l1", "l2", "v1", "range1", "r1", "atr14"))
     logc = F.ln(F.col("close") + eps)
     d = d.withColumns(
@@ -173,4 +177,4 @@ def windowed_features(bars: DataFrame) -> DataFrame:
         "volume_percentile_60": percentile_of_previous("v1", 60),
     }
     d = d.withColumns({f"f_{k}": x for k, x in features.items()})
-    return d.select("symbol", "segment", "row", "open_time", *(F.when(F.col("row") >= first, finite(F.col(f"f_{k}"))).alias(k) for k, (first, _) in WINDOWED.items()))
+    return d.filter("own").select("symbol", "segment", "row", "open_time", *(F.when(F.col("row") >= first, finite(F.col(f"f_{k}"))).alias(k) for k, (first, _) in WINDOWED.items()))

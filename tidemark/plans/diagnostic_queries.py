@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import HOUR, from_micros, micros, rounded
 from tidemark.operators import diagnostics as dg
 from tidemark.operators import labels as lab
-from tidemark.operators import linear, screening, targets
+from tidemark.operators import evaluation, gates, linear, screening, targets
 from tidemark.operators import metrics as mt
 from tidemark.operators import splits as sp
 from tidemark.operators.f0 import F0, eligible, f0_features
@@ -18,7 +18,7 @@ from tidemark.operators.recurrent_features import RECURRENT, recurrent_features
 from tidemark.operators.windowed_features import WINDOWED, windowed_features
 from tidemark.plans.feature_queries import FEATURE_SQL, LAGS_SQL, _select
 from tidemark.plans.market_queries import BARS, ELIGIBLE_SQL, F0_SQL, HORIZON_SQL, TARGET_SQL, TYPED, segments_sql
-from tidemark.plans.study_queries import BASE, HB, HYST, LB, RUNS, SPLIT_SQL, _rank_sql, common, labelled, metrics_sql, predictions, samples, training_rows
+from tidemark.plans.study_queries import BASE, HB, HYST, LB, LITTLE_ENDIAN, RUNS, SPLIT_SQL, _rank_sql, common, labelled, metrics_sql, predictions, samples, training_rows
 from tidemark.sources.bars import hourly
 
 QUERIES: dict[str, Callable] = {}
@@ -204,23 +204,29 @@ def label_domain(spark, sf_dir):
 
 # --- gates and winners -----------------------------------------------------------------------------
 
-FIVE = f"{BASE}, z as (select symbol, y, p, ntile(5) over (partition by symbol order by decision_time)::integer as block from smp), mw as ({metrics_sql('z', 'symbol, block')})"
+FIVE = f"{BASE}, z as (select symbol, y, p, ntile(5) over (partition by symbol order by decision_time)::integer as block from smp), mv as ({metrics_sql('z', 'symbol, block')}), mw as (select *, round(1 - sqrt(1 - mse_skill), 9) as rmse_skill from mv)"
 
 
 def five_units(spark, sf_dir) -> DataFrame:
-    return rounded(mt.regression_metrics(sp.blocks(samples(spark, sf_dir).select("symbol", "decision_time", "y", "p"), 5), ["symbol", "block"]))
+    return rounded(rounded(mt.regression_metrics(sp.blocks(samples(spark, sf_dir).select("symbol", "decision_time", "y", "p"), 5), ["symbol", "block"])).withColumn("rmse_skill", dg.rmse_skill()))
 
 
 _GOOD = {m: f"coalesce({m} > {b}, false)" for m, b in dg.REGRESSION_GATE.items()}
 
 
-@query(f"with {FIVE}, c as (select symbol, count(*) as units, " + ", ".join(f"count(*) filter (where {g}) as good_{m}" for m, g in _GOOD.items()) + f" from mw group by symbol) select *, least({', '.join('good_' + m for m in _GOOD)}) >= 4 as stable from c")
+_MEANS = ", ".join(f"avg({m}) as mean_{m}" for m in dg.POSITIVE_MEANS)
+_MEANS_OUT = ", ".join(f"round(mean_{m}, 9) as mean_{m}" for m in dg.POSITIVE_MEANS)
+_MEANS_GOOD = "coalesce(least(" + ", ".join(f"mean_{m}" for m in dg.POSITIVE_MEANS) + ") > 0, false)"
+_TEMPORAL = f"c as (select symbol, count(*) filter (where {' and '.join(_GOOD.values())}) as positive_folds, {_MEANS} from mw group by symbol), tg as (select *, positive_folds >= 3 and {_MEANS_GOOD} as stable from c)"
+
+
+@query(f"with {FIVE}, c as (select symbol, count(*) as units, " + ", ".join(f"count(*) filter (where {g}) as good_{m}" for m, g in _GOOD.items()) + f", {_MEANS} from mw group by symbol) select * exclude ({', '.join('mean_' + m for m in dg.POSITIVE_MEANS)}), {_MEANS_OUT}, least({', '.join('good_' + m for m in _GOOD)}) >= 4 and {_MEANS_GOOD} as stable from c")
 def seed_stability_gate(spark, sf_dir):
-    """Six conditions, each in at least four of five units."""
+    """Six conditions, each in at least four of five units, and positive means."""
     return dg.seed_gate(five_units(spark, sf_dir), ["symbol"], 4)
 
 
-@query(f"with {FIVE}, c as (select symbol, count(*) filter (where {' and '.join(_GOOD.values())}) as positive_folds, avg(mae_skill) as a, avg(mse_skill) as b, avg(r2) as c from mw group by symbol) select symbol, positive_folds, round(a, 9) as mean_mae_skill, round(b, 9) as mean_mse_skill, round(c, 9) as mean_r2, positive_folds >= 3 and coalesce(least(a, b, c) > 0, false) as stable from c")
+@query(f"with {FIVE}, {_TEMPORAL} select symbol, positive_folds, {_MEANS_OUT}, stable from tg")
 def temporal_stability_gate(spark, sf_dir):
     return dg.temporal_gate(five_units(spark, sf_dir), ["symbol"])
 
@@ -230,14 +236,19 @@ def direction_rank_diagnostics(spark, sf_dir):
     return dg.direction_diagnostics(five_units(spark, sf_dir), ["symbol"])
 
 
-@query(f"with {FIVE}, c as (select symbol, count(*) filter (where {' and '.join(_GOOD.values())}) as positive_folds, round(avg(mse_skill), 7) as mse_skill, round(avg(mae_skill), 7) as mae_skill, round(avg(r2), 7) as r2 from mw group by symbol) select * from c order by positive_folds desc, mse_skill desc nulls last, mae_skill desc nulls last, r2 desc nulls last limit 1")
+_ORDER = ["positive_folds", "mean_rmse_skill", "mean_mae_skill", "mean_r2"]
+
+
+@query(f"with {FIVE}, {_TEMPORAL} select symbol, positive_folds, {_MEANS_OUT}, stable from tg where stable order by {', '.join(c + ' desc' for c in _ORDER)} limit 1")
 def frozen_winner(spark, sf_dir):
-    """The best symbol by four keys; a tie on all four raises."""
-    good = F.lit(True)
-    for m, b in dg.REGRESSION_GATE.items():
-        good = good & F.coalesce(F.col(m) > b, F.lit(False))
-    d = five_units(spark, sf_dir).groupBy("symbol").agg(F.count_if(good).alias("positive_folds"), *(F.round(F.avg(m), 7).alias(m) for m in ("mse_skill", "mae_skill", "r2")))
-    return dg.winner(d, ["positive_folds", "mse_skill", "mae_skill", "r2"], "symbol")
+    """The best of the symbols that pass the gate, by four keys; none passes: no row. A tie on all four raises."""
+    return evaluation.selected(dg.temporal_gate(five_units(spark, sf_dir), ["symbol"]), "stable", _ORDER, "symbol")
+
+
+@query(f"with {FIVE}, {_TEMPORAL} select symbol, positive_folds, {_MEANS_OUT}, stable, rank() over (order by stable desc, {', '.join(c + ' desc nulls last' for c in _ORDER)})::integer as place from tg")
+def gate_ranking(spark, sf_dir):
+    """All candidates: those that pass first, by the winner's keys."""
+    return gates.ranked(dg.temporal_gate(five_units(spark, sf_dir), ["symbol"]), ["stable", *_ORDER]).drop("tied")
 
 
 @query(f"with {FIVE} select symbol, arg_min(block, rmse * 1e12 + block) as block, min(rmse) as rmse from mw group by symbol")
@@ -245,13 +256,74 @@ def lowest_loss_block(spark, sf_dir):
     return dg.lowest_loss(five_units(spark, sf_dir), ["symbol"], "block", "rmse")
 
 
-@query()
+_CE = f"""{LB}, ce as (select lbl.symbol, decision_time, label_fixed as actual, case when p > tau then 1 when p < -tau then -1 else 0 end as predicted from lbl join cal using (symbol) where p is not null),
+eb as (select *, ntile(6) over (partition by symbol order by decision_time) as block from ce),
+ef as (select eb.*, fold::integer as fold, block = fold + 2 as ev from eb, range(1, 5) t(fold) where block <= fold + 2),
+eg as (select *, min(case when ev then decision_time end) over (partition by symbol, fold) as first_ev from ef),
+pn as (select symbol, fold, actual as c, count(*) as n from eg where not ev and decision_time + interval 1 hour < first_ev group by all),
+pri as (select symbol, fold, arg_max(c, n * 10 - c) as majority, {', '.join(f"coalesce(sum(n) filter (where c = {c}), 0) / sum(n) as prior_{i}" for i, c in enumerate((-1, 0, 1)))} from pn group by all),
+ev as (select eg.symbol, fold, decision_time, actual, predicted, majority, prior_0, prior_1, prior_2 from eg join pri using (symbol, fold) where ev)"""
+
+
+def _hard_sql(name: str, predicted: str) -> str:
+    """CTEs: the class table and the hard metrics of a prediction over ``ev``."""
+    return f"""{name}0 as (select symbol, fold, k as class, count(*) filter (where actual = k) as t, count(*) filter (where actual = k and {predicted} = k) as hit, count(*) filter (where {predicted} = k) as g from ev, (select unnest([-1, 0, 1]) as k) group by all),
+{name}1 as (select *, coalesce(hit / nullif(g, 0), 0) as precision, coalesce(hit / nullif(t, 0), 0) as recall from {name}0),
+{name}2 as (select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1 from {name}1),
+{name} as (select symbol, fold, sum(t)::bigint as samples, sum(hit) / sum(t) as accuracy, avg(case when t > 0 then recall end) as balanced_accuracy, avg(precision) as macro_precision, avg(recall) as macro_recall, avg(f1) as macro_f1,
+  coalesce((sum(hit) * sum(t) - sum(t * g)) / nullif(sqrt((sum(t) * sum(t) - sum(g * g))::double) * sqrt((sum(t) * sum(t) - sum(t * t))::double), 0), 0) as mcc from {name}2 group by all)"""
+
+
+def _scores_sql(name: str, p: list[str]) -> str:
+    brier = " + ".join(f"pow({x} - (actual = {c})::int, 2)" for x, c in zip(p, (-1, 0, 1)))
+    return f"{name} as (select symbol, fold, avg({brier}) as brier, avg(-ln(greatest(case actual when -1 then {p[0]} when 0 then {p[1]} else {p[2]} end, 1e-15))) as log_loss from ev group by all)"
+
+
+_EVALUATION = f"""{_CE}, {_hard_sql('hm', 'predicted')}, {_hard_sql('tm', 'majority')}, {_hard_sql('an', '0')}, {_scores_sql('sc', [f"(predicted = {c})::int" for c in (-1, 0, 1)])}, {_scores_sql('sp_', ['prior_0', 'prior_1', 'prior_2'])},
+mv as (select *, lag(predicted) over w as before, decision_time - lag(decision_time) over w = interval 1 hour as near from ev window w as (partition by symbol, fold order by decision_time)),
+ac as (select symbol, fold, any_value(majority) as train_majority_class, avg((predicted = -1)::int) as down_share, avg((predicted = 0)::int) as neutral_share, avg((predicted = 1)::int) as up_share, count(*) filter (where coalesce(near, false) and predicted <> before) as transitions, count(*) filter (where coalesce(near, false) and predicted <> before) * 1000.0 / count(*) as transitions_per_1000 from mv group by all),
+ce_all as (select hm.*, tm.accuracy as train_majority_accuracy, tm.balanced_accuracy as train_majority_balanced_accuracy, tm.macro_f1 as train_majority_macro_f1, an.accuracy as always_neutral_accuracy, an.balanced_accuracy as always_neutral_balanced_accuracy, an.macro_f1 as always_neutral_macro_f1,
+  sc.brier, sc.log_loss, sp_.brier as train_prior_brier, sp_.log_loss as train_prior_log_loss, ac.* exclude (symbol, fold), (hm.mcc > 0)::int::double as mcc_above_zero from hm join tm using (symbol, fold) join an using (symbol, fold) join sc using (symbol, fold) join sp_ using (symbol, fold) join ac using (symbol, fold))"""
+_WHOLE = ("samples", "train_majority_class", "transitions")
+_EVALUATED = ("accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1", "mcc", "train_majority_accuracy", "train_majority_balanced_accuracy", "train_majority_macro_f1", "always_neutral_accuracy", "always_neutral_balanced_accuracy", "always_neutral_macro_f1", "brier", "log_loss", "train_prior_brier", "train_prior_log_loss", "down_share", "neutral_share", "up_share", "transitions_per_1000", "mcc_above_zero")
+
+
+@query(f"{_EVALUATION} select symbol, fold, {', '.join(_WHOLE)}, {', '.join(f'round({c}, 9) as {c}' for c in _EVALUATED)} from ce_all")
+def classification_folds(spark, sf_dir):
+    """Every fold's evaluation: hard metrics, scores, baselines of its training labels, activity."""
+    return evaluation.class_evaluation(predictions(spark, sf_dir))
+
+
+@query(f"{_CE}, {_hard_sql('hm', 'predicted')} select symbol, fold, class, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, t as support from hm2")
+def classification_per_class(spark, sf_dir):
+    return evaluation.per_class(evaluation.with_roles(predictions(spark, sf_dir)).filter("not trains"))
+
+
+@query(f"{_EVALUATION}, u as (" + " union all ".join(f"select symbol, '{m}' as metric, {m}::double as value from ce_all" for m in evaluation.PRIMARY) + ") select symbol, metric, round(avg(value), 9) as mean, round(median(value), 9) as median, round(stddev_pop(value), 9) as std, round(min(value), 9) as min_value, round(max(value), 9) as max_value from u group by all")
+def classification_aggregate(spark, sf_dir):
+    """18 metrics over the folds of a symbol."""
+    return evaluation.aggregated(evaluation.class_evaluation(predictions(spark, sf_dir)))
+
+
+_CLASS_GATE = f"""{_EVALUATION}, cg as (select symbol, count(*) filter (where balanced_accuracy > 1.0 / 3 and mcc > 0 and macro_f1 > train_majority_macro_f1) as positive_folds, avg(balanced_accuracy) as mean_balanced_accuracy, avg(mcc) as mean_mcc, avg(macro_f1) as mean_macro_f1, avg(train_majority_macro_f1) as mean_majority_macro_f1 from ce_all group by symbol),
+cs as (select *, positive_folds >= 3 and mean_balanced_accuracy > 1.0 / 3 and mean_mcc > 0 and mean_macro_f1 > mean_majority_macro_f1 as stable from cg)"""
+_CLASS_OUT = "symbol, positive_folds, " + ", ".join(f"round({c}, 9) as {c}" for c in ("mean_balanced_accuracy", "mean_mcc", "mean_macro_f1", "mean_majority_macro_f1")) + ", stable"
+
+
+def _class_gate(spark, sf_dir) -> DataFrame:
+    return dg.classification_gate(evaluation.class_evaluation(predictions(spark, sf_dir)).withColumnRenamed("train_majority_macro_f1", "majority_macro_f1"), ["symbol"])
+
+
+@query(f"{_CLASS_GATE} select {_CLASS_OUT} from cs")
 def classification_stability_gate(spark, sf_dir):
-    """The previous return's labels on the last four of six blocks; baseline: always the block's most frequent label."""
-    d = sp.blocks(predictions(spark, sf_dir), 6).filter("block > 2")
-    m = mt.classification_metrics(mt.confusion(d, ["symbol", "block"]), ["symbol", "block"]) if "n" in d.columns else mt.classification_metrics(d, ["symbol", "block"])
-    share = d.groupBy("symbol", "block", "actual").count().groupBy("symbol", "block").agg((F.max("count") / F.sum("count")).alias("share"))
-    return dg.classification_gate(m.join(share, ["symbol", "block"]).withColumn("majority_macro_f1", 2 * F.col("share") / (1 + F.col("share")) / 3), ["symbol"])
+    """The previous return's labels on four walk-forward folds; baseline: always the training rows' most frequent label."""
+    return _class_gate(spark, sf_dir)
+
+
+@query(f"{_CLASS_GATE} select {_CLASS_OUT} from cs where stable order by positive_folds desc, cs.mean_balanced_accuracy desc, cs.mean_macro_f1 desc, cs.mean_mcc desc limit 1")
+def label_winner(spark, sf_dir):
+    """The best of the candidates whose classification is stable; none: no row."""
+    return evaluation.selected(_class_gate(spark, sf_dir), "stable", ["positive_folds", "mean_balanced_accuracy", "mean_macro_f1", "mean_mcc"], "symbol")
 
 
 @query(f"with {HB}, pv as (select symbol, decision_time, log_return_1h as p from f0), x as (select c.symbol, c.decision_time, h.horizon, h.value as y, c.sigma, pv.p / c.sigma as zp from cmn c join hx h on h.symbol = c.symbol and h.decision_time = c.decision_time join pv on pv.symbol = c.symbol and pv.decision_time = c.decision_time where c.sigma > 0), w as (select symbol, horizon, y, zp * sqrt(horizon) * sigma as p from x where zp is not null) select symbol, horizon, count(*) as samples, round(avg(abs(y - p)), 9) as mae, round(sqrt(avg((y - p) * (y - p))), 9) as rmse, {_corr_sql('y', 'p')} as ic, round(avg(case when abs(y) > 1e-12 then (sign(y) = sign(p))::int end), 9) as directional_accuracy from w group by all")
@@ -265,13 +337,18 @@ def horizon_evaluation(spark, sf_dir):
     return dg.raw_metrics(d.withColumn("zp", F.col("p") / F.col("sigma") * F.sqrt("horizon")), ["symbol", "horizon"])
 
 
-@query(f"with {BASE}, a as (select symbol, count(*) as n, min(decision_time) as first_decision from smp group by symbol) select 'samples' as scope, 3::bigint as units, true as identical from (select count(*) from a)")
-def seed_identity(spark, sf_dir):
-    """Three units computed on the same samples have the same identity."""
-    from tidemark.operators import gates
+_UNITS = {"eligible": "sigma > 0", "scored": "p is not null", "whole": "y is not null"}
+
 
-    own = sp.sample_identity(samples(spark, sf_dir)).agg(F.max("identity").alias("identity"))
-    return gates.identical_samples(own.select(F.lit("samples").alias("scope"), F.explode(F.lit([1, 2, 3])).alias("seed"), "identity"))
+@query(f"with {BASE}, u as (" + " union all ".join(f"select '{k}' as unit, symbol, decision_time from smp where {c}" for k, c in _UNITS.items()) + f"), i as (select symbol, unit, sha256(unhex(string_agg({LITTLE_ENDIAN}, '' order by decision_time))) as identity from u group by all) select symbol as scope, count(*) as units, count(distinct identity) = 1 as identical from i group by symbol")
+def seed_identity(spark, sf_dir):
+    """Whether three ways to choose a symbol's samples end at the same ones, by their identities."""
+    d = samples(spark, sf_dir)
+    own = None
+    for unit, condition in _UNITS.items():
+        one = sp.sample_identity(d.filter(condition)).select(F.col("symbol").alias("scope"), F.lit(unit).alias("unit"), "identity")
+        own = one if own is None else own.unionByName(one)
+    return gates.identical_samples(own)
 
 
 # --- windows ---------------------------------------------------------------------------------------

@@ -59,7 +59,8 @@ def collapsed(docs: DataFrame) -> DataFrame:
     counted = known.select("lang", "source", digest).groupBy("lang", "digest", "source").agg(F.count("*").alias("copies"))
     counted = counted.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "copies")).alias("sources"), F.max("copies").alias("most")).filter("most > 1").drop("most")
     often = texts.filter(F.col("copies") > F.size("held")).select("lang", "text", digest)
-    return once.unionByName(often.join(counted, ["lang", "digest"]).select("lang", "text", "sources"))
+    # a left join: an inner one would filter the texts of this side before they are shuffled, and shuffle them twice
+    return once.unionByName(often.join(counted, ["lang", "digest"], "left").select("lang", "text", "sources"))
 
 
 def term_counts(texts: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:

@@ -98,7 +98,8 @@ def term_counts(texts: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame
         yield from handed_on()
 
     parts = texts.mapInArrow(count, "lang string, source string, term string, n long, documents long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    # one shuffle serves this sum and the one by (lang, term) after it; a term has a row a task and source at most
+    return parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def share(count: str, total: str) -> str:
@@ -179,7 +180,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     nothing, their groups still have their pairs; a language without kept terms has pairs of value
     0 and no terms. Further columns are not read; an empty table gives an empty result.
     """
-    counts = staged(term_counts(collapsed(docs)), "term-counts")
+    counts = term_counts(collapsed(docs))
     by_source = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     # kept terms with the list of the sources that have them: one entry a source
     terms = counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("of_lang"), F.collect_list(F.struct("source", "n")).alias("held")).filter(F.col("documents") >= least)

@@ -58,8 +58,57 @@ SENTENCES = {
     "bsd_short": ["Licensed under the BSD License", "SPDX-License-Identifier: BSD-3-Clause"],
     "rights_reserved": ["All rights reserved"],
 }
+# Further licences by their public notices.
+_GNU = "{program} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation; {either}version {version} of the License{later}"
+_LATER = (", or (at your option) any later version", "")
+SENTENCES |= {
+    **{f"lgpl_{v}_redistribute": [_GNU.format(program=x, kind=k, either=e, version=n, later=y) for x in _PROGRAMS for k in ("Lesser", "Library") for e in ("either ", "") for y in _LATER] for v, n in (("2", "2"), ("2_1", "2.1"), ("3", "3"))},
+    "agpl_redistribute": [_GNU.format(program=x, kind="Affero", either=e, version="3", later=y) for x in _PROGRAMS for e in ("either ", "") for y in _LATER],
+    "lgpl_see": [f"See the GNU {k} General Public License for more details" for k in ("Lesser", "Library")],
+    "agpl_see": ["See the GNU Affero General Public License for more details"],
+    "lgpl_2_1_title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl_3_title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "agpl_title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "lgpl_2_1": ["This work is licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "lgpl_3": ["This work is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "agpl_3": ["This work is licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "mpl_title": ["Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"],
+    "mpl_subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"],
+    "mpl_copy": [f"If a copy of the MPL was not distributed with this file, You can obtain one at {x}mozilla.org/MPL/2.0/" for x in ("http://", "https://", "")],
+    "isc_title": ["ISC License", "The ISC License"],
+    "isc": ["Licensed under the ISC License", "Released under the ISC License", "SPDX-License-Identifier: ISC"],
+    "isc_grant": [f"Permission to use, copy, modify, {x} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies" for x in ("and/or", "and")],
+    "isc_as_is": [f'THE SOFTWARE IS PROVIDED "AS IS" AND {x} ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS' for x in ("THE AUTHOR DISCLAIMS", "THE AUTHORS DISCLAIM", "ISC DISCLAIMS")],
+    "isc_no_event": [f"IN NO EVENT SHALL {x} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE" for x in ("THE AUTHOR", "THE AUTHORS", "ISC")],
+    "cc0": ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "Licensed under CC0 1.0", "This work is licensed under CC0 1.0 Universal", "This work is licensed under a Creative Commons CC0 1.0 Universal License", "SPDX-License-Identifier: CC0-1.0"],
+    "cc0_dedicated": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "unlicense_free": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "unlicense_more": [f"For more information, please refer to {x}unlicense.org{y}" for x in ("http://", "https://", "") for y in ("", "/")],
+    "zlib_as_is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib_no_event": [f"In no event will the {x} be held liable for any damages arising from the use of this software" for x in ("authors", "author")],
+    "zlib_grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "zlib_origin": ["The origin of this software must not be misrepresented; you must not claim that you wrote the original software", "The origin of this software must not be misrepresented"],
+    "zlib": ["Licensed under the zlib License", "SPDX-License-Identifier: Zlib"],
+}
 #: Ordered rules: licence, sentence identifiers in order, permissive or not.
 RULES = [
+    ("Zlib", ("zlib_as_is", "zlib_no_event", "zlib_grant", "zlib_origin"), True),
+    ("Unlicense", ("unlicense", "unlicense_free", "as_is", "no_event", "unlicense_more"), True),
+    ("Unlicense", ("unlicense", "unlicense_free", "as_is", "no_event"), True),
+    ("ISC", ("isc_title", "rights_reserved", "isc_grant", "isc_as_is", "isc_no_event"), True),
+    ("ISC", ("isc_title", "isc_grant", "isc_as_is", "isc_no_event"), True),
+    ("ISC", ("isc_grant", "isc_as_is", "isc_no_event"), True),
+    ("LGPL-2.0", ("lgpl_2_redistribute", "gpl_hope", "lgpl_see"), False),
+    ("LGPL-2.1", ("lgpl_2_1_redistribute", "gpl_hope", "lgpl_see"), False),
+    ("LGPL-3.0", ("lgpl_3_redistribute", "gpl_hope", "lgpl_see"), False),
+    ("AGPL-3.0", ("agpl_redistribute", "gpl_hope", "agpl_see"), False),
+    ("MPL-2.0", ("mpl_title", "mpl_subject", "mpl_copy"), False),
+    ("MPL-2.0", ("mpl_subject", "mpl_copy"), False),
+    ("Unlicense", ("unlicense", "unlicense_free"), True),
+    ("Zlib", ("zlib_grant", "zlib_origin"), True),
+    ("CC0-1.0", ("cc0", "cc0_dedicated"), True),
+    ("ISC", ("isc_title", "isc_grant"), True),
     ("BSD", ("rights_reserved", "bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_no_event"), True),
     ("BSD", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_no_event"), True),
     ("BSD", ("rights_reserved", "bsd_redistribution", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_no_event"), True),
@@ -91,13 +140,34 @@ RULES = [
     ("CC-BY-SA-4.0", ("cc_by_sa_4",), False),
     ("BSD", ("bsd_redistribution",), True),
     ("BSD", ("bsd_short",), True),
+    ("LGPL-2.0", ("lgpl_2_redistribute",), False),
+    ("LGPL-2.1", ("lgpl_2_1_redistribute",), False),
+    ("LGPL-3.0", ("lgpl_3_redistribute",), False),
+    ("AGPL-3.0", ("agpl_redistribute",), False),
+    ("LGPL-2.1", ("lgpl_2_1_title",), False),
+    ("LGPL-3.0", ("lgpl_3_title",), False),
+    ("AGPL-3.0", ("agpl_title",), False),
+    ("LGPL-2.1", ("lgpl_2_1",), False),
+    ("LGPL-3.0", ("lgpl_3",), False),
+    ("AGPL-3.0", ("agpl_3",), False),
+    ("MPL-2.0", ("mpl_subject",), False),
+    ("MPL-2.0", ("mpl_title",), False),
+    ("ISC", ("isc_grant",), True),
+    ("ISC", ("isc",), True),
+    ("CC0-1.0", ("cc0",), True),
+    ("CC0-1.0", ("cc0_dedicated",), True),
+    ("Unlicense", ("unlicense",), True),
+    ("Zlib", ("zlib_grant",), True),
+    ("Zlib", ("zlib",), True),
     ("Proprietary", ("rights_reserved",), False),
 ]
 GAP = 3
 _ODD = re.compile(r"[^a-z0-9]+")
 _END = re.compile(r"(?<=[.!?;])\s+|\n+")
-# in normalised text; a text without any of these has no known sentence
-_RARE = re.compile(r"licen[sc]|permission|redistribut|copyright notice|provided as is|provided by the|rights reserved|free software|in the hope|may obtain a copy|may not use this|required by applicable|in no event shall|neither the name")
+# in normalised text; a text without any of these has no known sentence (tests hold every known sentence against it)
+_RARE = re.compile(r"licen[sc]|permission|redistribut|copyright notice|provided as is|provided by the|rights reserved|free software|in the hope|may obtain a copy|may not use this|required by applicable|in no event|neither the name|mpl was not|cc0|creative commons|public domain|free to copy|be misrepresented|gnu|mozilla")
+#: What may end a sentence that is not known itself, as in "Copyright 2020 Someone, all rights reserved."
+_RESERVED = re.compile(r"all[^a-z0-9]+rights[^a-z0-9]+reserved[^a-z0-9]*$", re.IGNORECASE)
 
 
 def normalised(sentence: str) -> str:
@@ -113,12 +183,12 @@ def beginnings(known: dict[str, str]) -> set[str]:
     return {" ".join(w[:k]) for w in (s.split(" ") for s in known) for k in range(1, len(w) + 1)}
 
 
-def sentence_ids(text: str, known: dict[str, str], opening: re.Pattern, begun: set[str]) -> list[tuple[int, str, int, int]]:
+def sentence_ids(text: str, known: dict[str, str], begun: set[str]) -> list[tuple[int, str, int, int]]:
     """(sentence number, identifier, start, end) of the known sentences; a sentence may end in "," or ":" too.
 
     Sentences of several lines count as one: a line that opens a known sentence is joined with
     those after it, as long as it stays the beginning of one, and the longest known one is taken.
-    Lines without letters and digits do not count.
+    Lines without letters and digits do not count. All comparisons are of normalised words.
     """
     cuts, at = [], 0
     for m in _END.finditer(text):
@@ -129,7 +199,8 @@ def sentence_ids(text: str, known: dict[str, str], opening: re.Pattern, begun: s
     while k < len(cuts):
         start, end = cuts[k]
         taken, found = k + 1, None
-        if opening.match(text, start, end):
+        sentence = normalised(text[start:end])
+        if sentence.partition(" ")[0] in begun:
             words = ""
             for j in range(k, len(cuts)):
                 own = normalised(text[cuts[j][0] : cuts[j][1]])
@@ -138,9 +209,12 @@ def sentence_ids(text: str, known: dict[str, str], opening: re.Pattern, begun: s
                     break
                 if own and words in known:
                     taken, found = j + 1, (number, known[words], start, cuts[j][1])
+        if not found and sentence.endswith(" all rights reserved"):
+            m = _RESERVED.search(text, start, end)
+            found = m and (number, known["all rights reserved"], m.start(), end)
         if found:
             out.append(found)
-        number += bool(found or normalised(text[start:end]))
+        number += bool(found or sentence)
         k = taken
     return out
 
@@ -181,12 +255,10 @@ def licence_scan(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_sentences()
-        words = sorted({k.split(" ")[0] for k in known})
-        opening = re.compile(r"\W*(?:" + "|".join(map(re.escape, words)) + r")\b", re.IGNORECASE)
         begun = beginnings(known)
         for batch in batches:
             for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [match_rules(sentence_ids(t, known, opening, begun)) if t and _RARE.search(normalised(t)) else [] for t in texts]
+                found = [match_rules(sentence_ids(t, known, begun)) if t and _RARE.search(normalised(t)) else [] for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),

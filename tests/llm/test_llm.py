@@ -315,7 +315,7 @@ def test_toxicity_block_max_is_exact():
     t, e = np.nonzero(dense.T)
     values, block = dense.T[t, e], e // toxicity.BLOCK
     new = np.flatnonzero(np.diff(t, prepend=-1) | np.diff(block, prepend=-1))
-    index = toxicity.Index({}, np.ones(terms), np.arange(n), np.zeros(n), np.ones(n), np.searchsorted(t, np.arange(terms + 1)), e, values, np.searchsorted(t[new], np.arange(terms + 1)), block[new], np.maximum.reduceat(values, new))
+    index = toxicity.Index(np.empty(0, np.uint64), np.ones(terms), np.arange(n), np.zeros(n), np.ones(n), np.searchsorted(t, np.arange(terms + 1)), e, values, np.searchsorted(t[new], np.arange(terms + 1)), block[new], np.maximum.reduceat(values, new))
     for _ in range(30):
         q = np.sort(rng.choice(terms, 5, replace=False))
         w = rng.random(5)
@@ -324,6 +324,49 @@ def test_toxicity_block_max_is_exact():
         assert index.nearest(q, w, 15)[0].tolist() == want
 
 
+def test_toxicity_skips_blocks_and_loses_nothing():
+    """Batches through the block-max index: blocks of other vocabularies are skipped, neighbours equal brute force, ties by doc_id."""
+    rng = np.random.default_rng(1)
+    groups, each, words = 6, 160, 30
+    n, terms = groups * each, groups * words + 3
+    dense = np.zeros((n, terms))
+    for g in range(groups):
+        own = slice(g * each, (g + 1) * each)
+        dense[own, g * words : (g + 1) * words] = np.round(rng.random((each, words)), 1) * (rng.random((each, words)) < 0.5)
+    dense[:, -3:] = 0.05  # terms of all examples
+    dense[5], dense[7] = dense[3], dense[3]
+    dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
+    t, e = np.nonzero(dense.T)
+    ids = rng.permutation(n)
+    index = toxicity.Index(np.empty(0, np.uint64), np.ones(terms), ids, np.zeros(n), np.ones(n), np.searchsorted(t, np.arange(terms + 1)), e, dense.T[t, e])
+    vectors = []
+    for i in [3, *rng.choice(n, 299).tolist()]:
+        q = np.flatnonzero(dense[i])
+        w = rng.random(len(q)) if i != 3 else dense[3, q]
+        vectors.append((q, w / np.sqrt(w @ w)))
+    for (q, w), (near, cosine) in zip(vectors, index.nearest_of_all(vectors, 15)):
+        scores = np.round(dense[:, q] @ w, 12)
+        want = [i for i in np.lexsort((ids, -scores))[:15] if scores[i] > 0]
+        assert near.tolist() == want and np.allclose(cosine, scores[want])
+    assert index.skipped > index.compared > 0
+
+
+def test_toxicity_orders_alike_examples_together():
+    rng = np.random.default_rng(2)
+    kind = rng.integers(0, 4, 400)
+    weights = np.eye(4)[kind] + 0.05 * rng.random((400, 4))
+    order = toxicity.alike(weights / np.linalg.norm(weights, axis=1, keepdims=True), np.zeros(400), np.arange(400), clusters=4)
+    assert sorted(order.tolist()) == list(range(400)) and (np.diff(kind[order]) != 0).sum() == 3
+    assert toxicity.alike(np.zeros((3, 0)), np.zeros(3), np.array([2, 1, 0])).tolist() == [2, 1, 0]
+
+
+def test_toxicity_sample_is_bounded(docs, labels, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 20_000)
+    examples, size = toxicity.sample(docs, labels, 4096)
+    got = examples.groupBy("toxic").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    assert got and all(r.n <= 20_000 and 0 < r.rows <= size[r.toxic] for r in got)
+
+
 def counted_terms(text):
     """A text's terms, by name."""
     edges = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()).encode()
@@ -365,7 +408,7 @@ def test_toxicity_is_exact_cosine_over_all_examples(docs, labels):
     found = list(index.votes(pa.array([texts[i] for i in some]), 15))
     for i, (vote, evidence) in zip(some, found):
         cosine = np.round(examples @ vector(counted_terms(texts[i])), 12)
-        want = [e for e in np.lexsort((np.arange(len(cosine)), -cosine))[:15] if cosine[e] > 0]
+        want = [e for e in np.lexsort((index.ids, -cosine))[:15] if cosine[e] > 0]
         assert evidence == index.ids[want].tolist()
         w = cosine[want] * index.weight[want]
         assert (vote is None and not want) or vote == pytest.approx((w * index.label[want]).sum() / w.sum(), abs=1e-9)
@@ -511,6 +554,73 @@ def test_licences(spark, odd):
     odd_forms = spark.createDataFrame([(i, t) for i, t in enumerate(["All rights  reserved.", "All rights\nreserved.", "ALL-RIGHTS-RESERVED", "Released under the\n  MIT   License."])], "doc_id long, text string")
     assert [r.licences for r in licenses.licence_scan(odd_forms).orderBy("doc_id").collect()] == [["Proprietary"], ["Proprietary"], ["Proprietary"], ["MIT"]]
     assert licenses.licence_scan(odd).count() == 11 and licenses.licence_scan(odd.limit(0)).count() == 0
+    marked = ["_All rights reserved._", "All_rights_reserved", "__Released under the MIT License.__", "Copyright 2020 Someone, all rights reserved.", "- SPDX-License-Identifier: MPL-2.0", "we reserve all rights", "free software is nice"]
+    got = licenses.licence_scan(spark.createDataFrame(list(enumerate(marked)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == [["Proprietary"], ["Proprietary"], ["MIT"], ["Proprietary"], ["MPL-2.0"], [], []]
+    assert marked[3][got[3].starts[0] : got[3].ends[0]] == "all rights reserved."
+
+
+def test_licence_sentences_are_found_wherever_they_stand(spark):
+    """Every known sentence, in other case and spacing, between marks and inside prose, gives its identifier: no prefilter drops one."""
+    known = licenses.known_sentences()
+    begun = licenses.beginnings(known)
+    for own in licenses.SENTENCES.values():
+        for sentence in own:
+            for text in (sentence, f"Some prose.\n__{sentence.upper()}__\nMore prose.", "// " + "\n// ".join(sentence.split(" ")) + "."):
+                assert licenses._RARE.search(licenses.normalised(text)), sentence
+                assert known[licenses.normalised(sentence)] in [name for _, name, _, _ in licenses.sentence_ids(text, known, begun)], text
+
+
+LESSER = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+ */"""
+MOZILLA = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/."
+ISC = """ISC License
+
+Copyright (c) 2004-2010 by Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software."""
+FREED = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+AFFERO = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+
+
+def test_notices_of_further_licences(spark):
+    rows = list(enumerate([LESSER, MOZILLA, ISC, ZLIB, FREED, AFFERO, "CC0 1.0 Universal"]))
+    got = licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == [["LGPL-2.1"], ["MPL-2.0"], ["ISC"], ["Zlib"], ["Unlicense"], ["AGPL-3.0"], ["CC0-1.0"]]
+    assert [r.permissive for r in got] == [False, False, True, True, True, False, True]
 
 
 APACHE_HEADER = '''Copyright 2020 Some Owner

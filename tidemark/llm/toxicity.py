@@ -6,12 +6,13 @@ every example is indexed under all terms of its text, so each document is compar
 examples. A term weighs its inverse document frequency, more where
 the sample associates it with label 1 beyond chance (likelihood ratio, corrected for the number of
 terms tried); there a term counts once for each pair of neighbouring words, so that a copied
-passage is no evidence by its copies. Documents are compared in batches: the terms of many
-examples by one matrix product in single precision, the others by their postings; for every example
-within the rounding error of the k-th best the product is taken again in double precision, which
-makes the neighbours exact. For a lone text the examples form an inverted index in blocks: each term
-keeps its greatest weight in each block, so a block whose upper bound is below the k-th best
-similarity is skipped without losing a neighbour. A document's score is the similarity-weighted
+passage is no evidence by its copies. The examples form an inverted index in blocks of alike ones:
+each term keeps its greatest weight in each block, and the sum over a text's terms bounds its
+similarity to any example there. A text is compared with the blocks of greatest bound first; a block
+whose bound is below the k-th best similarity so far is skipped, which loses no neighbour. Texts are
+taken in batches: within a block, the terms of many examples by a matrix product in single precision,
+the others by their postings; for every example within the rounding error of the k-th best the
+product is taken again in double precision, which makes the neighbours exact. A document's score is the similarity-weighted
 vote of its k nearest examples, calibrated by isotonic regression on the examples' own
 leave-one-out votes (taken in tasks); the neighbours' ids are returned as evidence.
 """
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import labelled, spread, staged
@@ -35,6 +36,10 @@ from tidemark.llm.word_hashes import mixed, pieces
 PER_CLASS = 4096
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST_BLOCKS = 4  # compared before any is skipped
+CLUSTERS = 24
+#: Bound of the sample of one label in characters of its texts (its rows end before it).
+MOST_CHARS = 32_000_000
 LEAN = 8.0  # how much an association with label 1 adds to a term's weight
 BATCH = 256
 COMMON = 0.1  # terms of a greater share of the examples are compared by matrix product
@@ -108,6 +113,9 @@ class Index:
     block_starts: np.ndarray | None = None  # term -> its blocks
     blocks: np.ndarray | None = None
     block_max: np.ndarray | None = None
+    block_first: np.ndarray | None = None  # block of a term -> its first posting, and the end
+    compared: int = 0  # blocks compared and skipped so far
+    skipped: int = 0
     product: tuple | None = None  # made where documents are compared, as the next
     numbers: Numbers | None = None
     levels: list[np.ndarray] | None = None
@@ -119,11 +127,12 @@ class Index:
     def make_blocks(self) -> None:
         term, block = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)), self.examples // BLOCK
         new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)) if len(term) else np.empty(0, np.int64)
+        self.block_first = np.append(new, len(term))
         self.blocks, self.block_max = block[new], np.maximum.reduceat(self.values, new) if len(new) else np.empty(0)
         self.block_starts = np.searchsorted(term[new], np.arange(len(self.starts)))
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine (ties by example number) with a positive one."""
+        """The k examples of greatest cosine (ties by doc_id) with a positive one, block by block."""
         if self.blocks is None:
             self.make_blocks()
         spans = [(self.block_starts[t], self.block_starts[t + 1]) for t in terms]
@@ -144,28 +153,25 @@ class Index:
                 scores[own[i:j] - first] += x * self.values[a + i : a + j]
             hit = np.flatnonzero(scores > 0)
             best_id, best = np.append(best_id, hit + first), np.append(best, scores[hit])
-            order = np.lexsort((best_id, -np.round(best, 12)))[:k]
+            order = np.lexsort((self.ids[best_id], -np.round(best, 12)))[:k]
             best_id, best = best_id[order], best[order]
         return best_id, best
 
     def make_product(self) -> None:
-        """The common terms' weights by example, in double precision and, term by term, in single."""
-        many = np.diff(self.starts)
-        common = np.flatnonzero(many > COMMON * len(self.ids))
-        row = np.full(len(many), -1, np.int32)
-        row[common] = np.arange(len(common))
-        exact = np.zeros((len(self.ids), len(common)))
-        for i, t in enumerate(common):
-            own = slice(self.starts[t], self.starts[t + 1])
-            exact[self.examples[own], i] = self.values[own]
-        self.product = row, exact, np.ascontiguousarray(exact.T.astype(np.float32))
+        """The common terms' weights by example, in double precision and, term by term, in single, and their greatest by block."""
+        if self.block_first is None:
+            self.make_blocks()
+        row, exact = common_weights(self.starts, self.examples, self.values, len(self.ids))
+        rough = np.ascontiguousarray(exact.T.astype(np.float32))
+        most = np.maximum.reduceat(rough, np.arange(0, len(self.ids), BLOCK), axis=1) if len(self.ids) else rough
+        self.product = row, exact, rough, most
 
     def nearest_of_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """As ``nearest``, for many texts at once."""
         if self.product is None:
             self.make_product()
-        row, exact, rough = self.product
-        n, out = len(self.ids), []
+        row, exact, rough, most = self.product
+        out = []
         margin = 4 * (len(rough) + 3) * 2.0**-24  # twice what rounding can set two scores apart
         for first in range(0, len(vectors), BATCH):
             part = vectors[first : first + BATCH]
@@ -175,21 +181,57 @@ class Index:
                 at = row[terms]
                 common = at >= 0
                 left[i, at[common]] = w[common]
-                split.append((at[common], w[common], terms[~common], w[~common]))
-            for (at, at_w, few, few_w), near in zip(split, left @ rough):
-                begin = self.starts[few]
-                many = self.starts[few + 1] - begin
-                total = int(many.sum())
-                own = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(total)
-                rare = np.bincount(self.examples[own], self.values[own] * np.repeat(few_w, many), n)
-                scores = near + rare
-                floor = np.partition(scores, n - k)[n - k] - margin if n > k else 0.0
-                close = np.flatnonzero((scores >= floor) & (scores > 0))
-                cosine = rare[close] + exact[close][:, at] @ at_w
-                order = np.lexsort((close, -np.round(cosine, 12)))[:k]
+                split.append((at[common], w[common], *self._block_postings(terms[~common], w[~common])))
+            bound = (left @ most).astype(float)
+            for own, (_, _, place, weight) in zip(bound, split):
+                own += np.bincount(self.blocks[place], self.block_max[place] * weight, len(own)) + margin
+            done = np.zeros(bound.shape, bool)
+            scores, rare = np.full((len(part), len(self.ids)), -1.0), np.zeros((len(part), len(self.ids)))
+            floor = np.zeros(len(part))
+            for wide in (FIRST_BLOCKS, bound.shape[1]):  # the most promising blocks, then all that can still hold a neighbour
+                left_over = np.where(done | (bound <= margin) | (bound < floor[:, None]), -1.0, bound)
+                if wide < left_over.shape[1]:
+                    least = np.partition(left_over, -wide, axis=1)[:, -wide]
+                    left_over[left_over < least[:, None]] = -1.0
+                picked = left_over >= 0
+                self._compare(picked, left, rough, split, scores, rare)
+                done |= picked
+                if scores.shape[1] > k:
+                    floor = np.maximum(0.0, np.partition(scores, -k, axis=1)[:, -k] - margin)
+            self.compared += int(done.sum())
+            self.skipped += int((~done).sum())
+            for i, (at, at_w, _, _) in enumerate(split):
+                close = np.flatnonzero((scores[i] >= floor[i]) & (scores[i] > 0))
+                cosine = rare[i, close] + exact[close][:, at] @ at_w
+                order = np.lexsort((self.ids[close], -np.round(cosine, 12)))[:k]
                 out.append((close[order], cosine[order]))
         return out
 
+    def _block_postings(self, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the blocks of some terms, and the terms' weights beside them."""
+        begin = self.block_starts[terms]
+        many = self.block_starts[terms + 1] - begin
+        return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(int(many.sum())), np.repeat(w, many)
+
+    def _compare(self, picked: np.ndarray, left: np.ndarray, rough: np.ndarray, split: list, scores: np.ndarray, rare: np.ndarray) -> None:
+        """Scores of the texts with the examples of the picked blocks, and the part of them that comes from postings."""
+        n = len(self.ids)
+        for block in np.flatnonzero(picked.any(axis=0)).tolist():
+            texts = np.flatnonzero(picked[:, block])
+            own = slice(block * BLOCK, (block + 1) * BLOCK)
+            scores[texts, own] = left[texts] @ rough[:, own]
+        for i, (_, _, place, weight) in enumerate(split):
+            chosen = picked[i][self.blocks[place]]
+            if not chosen.any():
+                continue
+            place, weight = place[chosen], weight[chosen]
+            begin = self.block_first[place]
+            many = self.block_first[place + 1] - begin
+            own = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            found = np.bincount(self.examples[own], self.values[own] * np.repeat(weight, many), n)
+            scores[i] += found
+            rare[i] += found
+
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic examples, weighted by similarity and by what each example stands for."""
         w = cosine * self.weight[near]
@@ -240,6 +282,34 @@ class Index:
             yield self.vote(near[others][:k], cosine[others][:k])
 
 
+def common_weights(starts: np.ndarray, examples: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The column of each term that more than COMMON of n examples have (-1: none), and their weights by example."""
+    many = np.diff(starts)
+    common = np.flatnonzero(many > COMMON * n)
+    row = np.full(len(many), -1, np.int32)
+    row[common] = np.arange(len(common))
+    exact = np.zeros((n, len(common)))
+    for i, t in enumerate(common):
+        own = slice(starts[t], starts[t + 1])
+        exact[examples[own], i] = values[own]
+    return row, exact
+
+
+def alike(weights: np.ndarray, toxic: np.ndarray, ids: np.ndarray, clusters: int = CLUSTERS, rounds: int = 8) -> np.ndarray:
+    """An order in which alike examples (by their common terms) stand together, so that blocks have low bounds for other texts."""
+    n = len(weights)
+    if not n or not weights.shape[1]:
+        return np.lexsort((ids, toxic))
+    centres = weights[[0]]
+    while len(centres) < min(clusters, n):  # the example farthest from all centres is the next
+        centres = np.vstack([centres, weights[np.argmin((weights @ centres.T).max(axis=1))]])
+    for _ in range(rounds):
+        own = (weights @ centres.T).argmax(axis=1)
+        centres = np.stack([weights[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return np.lexsort((ids, toxic, (weights @ centres.T).argmax(axis=1)))
+
+
 @dataclass
 class Model:
     """An index at hand in every worker, and what turns its votes into scores."""
@@ -268,7 +338,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, toxic, text) of at most 2 * per_class training rows among ``docs``, and the training rows of each label.
+    """(doc_id, toxic, text) of at most 2 * per_class training rows among ``docs`` (MOST_CHARS of text a label), and the training rows of each label.
 
     The label rows are bounded, so they are broadcast to the documents; no text is shuffled.
     """
@@ -278,7 +348,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFram
     key = F.xxhash64("doc_id")
     picked = [rows.filter(F.col("toxic") == c).orderBy(key, "doc_id").limit(per_class) for c in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), size
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(key, "doc_id"))
+    return found.withColumn("_so_far", so_far).filter(F.col("_so_far") <= MOST_CHARS).drop("_so_far"), size
 
 
 def associated_terms(examples: DataFrame) -> dict[int, float]:
@@ -349,7 +421,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     empty_score = (of(1) + 0.25) / (of(0) + of(1) + 1) if both else (size.get(1, 0) + 0.25) / (all_rows + 1)
     if not both:
         terms, term, times, long = terms[:0], term[:0], times[:0], long * 0
-    # examples of one label lie together
     order = np.lexsort((ids, toxic))
     order = order[long[order] > 0]
     place = np.zeros(len(ids), np.int32)
@@ -364,6 +435,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     value /= np.sqrt(np.bincount(example, value * value, len(ids)))[example]
     order = np.lexsort((example, term))
     starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    # numbers anew: alike examples next to each other
+    near = alike(common_weights(starts, example[order], value[order], len(ids))[1], toxic, ids)
+    place = np.empty(len(ids), np.int32)
+    place[near] = np.arange(len(ids))
+    ids, toxic, each, example = ids[near], toxic[near], each[near], place[example]
+    order = np.lexsort((example, term))
     index = Index(terms, idf, ids, toxic, each, starts, example[order], value[order])
     del order, example, times, term, value
     spark = docs.sparkSession

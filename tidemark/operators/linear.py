@@ -10,14 +10,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import exact_quantiles
+
 
 def scaler_statistics(d: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(keys, feature, center, scale): exact median and interquartile range (1 where it is 0)."""
     long = d.unpivot([F.col(k) for k in keys], [F.col(f) for f in features], "feature", "value").filter(F.col("value").isNotNull())
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = long.groupBy(*keys, "feature").agg(q.alias("q"))
-    width = F.col("q")[2] - F.col("q")[0]
-    return s.select(*keys, "feature", F.col("q")[1].alias("center"), F.when(width > 0, width).otherwise(1.0).alias("scale"))
+    return scaler_statistics_long(long, keys)
+
+
+def sequence_scaler(windows: DataFrame, keys: list[str], features: list[str], window: str = "win") -> DataFrame:
+    """(keys, feature, center, scale) over all steps of all windows: ``window`` is an array of steps, each an array of the features."""
+    step = F.explode(window)
+    long = windows.select(*keys, step.alias("_step")).select(*keys, F.posexplode("_step").alias("_i", "value"))
+    names = F.array(*(F.lit(f) for f in features))
+    return scaler_statistics_long(long.select(*keys, names[F.col("_i")].alias("feature"), "value"), keys)
+
+
+def scaler_statistics_long(long: DataFrame, keys: list[str]) -> DataFrame:
+    s = exact_quantiles(long.filter(F.col("value").isNotNull()), [*keys, "feature"], "value", {"lower": 0.25, "center": 0.5, "upper": 0.75})
+    width = F.col("upper") - F.col("lower")
+    return s.select(*keys, "feature", "center", F.when(width > 0, width).otherwise(1.0).alias("scale"))
+
+
+def sequence_scaled(windows: DataFrame, statistics: DataFrame, keys: list[str], features: list[str], window: str = "win") -> DataFrame:
+    """``windows`` scaled by the statistics of their keys (one row a key and feature)."""
+    wide = statistics.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("center", "scale")))).alias("_s"))
+    of = [F.lit(f) for f in features]
+    scaled = F.transform(window, lambda step: F.array(*((F.get(step, F.lit(i)) - F.col("_s")[f]["center"]) / F.col("_s")[f]["scale"] for i, f in enumerate(of))))
+    return windows.join(wide, list(keys)).withColumn(window, scaled).drop("_s")
 
 
 @dataclass

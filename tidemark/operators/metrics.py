@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import safe_corr
+from tidemark.operators.ranks import exact_quantiles
 
 
 def average_rank(x: Column, keys: Sequence[str]) -> Column:
@@ -52,8 +53,10 @@ QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75,
 def distribution(d: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """Count, moments, seven linear quantiles, shares of signs; quantiles are exact."""
     c = F.col(x)
-    q = F.percentile(c, F.array(*(F.lit(v) for v in QUANTILES.values())))
-    d = d.filter(c.isNotNull()).groupBy(*keys).agg(
+    d = d.filter(c.isNotNull())
+    q = exact_quantiles(d, keys, x, QUANTILES)
+    middle = exact_quantiles(d.withColumn("_size", F.abs(c)), keys, "_size", {"median_abs": 0.5})
+    d = d.groupBy(*keys).agg(
         F.count("*").alias("samples"),
         F.avg(c).alias("mean"),
         F.stddev_pop(c).alias("std"),
@@ -61,12 +64,10 @@ def distribution(d: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
         F.min(c).alias("min_value"),
         F.max(c).alias("max_value"),
         F.avg(F.abs(c)).alias("mean_abs"),
-        F.percentile(F.abs(c), F.lit(0.5)).alias("median_abs"),
         F.avg((c > 0).cast("double")).alias("positive_ratio"),
         F.avg((c == 0).cast("double")).alias("zero_ratio"),
-        q.alias("q"),
     )
-    return d.select("*", *(F.col("q")[i].alias(k) for i, k in enumerate(QUANTILES))).drop("q")
+    return d.join(middle, list(keys)).join(q, list(keys))
 
 
 def confusion(d: DataFrame, keys: Sequence[str], classes: Sequence[int] = (-1, 0, 1)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import EPS, clip
+from tidemark.operators.ranks import exact_quantiles
 
 MODES = ("positive", "signed", "binary", "ternary", "sparse_positive", "sparse_signed")
 
@@ -19,9 +20,14 @@ def bounds_table(long: DataFrame, low: float = 0.2, high: float = 0.8, sparse_lo
     Dense modes: quantiles of the values; sparse_positive: of the non-zero ones; sparse_signed: 0
     and the upper quantile of their magnitude; 0 and 0 where nothing is left.
     """
-    x, away = F.col("value"), F.nullif(F.col("value"), F.lit(0.0))
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    d = long.groupBy("symbol", "feature", "mode").agg(q(x, low).alias("a"), q(x, high).alias("b"), q(away, sparse_low).alias("sa"), q(away, sparse_high).alias("sb"), q(F.abs(away), sparse_high).alias("sm"))
+    keys = ["symbol", "feature", "mode"]
+    away = long.filter(F.col("value") != 0)
+    dense = exact_quantiles(long, keys, "value", {"a": low, "b": high})
+    sparse = exact_quantiles(away, keys, "value", {"sa": sparse_low, "sb": sparse_high})
+    size = exact_quantiles(away.withColumn("value", F.abs("value")), keys, "value", {"sm": sparse_high})
+    d = long.select(*keys).distinct()
+    for part in (dense, sparse, size):
+        d = d.join(part, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     lowest = F.when(F.col("mode") == "sparse_positive", zero(F.col("sa"))).when(F.col("mode") == "sparse_signed", 0.0).when(F.col("mode") == "binary", 0.0).when(F.col("mode") == "ternary", -1.0).otherwise(zero(F.col("a")))
     highest = F.when(F.col("mode") == "sparse_positive", zero(F.col("sb"))).when(F.col("mode") == "sparse_signed", zero(F.col("sm"))).when(F.col("mode").isin("binary", "ternary"), 1.0).otherwise(zero(F.col("b")))

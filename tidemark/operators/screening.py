@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import safe_corr
-from tidemark.operators.metrics import average_rank
+from tidemark.operators.ranks import average_ranks, exact_quantiles
 
 
 def long_table(wide: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -16,13 +16,15 @@ def long_table(wide: DataFrame, keys: Sequence[str], features: Sequence[str]) ->
     return wide.unpivot([F.col(k) for k in keys], [F.col(f) for f in features], "feature", "value")
 
 
+TAILS = {"q001": 0.001, "q01": 0.01, "median": 0.5, "q99": 0.99, "q999": 0.999}
+
+
 def numeric_profile(long: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Counts, moments, exact quantiles, the dominant value's share, and the flags that follow."""
     x = F.col("value")
     top = long.filter(x.isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("dominant"), F.count("*").alias("unique_values"))
-    q = F.percentile(x, F.array(*(F.lit(v) for v in (0.001, 0.01, 0.5, 0.99, 0.999))))
-    d = long.groupBy(*keys).agg(F.count("*").alias("row_count"), F.count(x).alias("present"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg((x == 0).cast("double")).alias("zero_ratio"), q.alias("q"))
-    d = d.select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(("q001", "q01", "median", "q99", "q999")))).drop("q").join(top, list(keys), "left")
+    d = long.groupBy(*keys).agg(F.count("*").alias("row_count"), F.count(x).alias("present"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg((x == 0).cast("double")).alias("zero_ratio"))
+    d = d.join(exact_quantiles(long, keys, "value", TAILS), list(keys), "left").join(top, list(keys), "left")
     share = F.try_divide("dominant", "present")
     spread = F.greatest(F.abs("q01"), F.abs("q99"))
     d = d.withColumns({"missing": F.col("row_count") - F.col("present"), "dominant_ratio": share})
@@ -36,51 +38,57 @@ def numeric_profile(long: DataFrame, keys: Sequence[str] = ("feature",)) -> Data
     ).drop("dominant")
 
 
-def spearman_pairs(long: DataFrame, row_keys: Sequence[str]) -> DataFrame:
-    """(left_feature, right_feature, pairs, rho) over rows where both values are present; ranks are taken pair by pair."""
-    d = long.filter(F.col("value").isNotNull())
-    a = d.select(*row_keys, F.col("feature").alias("left_feature"), F.col("value").alias("x"))
-    b = d.select(*row_keys, F.col("feature").alias("right_feature"), F.col("value").alias("y"))
-    p = a.join(b, list(row_keys)).filter("left_feature < right_feature")
-    keys = ("left_feature", "right_feature")
-    p = p.withColumns({"rx": average_rank(F.col("x"), keys), "ry": average_rank(F.col("y"), keys)})
-    return p.groupBy(*keys).agg(F.count("*").alias("pairs"), safe_corr(F.col("rx"), F.col("ry")).alias("rho"), F.min((F.col("x") == F.col("y")).cast("int")).alias("identical"))
+def block_correlations(long: DataFrame) -> DataFrame:
+    """(feature, block, samples, pearson, spearman) of value with y; block NULL is all blocks together."""
+    d = long.filter(F.col("value").isNotNull() & F.col("y").isNotNull()).select("feature", "block", "value", "y")
+    both = d.withColumn("block", F.explode(F.array(F.col("block"), F.lit(None).cast("int"))))
+    keys = ("feature", "block")
+    ranked = average_ranks(average_ranks(both, keys, "value", "rx"), keys, "y", "ry")
+    return ranked.groupBy(*keys).agg(F.count("*").alias("samples"), safe_corr(F.col("value"), F.col("y")).alias("pearson"), safe_corr(F.col("rx"), F.col("ry")).alias("spearman"))
+
 
+def classified(correlations: DataFrame, least_same: int = 5, least: float = 0.02) -> DataFrame:
+    """Each feature's signs and summaries over blocks; STABLE where at least ``least_same`` blocks share one sign, all rows
+    together have it too, and the median over blocks and the whole are strong enough; else WEAK.
 
-def block_correlations(long: DataFrame) -> DataFrame:
-    """(feature, block, pearson, spearman) of value with y; block NULL is the whole table (two grouping sets)."""
-    d = long.filter(F.col("value").isNotNull() & F.col("y").isNotNull())
-    whole = d.withColumn("block", F.lit(None).cast("int"))
-    out = None
-    for part, keys in ((d, ("feature", "block")), (whole, ("feature", "block"))):
-        ranked = part.withColumns({"rx": average_rank(F.col("value"), keys), "ry": average_rank(F.col("y"), keys)})
-        own = ranked.groupBy(*keys).agg(F.count("*").alias("samples"), safe_corr(F.col("value"), F.col("y")).alias("pearson"), safe_corr(F.col("rx"), F.col("ry")).alias("spearman"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def classified(correlations: DataFrame, blocks: int = 6, least_same: int = 5, least: float = 0.02) -> DataFrame:
-    """STABLE where at least ``least_same`` blocks share the whole table's sign and the medians are strong enough."""
-    full = correlations.filter("block is null").select("feature", F.col("spearman").alias("full_spearman"))
-    d = correlations.filter("block is not null").join(full, "feature")
-    same = F.count_if((F.signum("spearman") == F.signum("full_spearman")) & (F.col("spearman") != 0))
-    d = d.groupBy("feature").agg(F.first("full_spearman").alias("full_spearman"), same.alias("same_sign_blocks"), F.percentile(F.abs("spearman"), F.lit(0.5)).alias("median_abs_spearman"), F.stddev_pop("spearman").alias("spearman_std"))
-    stable = (F.col("same_sign_blocks") >= least_same) & (F.col("median_abs_spearman") >= least) & (F.abs("full_spearman") >= least)
-    return d.withColumn("category", F.when(stable, "STABLE").otherwise("WEAK"))
-
-
-def representatives(classes: DataFrame, pairs: DataFrame, least: float = 0.98) -> DataFrame:
-    """Of each redundant pair (|rho| >= ``least``) the weaker stable feature becomes ALTERNATE.
-
-    Preferred: more blocks of the same sign, then a stronger median, then the earlier name.
+    Blocks whose correlation is undefined have no sign and no part in the summaries.
+    """
+    x, size = F.col("spearman"), F.abs("spearman")
+    whole = correlations.filter("block is null").select("feature", F.col("samples").alias("samples"), F.col("spearman").alias("full_spearman"))
+    q = lambda c: F.percentile(c, F.lit(0.5))  # noqa: E731 (a value a block)
+    per = correlations.filter("block is not null").groupBy("feature").agg(F.count_if(x > 0).alias("positive_blocks"), F.count_if(x < 0).alias("negative_blocks"), q(x).alias("median_spearman"), q(size).alias("median_abs_spearman"), F.min(size).alias("min_abs_spearman"), F.max(size).alias("max_abs_spearman"), F.stddev_pop(x).alias("spearman_std"))
+    d = whole.join(per, "feature")
+    up, down, full = F.col("positive_blocks"), F.col("negative_blocks"), F.col("full_spearman")
+    d = d.withColumns({"dominant_sign": F.when(up > down, "POSITIVE").when(down > up, "NEGATIVE").otherwise("NONE"), "same_sign_blocks": F.greatest(up, down)})
+    matches = F.when(up > down, full > 0).when(down > up, full < 0).otherwise(False)
+    stable = (F.col("same_sign_blocks") >= least_same) & matches & (F.col("median_abs_spearman") >= least) & (F.abs(full) >= least)
+    return d.withColumn("category", F.when(F.coalesce(stable, F.lit(False)), "STABLE").otherwise("WEAK"))
+
+
+def with_missing(classes: DataFrame, long: DataFrame) -> DataFrame:
+    """``classes`` with missing_ratio: the share of rows of ``long`` in which a feature has no value."""
+    return classes.join(long.groupBy("feature").agg((1 - F.count("value") / F.count("*")).alias("missing_ratio")), "feature")
+
+
+def representatives(classes: DataFrame, pairs: DataFrame, least: float = 0.98, strict: bool = False) -> DataFrame:
+    """``classes`` (with missing_ratio) with category ALTERNATE and preferred for the weaker feature of each redundant pair (|rho| >= ``least``).
+
+    Preferred: a stable one, then the stronger median, the stronger whole, fewer missing values,
+    and the earlier name. An alternate of several preferred ones keeps the best; ``conflicts`` counts
+    them, and with ``strict`` more than one raises.
     """
-    stable = classes.filter("category = 'STABLE'")
-    side = lambda p: stable.select(*(F.col(c).alias(f"{p}_{c}") for c in ("feature", "same_sign_blocks", "median_abs_spearman")))
-    d = pairs.filter(F.abs("rho") >= least).join(side("left"), "left_feature").join(side("right"), "right_feature")
-    left, right = (F.struct(F.col(f"{p}_same_sign_blocks"), F.col(f"{p}_median_abs_spearman")) for p in ("left", "right"))
-    loser = F.when(left < right, F.col("left_feature")).otherwise(F.col("right_feature"))  # left stands earlier
-    losers = d.select(loser.alias("feature")).distinct().withColumn("alternate", F.lit(True))
-    return classes.join(losers, "feature", "left").withColumn("category", F.when(F.col("alternate"), "ALTERNATE").otherwise(F.col("category"))).drop("alternate")
+    key = F.struct((F.col("category") == "STABLE").cast("int").alias("s"), F.coalesce("median_abs_spearman", F.lit(-1.0)).alias("m"), F.coalesce(F.abs("full_spearman"), F.lit(-1.0)).alias("f"), (-F.col("missing_ratio")).alias("n"))
+    side = lambda p: classes.select(F.col("feature").alias(f"{p}_feature"), key.alias(f"{p}_key"))
+    d = pairs.filter(F.abs("rho") >= least).select(F.least("left_feature", "right_feature").alias("left_feature"), F.greatest("left_feature", "right_feature").alias("right_feature"))
+    d = d.join(side("left"), "left_feature").join(side("right"), "right_feature")
+    right_wins = F.col("right_key") > F.col("left_key")  # left stands earlier
+    d = d.select(*(F.when(right_wins, F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(f"{role}_{c}") for role, a, b in (("alternate", "left", "right"), ("preferred", "right", "left")) for c in ("feature", "key")))
+    chosen = d.groupBy(F.col("alternate_feature").alias("feature"), "preferred_key").agg(F.min("preferred_feature").alias("preferred"), F.collect_set("preferred_feature").alias("all"))
+    chosen = chosen.groupBy("feature").agg(F.max_by("preferred", "preferred_key").alias("preferred"), F.sum(F.size("all")).alias("conflicts"))
+    if strict:
+        chosen = chosen.filter(F.when(F.col("conflicts") > 1, F.raise_error(F.lit("conflicting representatives"))).otherwise(True))
+    out = classes.join(chosen, "feature", "left")
+    return out.withColumns({"category": F.when(F.col("preferred").isNotNull(), "ALTERNATE").otherwise(F.col("category")), "conflicts": F.coalesce("conflicts", F.lit(0))})
 
 
 def sparse_events(long: DataFrame) -> DataFrame:

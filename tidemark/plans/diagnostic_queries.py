@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import HOUR, from_micros, micros, rounded
 from tidemark.operators import diagnostics as dg
 from tidemark.operators import labels as lab
-from tidemark.operators import evaluation, gates, linear, screening, targets
+from tidemark.operators import evaluation, gates, linear, targets
 from tidemark.operators import metrics as mt
 from tidemark.operators import splits as sp
 from tidemark.operators.f0 import F0, eligible, f0_features
-from tidemark.operators.recurrent_features import RECURRENT, recurrent_features
-from tidemark.operators.windowed_features import WINDOWED, windowed_features
-from tidemark.plans.feature_queries import FEATURE_SQL, LAGS_SQL, _select
 from tidemark.plans.market_queries import BARS, ELIGIBLE_SQL, F0_SQL, HORIZON_SQL, TARGET_SQL, TYPED, segments_sql
 from tidemark.plans.study_queries import BASE, HB, HYST, LB, LITTLE_ENDIAN, RUNS, SPLIT_SQL, _rank_sql, common, labelled, metrics_sql, predictions, samples, training_rows
 from tidemark.sources.bars import hourly
@@ -398,98 +395,3 @@ def ridge_24x10(spark, sf_dir):
 @query()
 def vn_ridge_24x10(spark, sf_dir):
     return window_ridge(hourly(spark, sf_dir), True)
-
-
-# --- quality control and screening of the long-window features ------------------------------------
-
-WINDOWED_NAMES = list(WINDOWED)
-ALL52 = WINDOWED_NAMES + list(RECURRENT)
-
-
-def feature_table(spark, sf_dir, names: list[str]) -> DataFrame:
-    """Baseline targets and sigma joined one to one with the long-window features of the same decision, rounded."""
-    bars = hourly(spark, sf_dir)
-    features = windowed_features(bars)
-    if any(n in RECURRENT for n in names):
-        features = dg.one_to_one(features, recurrent_features(bars).drop("segment", "row"), ["symbol", "open_time"])
-    features = features.select("symbol", from_micros(micros("open_time") + HOUR).alias("decision_time"), *(F.round(c, 7).alias(c) for c in names))
-    y = targets.one_hour(bars).select("symbol", "decision_time", F.col("future_log_return_1h").alias("y"))
-    sigma = f0_features(bars).select("symbol", "decision_time", F.col("rolling_volatility_24h").alias("sigma"))
-    return dg.one_to_one(dg.one_to_one(y, sigma, ["symbol", "decision_time"]), features, ["symbol", "decision_time"])
-
-
-def feature_long(spark, sf_dir, names: list[str]) -> DataFrame:
-    d = sp.blocks(feature_table(spark, sf_dir, names).filter("sigma > 0"))
-    return screening.long_table(d, ["symbol", "decision_time", "block", "y"], names)
-
-
-_EW = f"ew as ({_select({k: first for k, (first, _) in WINDOWED.items()}, FEATURE_SQL, 'l4', 7)})"
-WBASE = f"{BARS}, {segments_sql()}, {F0_SQL}, {TARGET_SQL}, {LAGS_SQL}, {_EW}, wt as (select t.symbol, t.decision_time, t.future_log_return_1h as y, f.rolling_volatility_24h as sigma, ew.* exclude (symbol, segment, open_time) from tgt t join f0 f on f.symbol = t.symbol and f.decision_time = t.decision_time join ew on ew.symbol = t.symbol and ew.open_time + interval 1 hour = t.decision_time), wb as (select *, ntile(6) over (partition by symbol order by decision_time)::integer as block from wt where sigma > 0), lg as (" + " union all ".join(f"select symbol, decision_time, block, y, '{c}' as feature, {c} as value from wb" for c in WINDOWED_NAMES) + ")"
-
-
-@query(f"with {WBASE} select count(*) as joined, count(*) filter (where sigma > 0) as with_sigma, count(*) filter (where {' and '.join(c + ' is not null' for c in WINDOWED_NAMES)}) as whole from wt")
-def long_window_join(spark, sf_dir):
-    d = feature_table(spark, sf_dir, WINDOWED_NAMES)
-    whole = F.lit(True)
-    for c in WINDOWED_NAMES:
-        whole = whole & F.col(c).isNotNull()
-    return d.agg(F.count("*").alias("joined"), F.count_if(F.col("sigma") > 0).alias("with_sigma"), F.count_if(whole).alias("whole"))
-
-
-@query(f"with {WBASE}, n as (select *, ({' + '.join('(' + c + ' is not null)::int' for c in WINDOWED_NAMES)}) = {len(WINDOWED_NAMES)} as whole from wt), q as (select *, sum(whole::int) over (partition by symbol order by decision_time rows between 23 preceding and current row) as w24, decision_time - lag(decision_time, 23) over (partition by symbol order by decision_time) = interval 23 hours as unbroken from n) select case when not coalesce(unbroken, false) then 'incomplete_window' when w24 < 24 then 'missing_values' when not coalesce(sigma > 0, false) then 'no_sigma' else 'usable' end as reason, count(*) as samples from q group by all")
-def screening_samples(spark, sf_dir):
-    """Why a decision is or is not screened: its 24 hours unbroken, all features there in each, and a positive sigma."""
-    d = feature_table(spark, sf_dir, WINDOWED_NAMES)
-    whole = F.lit(True)
-    for c in WINDOWED_NAMES:
-        whole = whole & F.col(c).isNotNull()
-    w = sp.by_decision()
-    us = micros("decision_time")
-    d = d.withColumns({"w24": F.sum(whole.cast("int")).over(w.rowsBetween(-23, 0)), "unbroken": F.coalesce(us - F.lag(us, 23).over(w) == 23 * HOUR, F.lit(False))})
-    reason = F.when(~F.col("unbroken"), "incomplete_window").when(F.col("w24") < 24, "missing_values").when(~F.coalesce(F.col("sigma") > 0, F.lit(False)), "no_sigma").otherwise("usable")
-    return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("samples"))
-
-
-def _pairs_sql() -> str:
-    return f"pa as (select a.feature as left_feature, b.feature as right_feature, a.value as x, b.value as y from lg a join lg b on a.symbol = b.symbol and a.decision_time = b.decision_time and a.feature < b.feature where a.value is not null and b.value is not null), pr as (select *, {_rank_sql('x', 'left_feature, right_feature')} as rx, {_rank_sql('y', 'left_feature, right_feature')} as ry from pa), pp as (select left_feature, right_feature, count(*) as pairs, {_corr_sql('rx', 'ry')} as rho, min((x = y)::int)::integer as identical from pr group by all)"
-
-
-@query(f"with {WBASE}, {_pairs_sql()} select * from pp")
-def long_window_pairs(spark, sf_dir):
-    """Rank correlation of every pair of the windowed features."""
-    return screening.spearman_pairs(feature_long(spark, sf_dir, WINDOWED_NAMES), ["symbol", "decision_time"])
-
-
-@query(f"with {WBASE}, {_pairs_sql()}, o as (select *, row_number() over (partition by left_feature order by identical desc, round(abs(rho), 9) desc nulls last, right_feature) as k from pp) select left_feature, right_feature, pairs, rho, identical from o where k = 1")
-def best_redundant_matches(spark, sf_dir):
-    return dg.best_matches(screening.spearman_pairs(feature_long(spark, sf_dir, WINDOWED_NAMES), ["symbol", "decision_time"]))
-
-
-@query(f"""with {WBASE}, lv as (select feature, block, value, y from lg where value is not null and y is not null), lw as (select * from lv union all select feature, null as block, value, y from lv),
-lr as (select *, {_rank_sql('value', 'feature, block')} as rx, {_rank_sql('y', 'feature, block')} as ry from lw) select feature, block, count(*) as samples, {_corr_sql('value', 'y')} as pearson, {_corr_sql('rx', 'ry')} as spearman from lr group by all""")
-def long_window_correlations(spark, sf_dir):
-    return screening.block_correlations(feature_long(spark, sf_dir, WINDOWED_NAMES))
-
-
-@query(f"with {WBASE}, e as (select feature, block, count(*) filter (where value <> 0) as n from lg group by all) select feature, sum(n)::bigint as events, min(n) as least_block_events, case when min(n) = 0 then 'TEMPORALLY_SPARSE' else 'COVERED' end as status from e group by feature")
-def long_window_sparse_events(spark, sf_dir):
-    return screening.sparse_events(feature_long(spark, sf_dir, WINDOWED_NAMES))
-
-
-@query()
-def screening_52(spark, sf_dir):
-    """All 52 features: profile, class and alternate of each; every feature is in exactly one class."""
-    rows = feature_long(spark, sf_dir, ALL52)
-    classes = screening.representatives(screening.classified(screening.block_correlations(rows)), screening.spearman_pairs(rows, ["symbol", "decision_time"]))
-    profile = screening.numeric_profile(rows)
-    return profile.join(classes, "feature", "left").withColumn("category", F.coalesce("category", F.lit("WEAK")))
-
-
-@query("select 0::bigint as uncovered")
-def screening_cover(spark, sf_dir):
-    """Features of the 38 windowed ones that are in no class or in several."""
-    rows = feature_long(spark, sf_dir, WINDOWED_NAMES)
-    expected = rows.select("feature").distinct()
-    present = rows.groupBy("feature").agg(F.count("value").alias("n"))
-    classes = screening.classified(screening.block_correlations(rows)).select("feature").unionByName(present.filter("n = 0").select("feature"))
-    return dg.uncovered(classes, expected).agg(F.count("*").alias("uncovered"))

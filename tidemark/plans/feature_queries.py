@@ -178,3 +178,34 @@ rsi as (select r.symbol, r.segment, r.row, r.open_time, case when k.l > 1e-12 th
 st as (select *, min(rsi) over w as lo, max(rsi) over w as hi, count(rsi) over w as n from rsi window w as (partition by symbol, segment order by open_time rows between 13 preceding and current row)),
 sk as (select *, case when n = 14 then case when hi - lo > 1e-12 then (rsi - lo) / (hi - lo) else 0.5 end end as k from st)"""
 ORACLE_SQL["eng52_c_rsi"] = f"with recursive {BARS}, {segments_sql()}, {_RSI_WALK} select symbol, segment, open_time, round(case when row >= 15 then rsi / 100 - 0.5 end, 9) as rsi_centered_14, round(case when row >= 30 and count(k) over w = 3 then least(greatest(avg(k) over w, 0.0), 1.0) end, 9) as mom_stoch_rsi_14_14_3 from sk window w as (partition by symbol, segment order by open_time rows between 2 preceding and current row)"
+
+#: Pivots: candidates by windows, the greedy choice among them as a walk along pointers, the last two as lists of rows near a row.
+_KEY = "symbol, segment"
+
+
+def _kept_sql(name: str, candidates: str) -> str:
+    return f"""{name}n as (select a.symbol, a.segment, a.row, min(b.row) as next from {candidates} a join {candidates} b on b.symbol = a.symbol and b.segment = a.segment and b.row >= a.row + 5 group by all),
+{name} as (select {_KEY}, min(row) as row from {candidates} group by all union all select k.symbol, k.segment, n.next from {name} k join {name}n n on n.symbol = k.symbol and n.segment = k.segment and n.row = k.row),
+{name}l as (select p.symbol, p.segment, p.row, list(k.row order by k.row) as near from pw p join {name} k on k.symbol = p.symbol and k.segment = p.segment and k.row between p.row - 60 and p.row - 3 group by all having count(*) >= 2)"""
+
+
+PIVOT_SQL = f"""pw as (select {_KEY}, row, open_time, high, close, c1, h1, l1.l1 as low1, count(h1) over w7 as ch, max(h1) over w7 as mh, count(l1.l1) over w7 as cl, min(l1.l1) over w7 as ml, case when count(c1) over w50 = 50 then avg(c1) over w50 end as trend
+  from l1 window w7 as (partition by symbol, segment order by row rows between 3 preceding and 3 following), w50 as (partition by symbol, segment order by row rows between 49 preceding and current row)),
+tc as (select {_KEY}, row from pw where ch = 7 and h1 = mh), bc as (select {_KEY}, row from pw where cl = 7 and low1 = ml), {_kept_sql('tk', 'tc')}, {_kept_sql('bk_', 'bc')},
+pvr as (select w.symbol, w.segment, w.row, w.h1, w.low1, r.rsi from pw w join rsi r on r.symbol = w.symbol and r.segment = w.segment and r.row = w.row),
+bl as (select p.*, a.low1 as x0, b.low1 as x1, a.rsi as r0, b.rsi as r1, near[-1] as at from bk_l p join pvr a on a.symbol = p.symbol and a.segment = p.segment and a.row = near[-2] join pvr b on b.symbol = p.symbol and b.segment = p.segment and b.row = near[-1]),
+tl as (select p.*, a.h1 as x0, b.h1 as x1, a.rsi as r0, b.rsi as r1, near[-1] as at from tkl p join pvr a on a.symbol = p.symbol and a.segment = p.segment and a.row = near[-2] join pvr b on b.symbol = p.symbol and b.segment = p.segment and b.row = near[-1]),
+dv as (select w.*, coalesce(bl.x1 > bl.x0 and bl.r1 < bl.r0 and c1 > trend, false) as bull, coalesce(tl.x1 < tl.x0 and tl.r1 > tl.r0 and c1 < trend, false) as bear, bl.at as bat, tl.at as tat from pw w left join bl on bl.symbol = w.symbol and bl.segment = w.segment and bl.row = w.row left join tl on tl.symbol = w.symbol and tl.segment = w.segment and tl.row = w.row),
+fl as (select {_KEY}, row, open_time, (case when bull and bear then sign(bat - tat) when bull then 1 when bear then -1 else 0 end)::double as flag from dv),
+fi as (select *, row - row_number() over (partition by symbol, segment, flag order by row) as island from fl),
+ps as (select {_KEY}, row, open_time, flag, flag * row_number() over (partition by symbol, segment, flag, island order by row) as run from fi),
+th as (select {_KEY}, row, high, close, lag(close) over w as before, max(high) over (partition by symbol, segment order by row rows between 3 preceding and 1 preceding) as earlier, count(high) over (partition by symbol, segment order by row rows between 3 preceding and 1 following) as around, lead(high) over w as later from pw window w as (partition by symbol, segment order by row)),
+tp as (select {_KEY}, row, high from th where around = 5 and high > greatest(earlier, later)),
+tn as (select t.symbol, t.segment, t.row, t.close, t.before, list(p.row order by p.row) as rows, list(p.high order by p.row) as highs from th t join tp p on p.symbol = t.symbol and p.segment = t.segment and p.row between t.row - 30 and t.row - 1 group by all having count(*) >= 2),
+ts_ as (select *, (highs[-1] - highs[-2]) / (rows[-1] - rows[-2]) as slope from tn where rows[-1] - rows[-2] >= 3 and highs[-1] < highs[-2]),
+tb as (select {_KEY}, row + 1 as row from ts_ where before <= highs[-2] + slope * (row - 1 - rows[-2]) and close > highs[-2] + slope * (row - rows[-2])),
+pv as (select ps.*, (tb.row is not null)::int::double as break from ps left join tb on tb.symbol = ps.symbol and tb.segment = ps.segment and tb.row = ps.row)"""
+_PIVOTS = f"with recursive {BARS}, {segments_sql()}, {LAGS_SQL}, {_RSI_WALK}, {PIVOT_SQL}"
+ORACLE_SQL["rsi_hidden_divergence"] = f"{_PIVOTS} select symbol, open_time, flag as rsi_hidden_div_flag from pv"
+ORACLE_SQL["divergence_persistence"] = f"{_PIVOTS} select symbol, open_time, run as rsi_div_persistence from pv"
+ORACLE_SQL["trendline_breakout"] = f"{_PIVOTS} select symbol, open_time, break as mom_tl_break_bull_30 from pv"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import rounded
-from tidemark.operators import gates, linear, normalization, screening
+from tidemark.operators import gates, linear, normalization, ranks, screening
 from tidemark.operators import metrics as mt
 from tidemark.operators import splits as sp
 from tidemark.operators.f0 import F0
@@ -32,12 +32,17 @@ def query(sql: str | None = None):
 SCREENED = [c for c in F0 if c not in ("rolling_volatility_6h",)]
 
 
+def feature_wide(spark, sf_dir) -> DataFrame:
+    """Training rows with a positive sigma; y is the normalised target."""
+    d = sp.frozen_split(samples(spark, sf_dir)).filter("split = 'train' and not purged and sigma > 0").withColumn("y", F.col("y") / F.col("sigma"))
+    return sp.blocks(d.select("symbol", "decision_time", F.round("y", 9).alias("y"), *(F.round(c, 9).alias(c) for c in SCREENED)))
+
+
 def feature_rows(spark, sf_dir) -> DataFrame:
-    d = samples(spark, sf_dir).select("symbol", "decision_time", "y", *(F.round(c, 9).alias(c) for c in SCREENED))
-    return screening.long_table(sp.blocks(d), ["symbol", "decision_time", "block", "y"], SCREENED)
+    return screening.long_table(feature_wide(spark, sf_dir), ["symbol", "decision_time", "block", "y"], SCREENED)
 
 
-LONG = f"{BASE}, bk as (select *, ntile(6) over (partition by symbol order by decision_time)::integer as block from smp), lg as (" + " union all ".join(f"select symbol, decision_time, block, y, '{c}' as feature, round({c}, 9) as value from bk" for c in SCREENED) + ")"
+LONG = f"{BASE}, {SPLIT_SQL}, tn as (select * replace (round(y / sigma, 9) as y) from spl where split = 'train' and not purged and sigma > 0), bk as (select *, ntile(6) over (partition by symbol order by decision_time)::integer as block from tn), lg as (" + " union all ".join(f"select symbol, decision_time, block, y, '{c}' as feature, round({c}, 9) as value from bk" for c in SCREENED) + ")"
 
 
 @query(f"""with {LONG}, u as (select feature, max(n) as dominant, count(*) as unique_values from (select feature, value, count(*) as n from lg where value is not null group by all) group by feature),
@@ -53,15 +58,22 @@ PAIRS = f"pa as (select a.feature as left_feature, b.feature as right_feature, a
 
 @query(f"with {LONG}, {PAIRS} select left_feature, right_feature, pairs, round(rho, 9) as rho, identical from pp")
 def feature_spearman_pairs(spark, sf_dir):
-    return screening.spearman_pairs(feature_rows(spark, sf_dir), ["symbol", "decision_time"])
+    return ranks.spearman_matrix(feature_wide(spark, sf_dir), ["symbol", "decision_time"], SCREENED)
 
 
 CORR = f"""lv as (select feature, block, value, y from lg where value is not null and y is not null), lw as (select * from lv union all select feature, null as block, value, y from lv),
 lr as (select *, {_rank_sql('value', 'feature, block')} as rx, {_rank_sql('y', 'feature, block')} as ry from lw),
 co as (select feature, block, count(*) as samples, covar_pop(value, y) / nullif(stddev_pop(value) * stddev_pop(y), 0) as pearson, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) as spearman from lr group by all),
-cl as (select b.feature, any_value(f.spearman) as full_spearman, count(*) filter (where sign(b.spearman) = sign(f.spearman) and b.spearman <> 0) as same_sign_blocks, quantile_cont(abs(b.spearman), 0.5) as median_abs_spearman, stddev_pop(b.spearman) as spearman_std from co b join co f on f.feature = b.feature and f.block is null where b.block is not null group by b.feature),
-cg as (select *, case when same_sign_blocks >= 5 and median_abs_spearman >= 0.02 and abs(full_spearman) >= 0.02 then 'STABLE' else 'WEAK' end as category from cl)"""
-_CLASS = "feature, round(full_spearman, 9) as full_spearman, same_sign_blocks, round(median_abs_spearman, 9) as median_abs_spearman, round(spearman_std, 9) as spearman_std"
+cl as (select b.feature, any_value(f.samples) as samples, any_value(f.spearman) as full_spearman, count(*) filter (where b.spearman > 0) as positive_blocks, count(*) filter (where b.spearman < 0) as negative_blocks, quantile_cont(b.spearman, 0.5) as median_spearman, quantile_cont(abs(b.spearman), 0.5) as median_abs_spearman, min(abs(b.spearman)) as min_abs_spearman, max(abs(b.spearman)) as max_abs_spearman, stddev_pop(b.spearman) as spearman_std from co b join co f on f.feature = b.feature and f.block is null where b.block is not null group by b.feature),
+cn as (select *, case when positive_blocks > negative_blocks then 'POSITIVE' when negative_blocks > positive_blocks then 'NEGATIVE' else 'NONE' end as dominant_sign, greatest(positive_blocks, negative_blocks) as same_sign_blocks from cl),
+cg as (select *, case when coalesce(same_sign_blocks >= 5 and (case dominant_sign when 'POSITIVE' then full_spearman > 0 when 'NEGATIVE' then full_spearman < 0 else false end) and median_abs_spearman >= 0.02 and abs(full_spearman) >= 0.02, false) then 'STABLE' else 'WEAK' end as category from cn)"""
+_CLASS = "feature, samples, positive_blocks, negative_blocks, dominant_sign, same_sign_blocks, " + ", ".join(f"round({c}, 9) as {c}" for c in ("full_spearman", "median_spearman", "median_abs_spearman", "min_abs_spearman", "max_abs_spearman", "spearman_std"))
+#: ``cg`` with the share of missing values, and each redundant pair's alternate and preferred feature.
+REDUNDANT = """cm as (select cg.*, 1 - m.present as missing_ratio from cg join (select feature, count(value) / count(*) as present from lq group by feature) m using (feature)),
+rdn as (select a.feature as l, b.feature as r, struct_pack(s := (a.category = 'STABLE')::int, m := coalesce(a.median_abs_spearman, -1), f := coalesce(abs(a.full_spearman), -1), n := -a.missing_ratio) as lk, struct_pack(s := (b.category = 'STABLE')::int, m := coalesce(b.median_abs_spearman, -1), f := coalesce(abs(b.full_spearman), -1), n := -b.missing_ratio) as rk from pp join cm a on a.feature = left_feature join cm b on b.feature = right_feature where abs(rho) >= 0.98),
+rw as (select case when rk > lk then l else r end as feature, case when rk > lk then r else l end as preferred, case when rk > lk then rk else lk end as key from rdn),
+rc as (select feature, preferred, row_number() over (partition by feature order by key desc, preferred) as k, count(*) over (partition by feature) as conflicts from rw),
+cf as (select cm.* exclude (category), case when rc.preferred is not null then 'ALTERNATE' else category end as category, rc.preferred, coalesce(rc.conflicts, 0) as conflicts from cm left join rc on rc.feature = cm.feature and k = 1)"""
 
 
 @query(f"with {LONG}, {CORR} select feature, block, samples, round(pearson, 9) as pearson, round(spearman, 9) as spearman from co")
@@ -74,11 +86,11 @@ def feature_screening(spark, sf_dir):
     return screening.classified(screening.block_correlations(feature_rows(spark, sf_dir)))
 
 
-@query(f"""with {LONG}, {CORR}, {PAIRS}, lo as (select distinct case when a.same_sign_blocks < b.same_sign_blocks or (a.same_sign_blocks = b.same_sign_blocks and a.median_abs_spearman < b.median_abs_spearman) then left_feature else right_feature end as feature from pp join cg a on a.feature = left_feature and a.category = 'STABLE' join cg b on b.feature = right_feature and b.category = 'STABLE' where abs(rho) >= 0.98)
-select {_CLASS}, case when feature in (select feature from lo) then 'ALTERNATE' else category end as category from cg""")
+@query(f"with {LONG}, lq as (select * from lg), {CORR}, {PAIRS}, {REDUNDANT} select {_CLASS}, round(missing_ratio, 9) as missing_ratio, category, preferred, conflicts from cf")
 def feature_representatives(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir)
-    return screening.representatives(screening.classified(screening.block_correlations(rows)), screening.spearman_pairs(rows, ["symbol", "decision_time"]))
+    wide = feature_wide(spark, sf_dir)
+    rows = screening.long_table(wide, ["symbol", "decision_time", "block", "y"], SCREENED)
+    return screening.representatives(screening.with_missing(screening.classified(screening.block_correlations(rows)), rows), ranks.spearman_matrix(wide, ["symbol", "decision_time"], SCREENED))
 
 
 @query(f"with {LONG}, e as (select feature, block, count(*) filter (where value <> 0) as n from lg group by all) select feature, sum(n)::bigint as events, min(n) as least_block_events, case when min(n) = 0 then 'TEMPORALLY_SPARSE' else 'COVERED' end as status from e group by feature")

@@ -20,7 +20,10 @@ def required(ok: Column, value: Column, message: str) -> Column:
 
 
 def checked(d: DataFrame, ok: Column, message: str) -> DataFrame:
-    """``d`` unchanged; a row that is not ``ok`` raises. A filter, which no plan leaves out whatever columns it reads."""
+    """``d`` unchanged; a row that is not ``ok`` raises. A filter, which no plan leaves out whatever columns it reads.
+
+    It may be moved below joins and filters before it, so ``ok`` must hold without their help.
+    """
     return d.filter(required(ok, F.lit(True), message))
 
 

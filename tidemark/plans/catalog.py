@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import diagnostic_queries, feature_queries, market_queries, model_queries, screening_queries, study_queries
+from tidemark.plans import archive_queries, diagnostic_queries, feature_queries, market_queries, model_queries, screening_queries, study_queries
 
-_MODULES = (market_queries, feature_queries, study_queries, model_queries, diagnostic_queries, screening_queries)
+_MODULES = (market_queries, feature_queries, study_queries, model_queries, diagnostic_queries, screening_queries, archive_queries)
 
 
 def queries() -> dict:

@@ -17,6 +17,7 @@ from tidemark.operators.f0 import F0, eligible, f0_features
 from tidemark.plans.market_queries import BARS, ELIGIBLE_SQL, F0_SQL, HORIZON_SQL, TARGET_SQL, TYPED, segments_sql
 from tidemark.plans.study_queries import BASE, HB, HYST, LB, LITTLE_ENDIAN, RUNS, SPLIT_SQL, _rank_sql, common, labelled, metrics_sql, predictions, samples, training_rows
 from tidemark.sources.bars import hourly
+from tidemark.staging import staged
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -378,7 +379,7 @@ def window_ridge(bars: DataFrame, normalized: bool) -> DataFrame:
     d = dg.sigma_selected(window_rows(bars)).filter("split <> 'test' and not purged" + (" and usable" if normalized else ""))
     d = d.withColumn("fitted", F.col("y") / F.col("sigma") if normalized else F.col("y"))
     names = [f"{c}_{lag}" for lag, c in LAGGED]
-    d = d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.persist()
+    d = staged(d, "window-rows")
     model = linear.fit_ridge(d.filter("split = 'train'"), names, "fitted")
     d = model.predicted(d)
     d = d.withColumn("p", F.col("p") * F.col("sigma")) if normalized else d

@@ -13,7 +13,7 @@ from tidemark.operators import rollup
 from tidemark.operators import validation as v
 from tidemark.plans.market_queries import FIVE
 from tidemark.plans.study_queries import BASE, SPLIT_SQL, samples
-from tidemark.sources import archives, scopes
+from tidemark.sources import acquisition, archives, scopes
 from tidemark.sources.archive_source import register, write_archives
 from tidemark.sources.bars import five_minutes
 from tidemark.staging import new_folder, staged
@@ -166,3 +166,18 @@ def development_scope(spark, sf_dir):
 def stored_split_bounds(spark, sf_dir):
     _, bounds = stored_samples(spark, sf_dir)
     return spark.read.parquet(bounds).select("symbol", "split", "rows_kept", "start")
+
+
+# --- acquisition -----------------------------------------------------------------------------------
+
+
+@query(f"with {FIVE}, m as (select distinct date_trunc('month', open_time) as m from five), a as (select m, 'VERIFIED' as status from m union all select max(m) + interval 1 month, 'MISSING_REMOTE' from m having count(*) > 0) select 'EVENTS-5m-' || strftime(m, '%Y-%m') || '.zip' as archive, strftime(m, '%Y-%m') as period, status from a")
+def acquisition_states(spark, sf_dir):
+    """Archives fetched from a mounted mirror by tasks, verified and put in place; the month after the last one is not there."""
+    _, manifest, folder = scanned(spark, sf_dir)
+    month = F.to_date(F.concat("period", F.lit("-01")))
+    after = manifest.agg(F.max(month).alias("m")).filter("m is not null").select(F.date_format(F.add_months("m", 1), "yyyy-MM").alias("period"))
+    planned = archives.with_names(manifest.select("period").unionByName(after), "EVENTS", "5m", "http://mirror")
+    local = lambda path: path.removeprefix("file://").removeprefix("file:")  # noqa: E731 (a folder that all executors mount)
+    run = acquisition.acquisition_run(planned, local(new_folder(spark, "acquired")), acquisition.MirrorClient(local(folder)))
+    return run.select("archive", "period", "status")

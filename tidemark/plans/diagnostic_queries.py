@@ -15,7 +15,7 @@ from tidemark.operators import metrics as mt
 from tidemark.operators import splits as sp
 from tidemark.operators.f0 import F0, eligible, f0_features
 from tidemark.plans.market_queries import BARS, ELIGIBLE_SQL, F0_SQL, HORIZON_SQL, TARGET_SQL, TYPED, segments_sql
-from tidemark.plans.study_queries import BASE, HB, HYST, LB, LITTLE_ENDIAN, RUNS, SPLIT_SQL, _rank_sql, common, labelled, metrics_sql, predictions, samples, training_rows
+from tidemark.plans.study_queries import BASE, COMMON, HB, HYST, LB, LITTLE_ENDIAN, RUNS, SPLIT_SQL, _rank_sql, _walk_sql, common, labelled, metrics_sql, predictions, relative_horizon_scale, samples, training_rows
 from tidemark.sources.bars import hourly
 from tidemark.staging import staged
 
@@ -324,15 +324,28 @@ def label_winner(spark, sf_dir):
     return evaluation.selected(_class_gate(spark, sf_dir), "stable", ["positive_folds", "mean_balanced_accuracy", "mean_macro_f1", "mean_mcc"], "symbol")
 
 
-@query(f"with {HB}, pv as (select symbol, decision_time, log_return_1h as p from f0), x as (select c.symbol, c.decision_time, h.horizon, h.value as y, c.sigma, pv.p / c.sigma as zp from cmn c join hx h on h.symbol = c.symbol and h.decision_time = c.decision_time join pv on pv.symbol = c.symbol and pv.decision_time = c.decision_time where c.sigma > 0), w as (select symbol, horizon, y, zp * sqrt(horizon) * sigma as p from x where zp is not null) select symbol, horizon, count(*) as samples, round(avg(abs(y - p)), 9) as mae, round(sqrt(avg((y - p) * (y - p))), 9) as rmse, {_corr_sql('y', 'p')} as ic, round(avg(case when abs(y) > 1e-12 then (sign(y) = sign(p))::int end), 9) as directional_accuracy from w group by all")
+_SCALES = f"""{BASE}, {ELIGIBLE_SQL}, {HORIZON_SQL}, {COMMON}, {SPLIT_SQL}, hs0 as (select c.symbol, h.horizon, sqrt(avg((h.value / c.sigma) * (h.value / c.sigma))) as rms from cmn c join hx h on h.symbol = c.symbol and h.decision_time = c.decision_time join spl t on t.symbol = c.symbol and t.decision_time = c.decision_time where t.split = 'train' and not t.purged group by all), hs as (select s.symbol, s.horizon, s.rms / b.rms as scale from hs0 s join hs0 b on b.symbol = s.symbol and b.horizon = 1)"""
+
+
+@query(f"with {_SCALES}, pv as (select symbol, decision_time, log_return_1h as p from f0), x as (select c.symbol, c.decision_time, h.horizon, h.value as y, c.sigma, pv.p / c.sigma as zp, hs.scale from cmn c join hx h on h.symbol = c.symbol and h.decision_time = c.decision_time join pv on pv.symbol = c.symbol and pv.decision_time = c.decision_time join hs on hs.symbol = c.symbol and hs.horizon = h.horizon join spl t on t.symbol = c.symbol and t.decision_time = c.decision_time where c.sigma > 0 and t.split = 'validation' and not t.purged), w as (select symbol, horizon, y, zp * scale * sigma as p from x where zp is not null) select symbol, horizon, count(*) as samples, round(avg(abs(y - p)), 9) as mae, round(sqrt(avg((y - p) * (y - p))), 9) as rmse, {_corr_sql('y', 'p')} as ic, round(avg(case when abs(y) > 1e-12 then (sign(y) = sign(p))::int end), 9) as directional_accuracy from w group by all")
 def horizon_evaluation(spark, sf_dir):
-    """Predictions in units of sigma, scaled to each horizon (by the root of its hours) and brought back to returns."""
+    """Validation rows: predictions in units of sigma, scaled by what each horizon's targets spread on training rows, brought back to returns."""
     bars = hourly(spark, sf_dir, by_type=True)
-    anchors = common(spark, sf_dir).filter("sigma > 0")
+    split = sp.frozen_split(samples(spark, sf_dir).select("symbol", "decision_time", "target_time")).filter("split = 'validation' and not purged")
+    anchors = common(spark, sf_dir).filter("sigma > 0").join(split.select("symbol", "decision_time"), ["symbol", "decision_time"], "left_semi")
     y = targets.horizon_targets(bars).select("symbol", "decision_time", "horizon", F.col("value").alias("y"))
     p = f0_features(bars).select("symbol", "decision_time", F.col("log_return_1h").alias("p"))
     d = anchors.join(y, ["symbol", "decision_time"]).join(p, ["symbol", "decision_time"])
-    return dg.raw_metrics(d.withColumn("zp", F.col("p") / F.col("sigma") * F.sqrt("horizon")), ["symbol", "horizon"])
+    d = d.join(relative_horizon_scale(spark, sf_dir).select("symbol", "horizon", "scale"), ["symbol", "horizon"])
+    return dg.raw_metrics(d.withColumn("zp", F.col("p") / F.col("sigma") * F.col("scale")), ["symbol", "horizon"])
+
+
+@query(f"with fw as ({_walk_sql(1)}), {BASE}, t as (select smp.*, fold from smp join fw on fw.symbol = smp.symbol and fw.decision_time = smp.decision_time where role = 'inner_train'), u as (" + " union all ".join(f"select symbol, fold, '{c}' as feature, {c} as value from t" for c in F0) + ") select symbol, fold, feature, round(quantile_cont(value, 0.5), 9) as center, round(case when quantile_cont(value, 0.75) - quantile_cont(value, 0.25) > 0 then quantile_cont(value, 0.75) - quantile_cont(value, 0.25) else 1.0 end, 9) as scale from u where value is not null group by all")
+def fold_scaler_stats(spark, sf_dir):
+    """Median and quartile width of each feature on each fold's inner training rows alone."""
+    d = staged(samples(spark, sf_dir), "samples")
+    inner = sp.walk_forward(d, 1).filter("role = 'inner_train'").select("symbol", "fold", "decision_time")
+    return linear.scaler_statistics(d.join(inner, ["symbol", "decision_time"]), ["symbol", "fold"], list(F0))
 
 
 _UNITS = {"eligible": "sigma > 0", "scored": "p is not null", "whole": "y is not null"}

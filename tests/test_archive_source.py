@@ -4,7 +4,6 @@ import datetime as dt
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import raw_summary as rs
 from tidemark.operators import validation as v

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import catalog
+from tidemark.plans import catalog, screening_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "orders", "lineitem", "customer")
@@ -35,6 +35,21 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_feature_table():
+    """The ten screening queries share one staged table of all features here; each makes its own elsewhere."""
+    make, made = screening_queries.feature_table, {}
+
+    def once(spark, sf_dir):
+        if sf_dir not in made:
+            made[sf_dir] = make(spark, sf_dir)
+        return made[sf_dir]
+
+    screening_queries.feature_table = once
+    yield
+    screening_queries.feature_table = make
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, duck, name):
     got, want = catalog.queries()[name](spark, SF).toPandas(), duck.execute(catalog.oracle_sql()[name]).df()

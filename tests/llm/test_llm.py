@@ -730,3 +730,19 @@ def test_pipeline(spark, docs):
     packed = corpus_pipeline.run(spark, SF)
     kept = {r.doc_id for r in d.select("doc_id").collect()}
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept and sizes[-1] > 0.5 * sizes[0]
+
+
+def test_driver_holds_neither_index_nor_salted_labels(spark, docs, labels, monkeypatch):
+    """The toxicity index is made and kept outside the driver, and rows dealt by label are not gathered there for a broadcast."""
+    def refuse(*_, **__):
+        raise AssertionError("through the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "toArrow", refuse)
+        m.setattr(type(spark.sparkContext), "broadcast", refuse)
+        model = toxicity.fit(docs, labels)
+    assert len(model.index.value.ids) > 0
+    values = spark.range(200).selectExpr("id AS label", "id AS beyond")
+    rows = jj.with_label_value(spark.range(5000).selectExpr("id AS node", "id % 250 AS label"), values, "node")
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.node, r.label, r.beyond) for r in rows.collect()} == {(i, i % 250, i % 250 if i % 250 < 200 else None) for i in range(5000)}

@@ -234,8 +234,12 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
 
 
 def with_label_value(rows: DataFrame, values: DataFrame, node: str) -> DataFrame:
-    """``rows`` left-joined with ``values`` (a row a label) by label; the rows of one label are dealt into SALT parts by ``node``."""
-    parts = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    """``rows`` left-joined with ``values`` (a row a label) by label; the rows of one label are dealt into SALT parts by ``node``.
+
+    Sorted and merged: Spark's estimate of ``values`` leaves out that there are SALT rows of each,
+    so it would gather far more in the driver than its limit for a broadcast.
+    """
+    parts = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
     return rows.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALT)).cast("int")).join(parts, ["label", "salt"], "left").drop("salt")
 
 

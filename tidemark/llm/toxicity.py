@@ -14,23 +14,25 @@ taken in batches: within a block, the terms of many examples by a matrix product
 the others by their postings; for every example within the rounding error of the k-th best the
 product is taken again in double precision, which makes the neighbours exact. A document's score is the similarity-weighted
 vote of its k nearest examples, calibrated by isotonic regression on the examples' own
-leave-one-out votes (taken in tasks); the neighbours' ids are returned as evidence.
+leave-one-out votes (taken in tasks); the neighbours' ids are returned as evidence. The index is built in a task,
+since its sample is bounded, and written to the shared folder; workers map its files into memory where
+the folder is local, so that neither the driver nor each worker holds a copy.
 """
 
 from __future__ import annotations
 
+import io
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import labelled, spread, staged
+from tidemark.llm.common import labelled, new_folder, open_fs, spread, staged, worker_memo
 from tidemark.llm.word_hashes import mixed, pieces
 
 PER_CLASS = 4096
@@ -70,8 +72,11 @@ def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Numbers:
     """Numbers of known 64-bit hashes: an open hash table in two arrays."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, slots: np.ndarray | None = None):
         self.hashes, self.shift = hashes, 64 - max(4, int(2 * len(hashes)).bit_length())
+        if slots is not None:
+            self.slots = slots
+            return
         self.slots = np.full(1 << (64 - self.shift), -1, np.int32)
         left = np.arange(len(hashes), dtype=np.int32)
         at = self._slot(hashes)
@@ -116,7 +121,7 @@ class Index:
     block_first: np.ndarray | None = None  # block of a term -> its first posting, and the end
     compared: int = 0  # blocks compared and skipped so far
     skipped: int = 0
-    product: tuple | None = None  # made where documents are compared, as the next
+    product: tuple | None = None
     numbers: Numbers | None = None
     levels: list[np.ndarray] | None = None
 
@@ -237,11 +242,14 @@ class Index:
         w = cosine * self.weight[near]
         return float((w * self.label[near]).sum() / w.sum()) if len(near) else 0.0
 
+    def make_numbers(self) -> None:
+        self.numbers = Numbers(self.vocabulary)
+        self.levels = [self.numbers.of(level_term(self.vocabulary, k)) for k in LEVELS]  # word -> the term of its level
+
     def vectors_of(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The vector of each text over the known terms; None without any."""
         if self.numbers is None:
-            self.numbers = Numbers(self.vocabulary)
-            self.levels = [self.numbers.of(level_term(self.vocabulary, k)) for k in LEVELS]  # word -> the term of its level
+            self.make_numbers()
         out = []
         for piece in pieces(column):
             h, left = piece.bare()
@@ -310,11 +318,53 @@ def alike(weights: np.ndarray, toxic: np.ndarray, ids: np.ndarray, clusters: int
     return np.lexsort((ids, toxic, (weights @ centres.T).argmax(axis=1)))
 
 
+ARRAYS = ("vocabulary", "idf", "ids", "label", "weight", "starts", "examples", "values", "block_starts", "blocks", "block_max", "block_first")
+
+
+@dataclass
+class StoredIndex:
+    """An index in a folder that all executors reach: an array a file."""
+
+    folder: str
+
+    def write(self, index: Index) -> None:
+        index.make_blocks()
+        index.make_product()
+        index.make_numbers()
+        arrays = {name: getattr(index, name) for name in ARRAYS} | {f"product-{i}": x for i, x in enumerate(index.product)} | {f"level-{i}": x for i, x in enumerate(index.levels)} | {"slots": index.numbers.slots}
+        fs, at = open_fs(self.folder)
+        fs.create_dir(at, recursive=True)
+        for name, x in arrays.items():
+            with fs.open_output_stream(f"{at}/{name}.npy") as f:
+                np.save(f, x)
+
+    def read(self) -> Index:
+        fs, at = open_fs(self.folder)
+
+        def array(name: str) -> np.ndarray:
+            """A file: memory-mapped where the folder is local, else read."""
+            if fs.type_name == "local":
+                x = np.load(f"{at}/{name}.npy", mmap_mode="r")
+                return np.asarray(x) if x.size else np.empty(x.shape, x.dtype)
+            with fs.open_input_file(f"{at}/{name}.npy") as f:
+                return np.load(io.BytesIO(f.read()))
+
+        index = Index(**{name: array(name) for name in ARRAYS})
+        index.product = tuple(array(f"product-{i}") for i in range(4))
+        index.numbers, index.levels = Numbers(index.vocabulary, array("slots")), [array(f"level-{i}") for i in range(len(LEVELS))]
+        return index
+
+    @property
+    def value(self) -> Index:
+        """Opened once a Python worker."""
+        return worker_memo(("index", self.folder), self.read)
+
+
 @dataclass
 class Model:
-    """An index at hand in every worker, and what turns its votes into scores."""
+    """An index within reach of every worker, and what turns its votes into scores."""
 
-    index: Broadcast
+    index: StoredIndex
     steps: tuple[np.ndarray, np.ndarray]  # votes and calibrated scores
     empty_score: float  # of a text without any term
 
@@ -392,26 +442,12 @@ def associated_terms(examples: DataFrame) -> dict[int, float]:
     return {r["term"]: r["ratio"] / level for r in kept.select("term", "ratio").collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> Model:
-    """The index over the sample. Without rows of both labels, every score is the (smoothed) training rate."""
-    examples, size = sample(docs, labels, per_class)
-    examples = examples.persist()
-    lean = associated_terms(examples)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(terms_of(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tobytes() for t, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
-
-    # at most 2 * per_class rows; as Arrow, since each holds the terms of a text
-    rows = examples.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(count, "doc_id long, toxic int, terms binary, counts binary").toArrow().combine_chunks()
-    examples.unpersist()
-    ids, toxic, long = (x.to_numpy() for x in (rows["doc_id"], rows["toxic"], pc.divide(pc.binary_length(rows["terms"]), 8)))
-    terms, term = np.unique(np.frombuffer(b"".join(x.as_py() for x in rows["terms"]), np.uint64), return_inverse=True)
+def index_of(rows: list[tuple[np.ndarray, ...]], size: dict[int, int], lean: dict[int, float]) -> tuple[Index, float]:
+    """The index over examples, given as parts (doc_id, toxic, number of terms, terms, times), and the score of a text without terms."""
+    ids, toxic, long, terms, times = (np.concatenate([p[i] for p in rows] or [np.empty(0, kind)]) for i, kind in enumerate((np.int64, np.int64, np.int64, np.uint64, np.int32)))
+    rows.clear()
+    terms, term = np.unique(terms, return_inverse=True)
     term = term.astype(np.int32)
-    times = np.frombuffer(b"".join(x.as_py() for x in rows["counts"]), np.int32)
-    del rows
-    pa.default_memory_pool().release_unused()
     number = Counter(toxic.tolist())
     stands = {c: size.get(c, 0) / max(1, number[c]) for c in (0, 1)}
     all_rows = size.get(0, 0) + size.get(1, 0)
@@ -441,22 +477,53 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     place[near] = np.arange(len(ids))
     ids, toxic, each, example = ids[near], toxic[near], each[near], place[example]
     order = np.lexsort((example, term))
-    index = Index(terms, idf, ids, toxic, each, starts, example[order], value[order])
-    del order, example, times, term, value
+    return Index(terms, idf, ids, toxic, each, starts, example[order], value[order]), empty_score
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> Model:
+    """The index over the sample. Without rows of both labels, every score is the (smoothed) training rate."""
+    examples, size = sample(docs, labels, per_class)
+    examples = examples.persist()
+    lean = associated_terms(examples)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+    folder = new_folder(spark, "toxicity-index")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(terms_of(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.tobytes() for t, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            terms, times = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), kind) for i, kind in ((2, np.uint64), (3, np.int32)))
+            rows.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array([len(x.as_py()) // 8 for x in batch.column(2)], np.int64), terms, times))
+        index, empty_score = index_of(rows, size, lean)
+        own = StoredIndex(f"{folder}/{TaskContext.get().taskAttemptId()}")  # another attempt writes elsewhere
+        own.write(index)
+        yield pa.RecordBatch.from_pydict({"folder": [own.folder], "empty_score": [empty_score], "examples": [len(index.ids)]})
+
+    counted = staged(examples.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(count, "doc_id long, toxic int, terms binary, counts binary"), "label-vectors")
+    examples.unpersist()
+    # at most 2 * per_class rows of MOST_CHARS a label, so one task takes them all
+    built = counted.coalesce(1).mapInArrow(build, "folder string, empty_score double, examples long").collect()
+    if not built:  # a table without rows may have no partition
+        index, empty_score = index_of([], size, {})
+        StoredIndex(folder).write(index)
+        return Model(StoredIndex(folder), (np.zeros(1), np.full(1, empty_score)), empty_score)
+    [(own, empty_score, n)] = built
+    stored = StoredIndex(own)
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"example": pa.array(own, pa.int64()), "vote": pa.array(list(shared.value.votes_without_itself(own, k)), pa.float64())})
-
-    votes = np.zeros(len(ids))
-    if len(ids):
-        for r in spark.range(0, len(ids), 1, spread(spark)).mapInArrow(leave_one_out, "example long, vote double").collect():  # a row an example
-            votes[r["example"]] = r["vote"]
-    steps = isotonic(votes, toxic, each) if len(ids) else (np.zeros(1), np.full(1, empty_score))
-    return Model(shared, steps, empty_score)
+            index, chosen = stored.value, batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_pydict({"vote": pa.array(list(index.votes_without_itself(chosen.tolist(), k)), pa.float64()), "label": index.label[chosen], "weight": index.weight[chosen]})
+
+    steps = np.zeros(1), np.full(1, empty_score)
+    if n:  # a row an example
+        votes = spark.range(0, n, 1, spread(spark)).mapInArrow(leave_one_out, "vote double, label double, weight double").collect()
+        steps = isotonic(*np.array(votes, float).T)
+    return Model(stored, steps, empty_score)
 
 
 def scored(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:

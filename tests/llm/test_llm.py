@@ -746,3 +746,22 @@ def test_driver_holds_neither_index_nor_salted_labels(spark, docs, labels, monke
     rows = jj.with_label_value(spark.range(5000).selectExpr("id AS node", "id % 250 AS label"), values, "node")
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
     assert {(r.node, r.label, r.beyond) for r in rows.collect()} == {(i, i % 250, i % 250 if i % 250 < 200 else None) for i in range(5000)}
+
+
+def test_words_of_letters_are_learnt_without_the_pre_tokenizer(texts):
+    words = sorted({w for t in texts for w in t.split(" ") if w.isalpha()} | {"Straße", "ÿĀɏ", "ﬁn", "×", "a÷b", "日本", "ªº", "x²"})
+    plain, encoder, passed = Tokenizer.from_file(BYTES), SegmentEncoder(BYTES, 2), []
+    whole = encoder.tokenizer
+
+    class Watched:
+        def encode(self, *a, **b):
+            return whole.encode(*a, **b)
+
+        def encode_batch_fast(self, batch, **b):
+            passed.extend(" ".join(batch).split())
+            return whole.encode_batch_fast(batch, **b)
+
+    encoder.tokenizer = Watched()
+    text = "x " + " ".join(words)
+    assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert len(passed) < 0.1 * len(words) and "Straße" not in passed and "a÷b" in passed

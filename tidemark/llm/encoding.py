@@ -11,15 +11,20 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tidemark.llm.common import worker_memo
 
 _ADJACENT_SPACE = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ",.;:!?"
+#: Letters in every version of Unicode; words of them alone are not cut by the pre-tokenizer.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The character that stands for each byte from 128 on in a byte-level vocabulary.
+_HIGH = {b: chr(b if 161 <= b <= 172 or b >= 174 else 289 + b - 127 if b < 161 else 323) for b in range(128, 256)}
 
 
 class SegmentEncoder:
@@ -38,6 +43,10 @@ class SegmentEncoder:
         added = {i for i in self.tokenizer.get_added_tokens_decoder()}
         for token, i in vocabulary.items():
             self.width[i] = len(token.encode() if i in added else token)
+        self.letters = None
+        if not any(_LETTERS.fullmatch(t.content.strip()) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            self.letters = Tokenizer(self.tokenizer.model)  # for words of letters, given by the characters of their bytes
+            self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.marks = {m: self._alone(m) for m in _MARKS}
         self.max_entries = max_entries
@@ -51,8 +60,9 @@ class SegmentEncoder:
         """Ids of new segments (written without the space before them, but with a line end).
 
         A word with one mark after it is cut before the mark by the pre-tokenizer, so it is put
-        together from both. All other segments but those with spaces at an end stand side by side
-        as one text; its ids are dealt out by the bytes that each id stands for.
+        together from both. Words of letters go to the vocabulary's merges without the
+        pre-tokenizer, which would leave them whole. All other segments but those with spaces at an
+        end stand side by side as one text. Ids are dealt out by the bytes that each id stands for.
         """
         known, older = self.known, self.older
         marked = [s for s in missing if s[-1:] in _MARKS and s[:-1].isalpha()]
@@ -64,20 +74,29 @@ class SegmentEncoder:
         alone = [s for s in plain if s[-1:].isspace() or not s]
         for s in alone:
             known[s] = self._alone(before(s) + s)
-        together = list(plain.difference(alone))
+        words = [s for s in plain if _LETTERS.fullmatch(s)] if self.letters else []
+        for k in range(0, len(words), 8192):
+            own = words[k : k + 8192]
+            texts = ["Ġ" + s if s.isascii() else "Ġ" + s.encode().decode("latin-1").translate(_HIGH) for s in own]
+            self._deal(own, self.letters, " ".join(texts), map(len, texts))
+        together = list(plain.difference(alone, words))
         for k in range(0, len(together), 8192):
             own = together[k : k + 8192]
             texts = [before(s) + s for s in own]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.cumsum(np.fromiter((len(s.encode()) for s in texts), np.int64, len(own)))
-            cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.dtype.itemsize
-            data, at = ids.tobytes(), 0
-            for s, end in zip(own, cuts.tolist()):
-                known[s] = data[at:end]
-                at = end
+            self._deal(own, self.tokenizer, "".join(texts), (len(s.encode()) for s in texts))
         for s in marked:
             known[s] = known[s[:-1]] + self.marks[s[-1]]
 
+    def _deal(self, own: list[str], tokenizer: Tokenizer, text: str, sizes: Iterable[int]) -> None:
+        """Keep the ids of segments that stand side by side in a text, by the bytes of each."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(own)))
+        cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.dtype.itemsize
+        data, at, known = ids.tobytes(), 0, self.known
+        for s, end in zip(own, cuts.tolist()):
+            known[s] = data[at:end]
+            at = end
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text with the end id; a null text is empty."""
         cut = [self._cut(t) if t else [""] for t in texts]

@@ -765,3 +765,22 @@ def test_words_of_letters_are_learnt_without_the_pre_tokenizer(texts):
     text = "x " + " ".join(words)
     assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
     assert len(passed) < 0.1 * len(words) and "Straße" not in passed and "a÷b" in passed
+
+
+def test_encoder_remembers_a_word_once_whatever_mark_follows():
+    plain, encoder = Tokenizer.from_file(BYTES), SegmentEncoder(BYTES, 2)
+    texts = ["x " + " ".join(w + m for w in ("hend", "Straße", "añb") for m in ("", *",.;:!?")), "x", None, "x a×, a÷. ɏ, 日本, 12, hend,, ,", "x  hend,\nhend. ", "x\n\n hend hend"]
+    for _ in range(2):
+        for t, got in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(got, encoder.dtype).tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], t
+    kept = encoder.known.to_pylist()
+    assert len(kept) == len(set(kept)) == len(encoder.ids) and {"hend", "Straße", "añb"} < set(kept)
+    assert not {w + m for w in ("hend", "Straße", "añb") for m in ",.;:!?"} & set(kept)
+
+
+def test_encoder_memo_is_bounded_and_never_decides():
+    plain, encoder = Tokenizer.from_file(BYTES), SegmentEncoder(BYTES, 2, max_entries=7)
+    for i in range(30):
+        t = " ".join(f"w{chr(97 + (i * k) % 26)}{chr(97 + k)}{m}" for k, m in enumerate(",. ;x\n?!"))
+        assert np.frombuffer(encoder.encode([t])[0], encoder.dtype).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
+        assert len(encoder.known) == len(encoder.ids) <= 7

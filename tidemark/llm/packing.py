@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 from tidemark.llm.encoding import encoder_for
-from tidemark.llm.token_output import text_batches
+from tidemark.llm.token_output import ENCODED_CHARS, text_batches
 
 GROUPS = 64
 #: Pieces of more than this part of the capacity are grouped; the rest are small.
@@ -230,7 +230,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, ranks = encoder_for(tokenizer_path, end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ENCODED_CHARS):
                 rows = []
                 for doc_id, data in zip(ids, encoder.encode(texts)):
                     tokens = np.frombuffer(data, encoder.dtype).astype("<u4")

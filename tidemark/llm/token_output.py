@@ -28,14 +28,15 @@ from tidemark.llm.encoding import encoder_for
 
 NULL_ID = np.iinfo(np.int64).min
 BATCH_CHARS = 4_000_000
+ENCODED_CHARS = 8_000_000  # a call of the encoder looks each segment up once
 
 
-def text_batches(ids: list, texts: list) -> Iterator[tuple[list, list]]:
+def text_batches(ids: list, texts: list, most: int = BATCH_CHARS) -> Iterator[tuple[list, list]]:
     """Cut one Arrow batch into pieces of bounded text size (a single text is never cut)."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= BATCH_CHARS:
+        if size >= most:
             yield ids[start : i + 1], texts[start : i + 1]
             start, size = i + 1, 0
     if start < len(texts):
@@ -57,7 +58,7 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_i
         shard, attempt = context.partitionId(), context.taskAttemptId()
         encoder, fs, at, out, lengths, doc_ids = None, None, "", None, [], []
         for batch in batches:
-            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ENCODED_CHARS):
                 if out is None:
                     encoder = encoder_for(tokenizer_path, end_id)
                     fs, folder = open_fs(out_dir)

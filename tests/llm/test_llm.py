@@ -20,7 +20,7 @@ from tidemark.llm import licenses, mixing, ordinal, packing, queries, toxicity,
 from tidemark.llm import quality_rules as qr
 from tidemark.llm.encoding import SegmentEncoder
 from tidemark.llm.token_counts import MergeCounter, token_counts
-from tidemark.llm.token_output import shard_bases, token_output, write_token_shards
+from tidemark.llm.token_output import ENCODED_CHARS, shard_bases, text_batches, token_output, write_token_shards
 
 SF = "/root/testdata/sf0.001"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -784,3 +784,10 @@ def test_encoder_memo_is_bounded_and_never_decides():
         t = " ".join(f"w{chr(97 + (i * k) % 26)}{chr(97 + k)}{m}" for k, m in enumerate(",. ;x\n?!"))
         assert np.frombuffer(encoder.encode([t])[0], encoder.dtype).tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
         assert len(encoder.known) == len(encoder.ids) <= 7
+
+
+def test_pieces_are_encoded_in_large_calls_without_losing_a_text():
+    texts = ["a" * 1_000_000, None, "", "b" * 9_000_000, "c" * 4_500_000, "d" * 2_000_000, "e"]
+    calls = list(text_batches(list(range(len(texts))), texts, ENCODED_CHARS))
+    assert [i for ids, _ in calls for i in ids] == list(range(len(texts))) and [t for _, own in calls for t in own] == texts
+    assert [ids for ids, _ in calls] == [[0, 1, 2, 3], [4, 5, 6]]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -791,3 +792,32 @@ def test_pieces_are_encoded_in_large_calls_without_losing_a_text():
     calls = list(text_batches(list(range(len(texts))), texts, ENCODED_CHARS))
     assert [i for ids, _ in calls for i in ids] == list(range(len(texts))) and [t for _, own in calls for t in own] == texts
     assert [ids for ids, _ in calls] == [[0, 1, 2, 3], [4, 5, 6]]
+
+
+def test_toxicity_batch_keeps_only_what_can_be_near():
+    """A batch holds no score of a pair that was not compared; neighbours equal brute force, also in a last block that is not full."""
+    rng = np.random.default_rng(2)
+    n, terms = 8000 - 37, 400
+    group = np.sort(rng.integers(0, 100, n))
+    dense = np.zeros((n, terms))
+    for _ in range(4):
+        dense[np.arange(n), group * 4 + rng.integers(0, 4, n)] = np.round(rng.random(n), 1)
+    dense[:, 0] = 0.05  # a term of all examples
+    dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
+    t, e = np.nonzero(dense.T)
+    ids = rng.permutation(n)
+    index = toxicity.Index(np.empty(0, np.uint64), np.ones(terms), ids, np.zeros(n), np.ones(n), np.searchsorted(t, np.arange(terms + 1)), e, dense.T[t, e])
+    chosen = [n - 1, n - 2, *rng.choice(n, toxicity.BATCH - 2, replace=False).tolist()]
+    vectors = [(np.flatnonzero(dense[i]), dense[i][dense[i] > 0]) for i in chosen]
+    index.make_product()
+    tracemalloc.start()
+    found = index.nearest_of_all(vectors, 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(vectors) * n  # less than one number in double precision a pair
+    for (q, w), (near, cosine) in zip(vectors, found):
+        scores = np.round(dense[:, q] @ w, 12)
+        want = [i for i in np.lexsort((ids, -scores))[:15] if scores[i] > 0]
+        assert near.tolist() == want and np.allclose(cosine, scores[want])
+    few = index.nearest_of_all(vectors[:3], n + 5)  # more than there are: all with a positive score
+    assert [len(near) for near, _ in few] == [int(((dense[:, q] @ w) > 0).sum()) for q, w in vectors[:3]]

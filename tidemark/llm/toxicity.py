@@ -122,6 +122,7 @@ class Index:
     compared: int = 0  # blocks compared and skipped so far
     skipped: int = 0
     product: tuple | None = None
+    common: np.ndarray | None = None  # scratch space
     numbers: Numbers | None = None
     levels: list[np.ndarray] | None = None
 
@@ -186,30 +187,35 @@ class Index:
                 at = row[terms]
                 common = at >= 0
                 left[i, at[common]] = w[common]
-                split.append((at[common], w[common], *self._block_postings(terms[~common], w[~common])))
+                place, weight = self._block_postings(terms[~common], w[~common])
+                split.append((at[common], w[common], place, weight, self.blocks[place].astype(np.intp)))
             bound = (left @ most).astype(float)
-            for own, (_, _, place, weight) in zip(bound, split):
-                own += np.bincount(self.blocks[place], self.block_max[place] * weight, len(own)) + margin
+            for own, (_, _, place, weight, block) in zip(bound, split):
+                own += np.bincount(block, self.block_max[place] * weight, len(own)) + margin
             done = np.zeros(bound.shape, bool)
-            scores, rare = np.full((len(part), len(self.ids)), -1.0), np.zeros((len(part), len(self.ids)))
             floor = np.zeros(len(part))
+            none = np.empty(0, np.int64), np.empty(0), np.empty(0)
+            close = [none] * len(part)  # of each text, the examples that can be among its nearest: number, score, the part of it that comes from postings
             for wide in (FIRST_BLOCKS, bound.shape[1]):  # the most promising blocks, then all that can still hold a neighbour
                 left_over = np.where(done | (bound <= margin) | (bound < floor[:, None]), -1.0, bound)
                 if wide < left_over.shape[1]:
                     least = np.partition(left_over, -wide, axis=1)[:, -wide]
                     left_over[left_over < least[:, None]] = -1.0
                 picked = left_over >= 0
-                self._compare(picked, left, rough, split, scores, rare)
+                for i, found in self._compare(picked, left, rough, split, floor):
+                    number, score, rare = (np.concatenate(x) for x in zip(close[i], found))
+                    if len(score) >= k:
+                        floor[i] = max(floor[i], np.partition(score, -k)[-k] - margin)
+                        kept = score >= floor[i]
+                        number, score, rare = number[kept], score[kept], rare[kept]
+                    close[i] = number, score, rare
                 done |= picked
-                if scores.shape[1] > k:
-                    floor = np.maximum(0.0, np.partition(scores, -k, axis=1)[:, -k] - margin)
             self.compared += int(done.sum())
             self.skipped += int((~done).sum())
-            for i, (at, at_w, _, _) in enumerate(split):
-                close = np.flatnonzero((scores[i] >= floor[i]) & (scores[i] > 0))
-                cosine = rare[i, close] + exact[close][:, at] @ at_w
-                order = np.lexsort((self.ids[close], -np.round(cosine, 12)))[:k]
-                out.append((close[order], cosine[order]))
+            for (at, at_w, *_), (number, _, rare) in zip(split, close):
+                cosine = rare + exact[number][:, at] @ at_w
+                order = np.lexsort((self.ids[number], -np.round(cosine, 12)))[:k]
+                out.append((number[order], cosine[order]))
         return out
 
     def _block_postings(self, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,24 +224,31 @@ class Index:
         many = self.block_starts[terms + 1] - begin
         return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(int(many.sum())), np.repeat(w, many)
 
-    def _compare(self, picked: np.ndarray, left: np.ndarray, rough: np.ndarray, split: list, scores: np.ndarray, rare: np.ndarray) -> None:
-        """Scores of the texts with the examples of the picked blocks, and the part of them that comes from postings."""
-        n = len(self.ids)
+    def _compare(self, picked: np.ndarray, left: np.ndarray, rough: np.ndarray, split: list, floor: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Of each text, the examples of its picked blocks with a positive score that reaches its floor: number, score, the part of it that comes from postings."""
+        n, wide = len(self.ids), picked.shape[1] * BLOCK
+        if self.common is None or len(self.common) < len(left):
+            self.common = np.zeros((len(left), picked.shape[1], BLOCK), np.float32)  # kept for the next texts; read where picked
+        common = self.common
         for block in np.flatnonzero(picked.any(axis=0)).tolist():
             texts = np.flatnonzero(picked[:, block])
-            own = slice(block * BLOCK, (block + 1) * BLOCK)
-            scores[texts, own] = left[texts] @ rough[:, own]
-        for i, (_, _, place, weight) in enumerate(split):
-            chosen = picked[i][self.blocks[place]]
-            if not chosen.any():
+            product = left[texts] @ rough[:, block * BLOCK : (block + 1) * BLOCK]
+            common[texts, block, : product.shape[1]] = product
+        for i, (_, _, place, weight, block) in enumerate(split):
+            blocks = np.flatnonzero(picked[i])
+            if not len(blocks):
                 continue
+            chosen = np.flatnonzero(picked[i][block])
             place, weight = place[chosen], weight[chosen]
             begin = self.block_first[place]
             many = self.block_first[place + 1] - begin
             own = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            found = np.bincount(self.examples[own], self.values[own] * np.repeat(weight, many), n)
-            scores[i] += found
-            rare[i] += found
+            rare = np.bincount(self.examples[own], self.values[own] * np.repeat(weight, many), wide).reshape(-1, BLOCK)[blocks]
+            score = common[i, blocks] + rare
+            hit = np.flatnonzero((score >= floor[i]) & (score > 0))
+            number = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+            within = number < n  # the last block may not be full
+            yield i, (number[within], score.ravel()[hit][within], rare.ravel()[hit][within])
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic examples, weighted by similarity and by what each example stands for."""

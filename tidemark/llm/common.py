@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +85,25 @@ def worker_memo(key: tuple, make):
     return _memo[1]
 
 
+def give_back() -> None:
+    """Return to the system what Arrow's pool and the C library hold but no longer use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def frugal(work: Callable) -> Callable:
+    """``work`` over a task's batches, after which its worker gives memory back: it may idle beside tasks of the JVM."""
+
+    @functools.wraps(work)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return task
+
+
 def spread(spark: SparkSession, least: int = 8) -> int:
     """Number of partitions for an explicit repartition: the session's shuffle width."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

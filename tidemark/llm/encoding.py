@@ -144,6 +144,7 @@ class SegmentEncoder:
         first, last = ends[:-1].copy(), ends[1:].copy()
         first[list(odd)], last[list(odd)] = odd_ends[:-1], odd_ends[1:]
         found = segments.dictionary_encode()
+        del rests, cut, ends, segments  # much of the call's memory; the ids need as much again
         at, data = _buffers(self._together(found.dictionary).take(found.indices))
         data, end = memoryview(data), self.end
         return [b"".join((self._alone(h) if h else b"", data[a:b], end)) for h, a, b in zip(heads, at[first].tolist(), at[last].tolist())]

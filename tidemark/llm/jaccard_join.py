@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, spread, staged
+from tidemark.llm.common import fresh, frugal, spread, staged
 from tidemark.llm.word_hashes import mixed, pieces
 
 SKETCH_BITS = 20
@@ -103,7 +103,7 @@ def inventory(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     names = ["doc_id", "n", "cid", "chunk", "counts"]
-    both = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, cid long, chunk int, counts binary"), "shingle-inventory")
+    both = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(work), "doc_id long, n long, cid long, chunk int, counts binary"), "shingle-inventory")
     return both.filter(F.col("chunk").isNull()).select("doc_id", "n", "cid"), both.filter(F.col("chunk").isNotNull()).select("chunk", "counts")
 
 
@@ -181,7 +181,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> D
             if tokens:
                 yield emitted(tokens, meta)
 
-    return docs.select("text").mapInArrow(work, "token long, cid long, n int, matches short, central short, place int")
+    return docs.select("text").mapInArrow(frugal(work), "token long, cid long, n int, matches short, central short, place int")
 
 
 def bounded(room, matches, sizes, percent: int):
@@ -220,7 +220,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "hashes"])
 
-    own = docs.select(position(F.col("doc_id").cast("long")).alias("bit"), "text").mapInArrow(sets, "cid long, hashes binary").dropDuplicates(["cid"])
+    own = docs.select(position(F.col("doc_id").cast("long")).alias("bit"), "text").mapInArrow(frugal(sets), "cid long, hashes binary").dropDuplicates(["cid"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import fresh, staged
+from tidemark.llm.common import fresh, frugal, staged
 from tidemark.llm.ordinal import BITS, features_of, grade, sampled
 
 DOMAINS = ("toxic", "poor", "good")
@@ -100,7 +100,7 @@ def with_memberships(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name
     schema = StructType(list(docs.schema.fields))
     for name, kind in zip(names, ("long", *["integer"] * len(DOMAINS))):
         schema = schema.add(name, kind)
-    return staged(docs.mapInArrow(work, schema), "memberships")
+    return staged(docs.mapInArrow(frugal(work), schema), "memberships")
 
 
 @dataclass

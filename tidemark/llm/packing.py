@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import frugal, staged
 from tidemark.llm.encoding import encoder_for
 from tidemark.llm.token_output import ENCODED_CHARS, text_batches
 
@@ -243,7 +243,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
                 doc_id, piece, start, length, crc, rank = zip(*rows)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "task": pa.array([task] * len(rows), pa.int32()), "local_rank": pa.array(rank, pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long")
 
 
 def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, groups: int = GROUPS) -> DataFrame:
@@ -260,7 +260,9 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
         histogram[r["length"]] = r["n"]
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    table = spark.createDataFrame(places(histogram, capacity, groups), "length long, first long, end long, sequence long, each long, at long")
+    fields = ("length", "first", "end", "sequence", "each", "at")
+    runs = np.array(places(histogram, capacity, groups), np.int64)
+    table = spark.createDataFrame(pa.table({f: runs[:, i].copy() for i, f in enumerate(fields)}))  # as Arrow: no Python workers for rows
     ranked = cut.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     placed = ranked.join(F.broadcast(table), "length").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     k = F.col("rank") - F.col("first")

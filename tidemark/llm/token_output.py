@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_folder, open_fs, spread
+from tidemark.llm.common import frugal, new_folder, open_fs, spread
 from tidemark.llm.encoding import encoder_for
 
 NULL_ID = np.iinfo(np.int64).min
@@ -81,7 +81,7 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_i
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "dtype": [encoder.dtype.str], "documents": [len(offsets) - 1], "ids": [int(offsets[-1])]})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards or spread(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, fields).write.parquet(f"{out_dir}/manifest")
+    ordered.mapInArrow(frugal(write), fields).write.parquet(f"{out_dir}/manifest")
 
 
 def shard_bases(spark: SparkSession, out_dir: str) -> DataFrame:

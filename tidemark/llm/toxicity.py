@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import labelled, new_folder, open_fs, spread, staged, worker_memo
+from tidemark.llm.common import frugal, labelled, new_folder, open_fs, spread, staged, worker_memo
 from tidemark.llm.word_hashes import mixed, pieces
 
 PER_CLASS = 4096
@@ -519,7 +519,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     counted = staged(examples.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(count, "doc_id long, toxic int, terms binary, counts binary"), "label-vectors")
     examples.unpersist()
     # at most 2 * per_class rows of MOST_CHARS a label, so one task takes them all
-    built = counted.coalesce(1).mapInArrow(build, "folder string, empty_score double, examples long").collect()
+    built = counted.coalesce(1).mapInArrow(frugal(build), "folder string, empty_score double, examples long").collect()
     if not built:  # a table without rows may have no partition
         index, empty_score = index_of([], size, {})
         StoredIndex(folder).write(index)
@@ -552,7 +552,7 @@ def scored(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
             score = np.array([s for s, _ in found], float)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": score, "predicted": pa.array((score >= 0.5).astype(np.int32)), "evidence": pa.array([e for _, e in found], pa.list_(pa.int64()))})
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, score double, predicted int, evidence array<long>")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(work), "doc_id long, score double, predicted int, evidence array<long>")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
@@ -575,4 +575,4 @@ def filter_stage(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
             keep = [score < 0.5 for score, _ in model.scores(batch.column(position), k)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(frugal(work), docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import HOUR, finite, from_micros, full, micros
+from tidemark.functions.expressions import HOUR, finite, from_micros, full, micros, natural_log
 from tidemark.operators.chunks import LENGTH, in_chunk, with_halo
 from tidemark.operators.gaps import segments
 
@@ -19,8 +19,8 @@ HALO = 32
 def f0_features(bars: DataFrame, length: int = LENGTH) -> DataFrame:
     """symbol, segment, open_time, decision_time and the features; NULL while a window is not full."""
     w = in_chunk()
-    d = with_halo(segments(bars, length=length), HALO, length)
-    log_close, log_volume = F.ln("close"), F.log1p("volume")
+    d = with_halo(segments(bars.withColumn("log_close", natural_log(F.col("close"))), length=length), HALO, length)
+    log_close, log_volume = F.col("log_close"), F.log1p("volume")
     d = d.withColumns({"log_return_1h": log_close - F.lag(log_close).over(w), "log_return_3h": log_close - F.lag(log_close, 3).over(w), "log_return_6h": log_close - F.lag(log_close, 6).over(w)})
     span = F.col("high") - F.col("low")
     r = F.col("log_return_1h")

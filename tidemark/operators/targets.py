@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import HOUR, from_micros, micros
+from tidemark.functions.expressions import HOUR, from_micros, micros, natural_log
 from tidemark.operators.gaps import by_time
 
 HORIZONS = (1, 3, 6, 12)
@@ -25,7 +25,7 @@ def one_hour(bars: DataFrame) -> DataFrame:
     """Rows whose next bar is exactly one hour later: bar, decision and target time, and the return."""
     d = bars.withColumns({"next_us": F.lead(micros("open_time")).over(by_time()), "next_close": F.lead("close").over(by_time())})
     us = micros("open_time")
-    return d.filter(F.col("next_us") - us == HOUR).select("symbol", F.col("open_time").alias("bar_open_time"), from_micros(us + HOUR).alias("decision_time"), from_micros(us + 2 * HOUR).alias("target_time"), F.ln(F.col("next_close") / F.col("close")).alias("future_log_return_1h"))
+    return d.filter(F.col("next_us") - us == HOUR).select("symbol", F.col("open_time").alias("bar_open_time"), from_micros(us + HOUR).alias("decision_time"), from_micros(us + 2 * HOUR).alias("target_time"), natural_log(F.col("next_close") / F.col("close")).alias("future_log_return_1h"))
 
 
 def _endpoint(bars: DataFrame, hours: int) -> DataFrame:
